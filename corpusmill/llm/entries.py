@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import ngram_join
+from corpusmill.llm import ngram_join, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 20 words that occurred before are cut: doc_id, n_words, n_removed, kept_sha256."""
+    return substring.dedup_passages(_table(spark, sf_dir, "documents"), window=20).drop("kept_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard_join": op1}
+    return {"op1_ngram_jaccard_join": op1, "op4_substring_dedup": op4}
 
 
 def oracle_sql() -> dict[str, str]:
