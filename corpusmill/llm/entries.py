@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import ngram_join, substring
+from corpusmill.llm import ngram_join, quality, quality_sql, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +24,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_passages(_table(spark, sf_dir, "documents"), window=20).drop("kept_text")
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality measures and verdicts, with the source as host."""
+    return quality.assess(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard_join": op1, "op4_substring_dedup": op4}
+    return {"op1_ngram_jaccard_join": op1, "op4_substring_dedup": op4, "op9_quality_rules": op9}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_quality_rules": quality_sql.OP9}
