@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import ngram_join, quality, quality_sql, substring
+from corpusmill.llm import ngram_join, quality, quality_sql, secrets, secrets_sql, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by kind and place, with the spans that ownership frequency adds."""
+    return secrets.scan(_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 20 words that occurred before are cut: doc_id, n_words, n_removed, kept_sha256."""
     return substring.dedup_passages(_table(spark, sf_dir, "documents"), window=20).drop("kept_text")
@@ -30,8 +35,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard_join": op1, "op4_substring_dedup": op4, "op9_quality_rules": op9}
+    return {"op1_ngram_jaccard_join": op1, "op2_secret_scans": op2, "op4_substring_dedup": op4, "op9_quality_rules": op9}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": quality_sql.OP9}
+    return {"op2_secret_scans": secrets_sql.OP2, "op9_quality_rules": quality_sql.OP9}
