@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import ngram_join, quality, quality_sql, secrets, secrets_sql, substring
+from corpusmill.llm import mixing, mixing_sql, ngram_join, quality, quality_sql, secrets, secrets_sql, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,14 +29,24 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_passages(_table(spark, sf_dir, "documents"), window=20).drop("kept_text")
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards, counts at most one apart."""
+    return sharding.shard(_table(spark, sf_dir, "documents"), shards=16)
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources mixed to weights 3, 1, 2 in turn, 150 % of all words."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality measures and verdicts, with the source as host."""
     return quality.assess(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard_join": op1, "op2_secret_scans": op2, "op4_substring_dedup": op4, "op9_quality_rules": op9}
+    return {"op1_ngram_jaccard_join": op1, "op2_secret_scans": op2, "op4_substring_dedup": op4, "op6_sharding": op6, "op8_mixing": op8, "op9_quality_rules": op9}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scans": secrets_sql.OP2, "op9_quality_rules": quality_sql.OP9}
+    return {"op2_secret_scans": secrets_sql.OP2, "op8_mixing": mixing_sql.OP8, "op9_quality_rules": quality_sql.OP9}
