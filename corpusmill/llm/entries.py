@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat, mixing, mixing_sql, ngram_join, quality, quality_sql, secrets, secrets_sql, sharding, substring, url_filters, url_sql
+from corpusmill.llm import chat, decontaminate, mixing, mixing_sql, ngram_join, quality, quality_sql, secrets, secrets_sql, sharding, substring, toxicity, url_filters, url_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +24,21 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents")).drop("found")
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, at five words and containment 0.8: doc_id, item_id, n_item, n_shared."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 20 words that occurred before are cut: doc_id, n_words, n_removed, kept_sha256."""
     return substring.dedup_passages(_table(spark, sf_dir, "documents"), window=20).drop("kept_text")
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of toxicity, learnt from labels outside the held-out quarter."""
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards, counts at most one apart."""
     return sharding.shard(_table(spark, sf_dir, "documents"), shards=16)
@@ -58,7 +68,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard_join": op1, "op2_secret_scans": op2, "op4_substring_dedup": op4, "op6_sharding": op6, "op8_mixing": op8, "op7_url_filters": op7, "op9_quality_rules": op9, "op10_chat_formatting": op10}
+    return {"op1_ngram_jaccard_join": op1, "op2_secret_scans": op2, "op3_benchmark_decontamination": op3, "op4_substring_dedup": op4, "op5_toxicity": op5, "op6_sharding": op6, "op8_mixing": op8, "op7_url_filters": op7, "op9_quality_rules": op9, "op10_chat_formatting": op10}
 
 
 def oracle_sql() -> dict[str, str]:
