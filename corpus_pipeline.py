@@ -1,14 +1,59 @@
-"""Documents to training shards: quality, near duplicates, benchmark leaks, mixture, shards."""
+"""Documents to training shards: quality, near duplicates, benchmark leaks, mixture, shards.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; its
+result is written as Parquet and read again before the next.  All but the last return the
+columns of ``documents``; the last adds shard and slot.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from corpusmill.llm import decontaminate, mixing, ngram_join, quality, sharding
+from corpusmill.llm.text import prepare
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rule, or any rule on a bad host, go."""
+    return quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays: five words, Jaccard similarity 0.8."""
+    return ngram_join.one_of_each(docs, words=5, num=8, den=10)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go: five words, containment 0.8."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; a document is repeated as often as it is taken."""
+    return mixing.mixed(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """16 shards, counts at most one apart, with gapless slots."""
+    return sharding.sharded(docs, shards=16)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("benchmark_leaks", benchmark_leaks), ("mixture", mixture), ("shards", shards)]
 
+#: SQL can't express the near duplicates' components at a useful speed; tests/llm holds the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what the others return is written below the session's checkpoint folder."""
+    prepare(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
     return docs

@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near duplicates at three words and similarity 0.9: doc_id, n_shingles, component_id, class, n_links."""
+    """Near duplicates at three words and similarity 0.9: doc_id, n_shingles, component_id, class."""
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 

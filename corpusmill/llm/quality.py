@@ -44,20 +44,25 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     twice = F.expr("array_sort(transform(filter(_s, (x, k) -> (k > 0 and _s[k - 1].h = x.h) or (k + 1 < size(_s) and _s[k + 1].h = x.h)), x -> x.i))")
     d = d.withColumn("_t", F.when(F.size("_s") > 0, twice).otherwise(F.expr("cast(array() as array<int>)")))
     repeat = F.expr(f"aggregate(transform(_t, (i, k) -> if(k + 1 < size(_t), least({WINDOW}, _t[k + 1] - i), {WINDOW})), 0L, (n, x) -> n + x)")
-    d = d.withColumn(
-        "_q",
-        F.struct(
-            F.size("_w").cast("long").alias("n_words"),
-            F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-            F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-            (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-            F.size("_lines").cast("long").alias("n_lines"),
-            repeat.cast("long").alias("n_repeat_words"),
-        ),
+    # One generated row each: what follows, filters too, then uses the measures' values and never works them out again.
+    d = d.select(
+        *(c for c in d.columns if c not in ("_text", "_w", "_lines", "_h", "_s", "_t")),
+        F.explode(
+            F.array(
+                F.struct(
+                    F.size("_w").cast("long").alias("n_words"),
+                    F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+                    F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+                    (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+                    F.size("_lines").cast("long").alias("n_lines"),
+                    repeat.cast("long").alias("n_repeat_words"),
+                )
+            )
+        ).alias("_q"),
     )
     q = F.col("_q")
-    base = (q.n_words < 10) | (100 * q.n_repeat_words > 20 * q.n_words)
-    return d.drop("_text", "_w", "_lines", "_h", "_s", "_t").withColumn("_q", q.withField("base_failed", base)).withColumn("_q", q.withField("failed", F.coalesce(F.col("_q.base_failed") | _soft(), F.lit(True))))
+    d = d.withColumn("_q", q.withField("base_failed", (q.n_words < 10) | (100 * q.n_repeat_words > 20 * q.n_words)))
+    return d.withColumn("_q", q.withField("failed", F.coalesce(q.base_failed | _soft(), F.lit(True))))
 
 
 def _soft() -> Column:

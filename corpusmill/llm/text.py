@@ -95,12 +95,10 @@ def kept(df: DataFrame) -> DataFrame:
 BITS, _CHUNK = 24, 15
 
 
-def having_id(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """The rows of ``df`` whose id is among ``ids``, with the other columns of ``ids``.
+def _marked(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``_seen``: false only where the id isn't among ``ids``.
 
-    A Bloom filter of 2 MB at most (2^24 bits in 512 rows of 4 KB, whatever the
-    input) is broadcast first, so that few of the other rows are shuffled; an
-    ordinary join then settles it.  Where the filter fills up, all rows are shuffled.
+    By a Bloom filter of 2 MB at most (2^24 bits in 512 rows of 4 KB, whatever the input), which is broadcast.
     """
     slot = F.shiftrightunsigned(F.xxhash64(F.lit(7), F.col(column)), 64 - BITS).cast("int")
     marks = (
@@ -108,12 +106,25 @@ def having_id(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
         .select(F.shiftright("_s", _CHUNK).alias("_chunk"), (F.col("_s") % (1 << _CHUNK)).cast("long").alias("_bit"))
         .groupBy("_chunk").agg(F.expr("bitmap_construct_agg(_bit)").alias("_marks"))
     )
-    seen = (
-        df.where(F.col(column).isNotNull())
-        .withColumn("_s", slot)
-        .withColumn("_chunk", F.shiftright("_s", _CHUNK))
-        .join(F.broadcast(marks), "_chunk")
-        .where("(conv(hex(substring(_marks, cast((_s % 32768) div 8 as int) + 1, 1)), 16, 10) div cast(power(2, _s % 8) as int)) % 2 = 1")
-        .drop("_s", "_chunk", "_marks")
-    )
-    return seen.join(ids, column)
+    bit = "(conv(hex(substring(_marks, cast((_s % 32768) div 8 as int) + 1, 1)), 16, 10) div cast(power(2, _s % 8) as int)) % 2 = 1"
+    asked = df.withColumn("_s", slot).withColumn("_chunk", F.shiftright("_s", _CHUNK)).join(F.broadcast(marks), "_chunk", "left")
+    return asked.withColumn("_seen", F.coalesce(F.col(column).isNotNull() & F.expr(bit), F.lit(False))).drop("_s", "_chunk", "_marks")
+
+
+def having_id(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` whose id is among ``ids``, with the other columns of ``ids``.
+
+    A Bloom filter spares most of the other rows the shuffle; an ordinary join then
+    settles it.  Where the filter fills up, all rows are shuffled.
+    """
+    return _marked(df, ids, column).where("_seen").drop("_seen").join(ids, column)
+
+
+def lacking_id(df: DataFrame, ids: DataFrame, column: str, once: list[str]) -> DataFrame:
+    """The rows of ``df`` whose id isn't among ``ids`` where ``gone`` is true; those of an id where it isn't stay, once for equal columns ``once``.
+
+    Rows that the Bloom filter rules out stay where they are; the others are shuffled.
+    """
+    marked = _marked(df, ids, column)
+    asked = marked.where("_seen").drop("_seen").join(ids.where("gone").select(column), column, "left_anti").select(df.columns).dropDuplicates(once)
+    return marked.where("not _seen").select(df.columns).unionByName(asked)
