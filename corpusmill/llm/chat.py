@@ -5,7 +5,7 @@ A log has one row an event: conv_id, seq, kind, turn, role, text.
 - ``message``: the turn's text (and role);
 - ``delta``: more text for the turn, after what is there (a turn may begin with one, which gives the role);
 - ``edit``: the turn's text anew;
-- ``regenerate``: the turn's text begins anew, and later turns go.
+- ``regenerate``: the turn's text begins anew, and later turns go unless they are set anew behind it.
 
 Events are sorted by seq within their turn, and the turn's are folded first (a
 turn's last edit or regeneration and the deltas behind it are all that counts), so a
@@ -46,13 +46,13 @@ def _unrole(c: Column) -> Column:
 def folded(events: DataFrame) -> DataFrame:
     """conv_id and messages (turn, role, text, in order of turn) from a log."""
     e = events.select("conv_id", "seq", F.coalesce("kind", F.lit("message")).alias("kind"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turn = e.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "role", "text"))).alias("e"), F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"), F.min("seq").alias("began"))
+    turn = e.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "role", "text"))).alias("e"), F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("again"))
     # The last event that sets the text, and the deltas behind it.
     from_ = F.aggregate("e", F.struct(F.lit(0).alias("k"), F.lit(0).alias("at")), lambda a, x: F.struct((a["k"] + 1).alias("k"), F.when(x["kind"] != "delta", a["k"]).otherwise(a["at"]).alias("at")), lambda a: a["at"])
     turn = turn.withColumn("live", F.slice("e", from_ + 1, F.size("e")))
-    turn = turn.select("conv_id", "turn", "again", "began", F.col("live")[0]["role"].alias("role"), F.array_join(F.transform("live", lambda x: x["text"]), "").alias("text"))
+    turn = turn.select("conv_id", "turn", "again", F.col("live")[0]["seq"].alias("began"), F.col("live")[0]["role"].alias("role"), F.array_join(F.transform("live", lambda x: x["text"]), "").alias("text"))
     by = turn.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "again", "began"))).alias("m"))
-    # A turn goes when an earlier one was generated anew after it began.
+    # A turn goes when an earlier one was generated anew after its text was last set.
     kept = F.filter("m", lambda x: ~F.exists("m", lambda y: F.coalesce((y["turn"] < x["turn"]) & (y["again"] > x["began"]), F.lit(False))))
     return by.select("conv_id", F.transform(F.when(F.exists("m", lambda x: x["again"].isNotNull()), kept).otherwise(F.col("m")), lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), x["text"].alias("text"))).alias("messages"))
 
