@@ -51,18 +51,20 @@ def planned(rows: DataFrame, share: float = 1.5, most: int = 2, seed: int = 0) -
     goal = targets(by_source, share, most)
     rows = rows.withColumn("_key", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     rows = rows.withColumn("_range", F.substring("_key", 1, DIGITS))
-    ranges = rows.groupBy("_source", "_range").agg(F.sum("size").alias("s"))
-    w = Window.partitionBy("_source").orderBy("_range")
+    # A source's name that is never null: the window's dealing then serves the join too, and the rows are shuffled once.
+    rows = rows.withColumn("_name", F.coalesce(F.concat(F.lit("="), "_source"), F.lit("")))
+    ranges = rows.groupBy("_name", "_range").agg(F.sum("size").alias("s"))
+    w = Window.partitionBy("_name").orderBy("_range")
     ranges = ranges.withColumn("_from", F.sum("s").over(w) - F.col("s"))
-    plan = ranges.join(goal.withColumnRenamed("_source", "_g"), F.col("_source").eqNullSafe(F.col("_g"))).select(F.col("_source").alias("_p"), F.col("_range").alias("_r"), "_from", "source_size", "target")
-    at = Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_within", F.sum("size").over(at) - F.col("size"))
-    rows = rows.join(plan, F.col("_source").eqNullSafe(F.col("_p")) & (F.col("_range") == F.col("_r")))
+    goal = goal.select(F.coalesce(F.concat(F.lit("="), "_source"), F.lit("")).alias("_name"), "source_size", "target")
+    plan = ranges.join(goal, "_name").select("_name", "_range", "_from", "source_size", "target")
+    at = Window.partitionBy("_name", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_within", F.sum("size").over(at) - F.col("size")).join(plan, ["_name", "_range"])
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size") - F.col("_from") - F.col("_within")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return rows.withColumn("taken", taken.cast("long")).drop("_key", "_range", "_from", "_within", "_p", "_r")
+    return rows.withColumn("taken", taken.cast("long")).drop("_key", "_name", "_range", "_from", "_within")
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 0) -> DataFrame:
