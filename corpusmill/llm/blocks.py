@@ -54,3 +54,9 @@ def pack(chunks: Iterable[tuple[np.ndarray, ...]], blocks: int, names: list[str]
 
 def unpack(table: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
+
+
+def packed(chunks: Iterable[tuple[np.ndarray, ...]], blocks: int, names: list[str]) -> pa.Table:
+    """As ``pack``, in one table: to deal a block's result anew."""
+    out = list(pack(chunks, blocks, names))
+    return pa.Table.from_batches(out) if out else pa.table({"block": pa.array([], pa.int32())} | {n: pa.array([], pa.binary()) for n in names})

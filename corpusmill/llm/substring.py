@@ -94,10 +94,14 @@ def _recurring(docs: DataFrame, window: int, phrase: int, n_blocks: int) -> Data
         again[group[twice]] = True
         again[group[1:][(key[1:] == key[:-1]) & (owner[1:] != owner[:-1])]] = True
         key, owner = key[again[group]], owner[again[group]]
-        return _by_owner(["class", "keys"], [owner], key)
+        return B.packed([(owner.view(np.uint64), key)], n_blocks, ["owner", "key"])
 
-    packed = docs.select("text").mapInArrow(pack, "block int, key binary, owner binary, twice binary")
-    return packed.groupBy("block").applyInArrow(recur, "class long, keys binary").groupBy("class").agg(F.collect_list("keys").alias("keys"))
+    def gather(t: pa.Table) -> pa.Table:
+        return _by_owner(["class", "keys"], [B.unpack(t, "owner", np.int64)], B.unpack(t, "key", np.uint32))
+
+    by_phrase = docs.select("text").mapInArrow(pack, "block int, key binary, owner binary, twice binary")
+    by_row = by_phrase.groupBy("block").applyInArrow(recur, "block int, owner binary, key binary")
+    return by_row.groupBy("block").applyInArrow(gather, "class long, keys binary")
 
 
 def _by_owner(names: list[str], owners: list[np.ndarray], values: np.ndarray) -> pa.Table:
@@ -151,7 +155,7 @@ def _removed(found: DataFrame, window: int, phrase: int, n_blocks: int) -> DataF
             held, size = [], 0
             for i, c, t, keys in zip(*b.columns, strict=True):
                 w = words(t.as_py())
-                held.append((i.as_py(), c.as_py(), w, np.frombuffer(b"".join(keys.as_py()), np.uint32)))
+                held.append((i.as_py(), c.as_py(), w, np.frombuffer(keys.as_py(), np.uint32)))
                 size += sum(map(len, w))
                 if size > SHARD:
                     yield held
@@ -183,10 +187,15 @@ def _removed(found: DataFrame, window: int, phrase: int, n_blocks: int) -> DataF
         key, doc, owner, start, again = (B.unpack(t, c, k) for c, k in kinds.items())
         order, late = _not_first(key, doc, owner, start)
         late |= again[order]
-        return _by_owner(["_id", "class", "starts"], [doc[order][late], owner[order][late]], start[order][late])
+        return B.packed([(owner[order][late].view(np.uint64), doc[order][late], start[order][late])], n_blocks, ["owner", "doc", "start"])
+
+    def gather(t: pa.Table) -> pa.Table:
+        owner, doc, start = (B.unpack(t, c, k) for c, k in (("owner", np.int64), ("doc", np.int64), ("start", np.uint32)))
+        return _by_owner(["_id", "class", "starts"], [doc, owner], start)
 
     packed = found.select("_id", "class", "text", "keys").mapInArrow(locate, "block int, key binary, doc binary, owner binary, start binary, again binary")
-    return packed.groupBy("block").applyInArrow(judge, "_id long, class long, starts binary").groupBy("_id", "class").agg(F.collect_list("starts").alias("starts"))
+    by_row = packed.groupBy("block").applyInArrow(judge, "block int, owner binary, doc binary, start binary")
+    return by_row.groupBy("block").applyInArrow(gather, "_id long, class long, starts binary")
 
 
 def remove(w: list[bytes], starts: np.ndarray, window: int) -> list[bytes]:
@@ -221,7 +230,7 @@ def dedup_passages(docs: DataFrame, window: int = 20, phrase: int = 6) -> DataFr
             for i, c, t, s in zip(*b.columns, strict=True):
                 w = words(t.as_py())
                 if digest(b" ".join(w)) == c.as_py():
-                    rest = remove(w, np.frombuffer(b"".join(s.as_py()), np.uint32), window)
+                    rest = remove(w, np.frombuffer(s.as_py(), np.uint32), window)
                     text = b" ".join(rest)
                     out.append((i.as_py(), c.as_py(), len(w) - len(rest), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "surrogatepass")))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
