@@ -103,3 +103,45 @@ VAGUE_TERMS = [
     ("这个类", "{file_path}文件第{line_start}行的类"), ("该类", "{file_path}文件第{line_start}行的类"), ("此类", "{file_path}文件第{line_start}行的类"),
     ("这里", "在{file_path}文件的第{line_start}行"), ("此处", "在{file_path}文件的第{line_start}行"), ("该文件", "{file_path}文件"), ("此文件", "{file_path}文件"),
 ]
+# Multiple choice: question, right answers (as above), wrong answers in order, explanation.
+CHOICE_QUESTIONS = {"conditional_rule": "What is the business rule for handling {condition} in {file_path}?", "function_rule": "How does {name} work in {file_path}?", "class_rule": "What is the design of {name} in {file_path}?", "comment_rule": "What is the rule for {description}?"}
+CHOICE_CONDITION = [
+    (["redirect"], "The library handles redirects automatically, with configurable limits via parameters."),
+    (["timeout"], "The system enforces timeouts on connect and read operations to prevent indefinite waits."),
+    (["error", "exception"], "The system raises appropriate exceptions when the condition is met, ensuring proper error handling."),
+    ([""], "When {condition}, the system performs specific actions as defined in the implementation."),
+]
+CHOICE_FUNCTION = ("The function {name} accepts {params} and implements the logic described in its documentation.", "The function {name} accepts {params} and performs operations based on the input parameters.")
+CHOICE_CLASS = "The class {name} {bases} and provides functionality following object-oriented design principles."
+WRONG_ANSWERS = {
+    "conditional_rule": ["The condition is always false and never executes.", "The system ignores the condition and always takes the else branch.", "The condition is only checked during initialization, not at runtime.", "The system raises an error regardless of the condition value.", "The condition is used for logging purposes only, not for control flow."],
+    "function_rule": ["The function {name} does not accept any parameters.", "The function {name} always returns None regardless of input.", "The function {name} is deprecated and should not be used.", "The function {name} only works in debug mode.", "The function {name} requires administrator privileges to execute."],
+    "class_rule": ["The class {name} is an abstract class with no concrete implementation.", "The class {name} is only used for testing and not in production code.", "The class {name} inherits from multiple base classes using multiple inheritance.", "The class {name} is a singleton class that can only be instantiated once.", "The class {name} is deprecated and replaced by a newer implementation."],
+    "comment_rule": ["The rule is not enforced and can be bypassed.", "The rule only applies in development environment, not in production.", "The rule is optional and can be disabled via configuration.", "The rule is deprecated and no longer used in the current version.", "The rule is only checked when debugging is enabled."],
+}
+EXPLANATIONS = {
+    "conditional_rule": "The correct answer explains the conditional logic in {file_path}. The condition controls the program flow based on specific criteria, ensuring proper behavior of the system.",
+    "function_rule": "The correct answer describes how {name} works in {file_path}. Understanding function behavior is crucial for using the API correctly.",
+    "class_rule": "The correct answer explains the design of {name} in {file_path}. The class structure follows object-oriented principles to provide the required functionality.",
+    "comment_rule": "The correct answer describes the rule in {file_path}. Understanding these rules helps in correctly using and extending the codebase.",
+}
+# Designs: what a demand asks for, the keywords of code that bears on it, the scheme with and without an adapter in the code base.
+DESIGN_KEYWORDS = [(["auth"], ["auth", "authentication", "token", "credential"]), (["rate"], ["adapter", "handler", "send", "request"]), (["log"], ["log", "logger", "debug"]), (["cache"], ["cache", "store", "memory"]), ([""], ["base", "class", "handler"])]
+SCHEMES = {
+    "auth_adapter": "Integrate an AuthHandler class similar to existing adapters, with methods for token refresh and header injection. Extend Session class to include auth parameter. Follow the adapter pattern used in the codebase for consistency. {place}. The AuthHandler should implement methods like authenticate(), refresh_token(), and inject_headers(). It should integrate seamlessly with the existing request/response cycle and maintain compatibility with current authentication mechanisms.",
+    "auth": "Create an AuthHandler class that inherits from a base handler class. {place}. Implement methods for token management and authentication. Integrate with the existing session management system. The handler should support multiple authentication schemes including Basic Auth, Bearer tokens, and custom authentication methods. It should handle token expiration and automatic refresh, ensuring secure and seamless authentication throughout the application lifecycle.",
+    "rate_adapter": "Create a RateLimiter adapter that inherits from HTTPAdapter, with a queue and sleep mechanism before send(). {place}. Integrate into Session.mount() following the existing adapter pattern. The rate limiter should support configurable limits per endpoint, sliding window algorithms, and graceful handling of rate limit exceeded scenarios. It should provide metrics and logging capabilities for monitoring rate limit effectiveness.",
+    "rate": "Design a RateLimiter class with a token bucket algorithm. {place}. Integrate it into the request pipeline before sending requests. Maintain compatibility with existing request flow. The rate limiter should support multiple rate limiting strategies including fixed window, sliding window, and token bucket. It should handle concurrent requests efficiently and provide clear error messages when limits are exceeded.",
+    "logging": "Create a LoggingHandler that integrates with the existing handler system. {place}. Add logging hooks at key points: request preparation, response handling, and error cases. Use a configurable logging level system. The logging handler should support structured logging with context information, log rotation and retention policies, and integration with external logging services. It should provide detailed request/response logging while maintaining performance and privacy considerations.",
+    "caching": "Design a CacheManager that can be integrated into the request/response cycle. {place}. Implement cache key generation based on request parameters. Add cache invalidation mechanisms and TTL support. The cache manager should support multiple storage backends including in-memory, Redis, and file-based caching. It should implement cache strategies like LRU, LFU, and time-based expiration. The system should handle cache stampede prevention and provide cache statistics for monitoring.",
+    "error": "Create an ErrorHandler class following the existing error handling patterns. {place}. Implement custom exception types and error recovery mechanisms. Integrate with the existing request/response flow. The error handler should support retry strategies with exponential backoff, error classification and categorization, and comprehensive error logging. It should provide user-friendly error messages while maintaining detailed diagnostic information for developers.",
+    "inheritance": "Design a new module following the inheritance pattern used in the codebase. {place}. Create base classes and extend them for specific implementations. Maintain consistency with existing architecture. The module should follow the established design patterns, provide clear interfaces, and ensure backward compatibility. It should integrate seamlessly with existing components while providing extensibility for future enhancements.",
+    "generic": "Design a modular component that integrates with the existing codebase. {place}. Follow the established patterns and maintain separation of concerns. Ensure compatibility with existing interfaces. The component should be well-documented, testable, and follow the single responsibility principle. It should provide clear APIs and handle edge cases gracefully while maintaining performance and reliability.",
+}
+PLACES = {
+    "auth_adapter": ("Location: Extend existing {file} or create auth_handler.py", "auth.py"), "auth": ("Location: Create auth_handler.py in the same directory as {file}", "existing auth modules"),
+    "rate_adapter": ("Location: Create rate_limiter.py in adapters/ directory or extend {file}", "existing adapter file"), "rate": ("Location: Create rate_limiter.py in utils/ or middleware/ directory", ""),
+    "logging": ("Location: Create logging_handler.py in utils/ directory or handlers/logging.py", ""), "caching": ("Location: Create cache_manager.py in utils/ directory or cache/cache_manager.py", ""),
+    "error_file": ("Location: Extend existing {file} or create error_handler.py in the same directory", ""), "error": ("Location: Create error_handler.py or extend exceptions.py", ""),
+    "folder": ("Location: Create new module in {file}/ or extend existing files", ""), "none": ("Location: To be determined based on project structure", ""),
+}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed
 from corpusmill.functions import scalars as S
-from corpusmill.operators import extract, generate, metrics, mix, profile, render, responses, validate
+from corpusmill.operators import choices, extract, generate, metrics, mix, profile, render, responses, validate
 from corpusmill.plans import tables as T
 from corpusmill.sources import repository
 
@@ -341,6 +341,55 @@ def mcq_options(spark, d):
     return generate.options(b, "right", wrong, 42, "item_id").select("item_id", F.array_join("options", "/").alias("options"), "correct_answer")
 
 
+def _fill(t: str, **values: str) -> str:
+    return _case([([""], t)], "''", **values)
+
+
+def _kinds(ts: dict[str, str], **values: str) -> str:
+    return "case type " + " ".join(f"when '{k}' then {_fill(ts[k], **values)}" for k in ("conditional_rule", "function_rule", "class_rule")) + " end"
+
+
+_MCQ = {"condition": "cond", "name": "name", "file_path": "file_path", "params": "(case when even then lang || ', ' || source else 'no parameters' end)", "bases": "(case when even then 'inherits from ' || lang else 'is a standalone class' end)"}
+
+
+@query("mcq_samples", f"""with {_RULES}, a as (select doc_id, file_path, {_kinds(fixed.CHOICE_QUESTIONS, **_MCQ)} as question, {_kinds(fixed.EXPLANATIONS, **_MCQ)} as explanation,
+ case type when 'conditional_rule' then {_case(fixed.CHOICE_CONDITION, "lower(code)", **_MCQ)} when 'function_rule' then case when doc <> '' then {_fill(fixed.CHOICE_FUNCTION[0], **_MCQ)} else {_fill(fixed.CHOICE_FUNCTION[1], **_MCQ)} end else {_fill(fixed.CHOICE_CLASS, **_MCQ)} end as r,
+ [{", ".join(_kinds({k: ts[i] for k, ts in fixed.WRONG_ANSWERS.items()}, **_MCQ) for i in range(3))}] as wrong from r),
+p as (select *, list_transform(list_sort(list_transform(list_concat([r], wrong), lambda x: {{k: md5('42|' || file_path || '|' || doc_id || '|' || x), o: x}})), lambda y: y.o) as options from a)
+select file_path || '_' || doc_id as rule_id, question, array_to_string(options, '/') as options, ['A', 'B', 'C', 'D'][list_position(options, r)] as correct_answer, explanation from p""")
+def mcq_samples(spark, d):
+    q = choices.questions(T.rules(spark, d))
+    return q.select(S.rule_id(F.col("file_path"), F.col("line_start")).alias("rule_id"), "question", F.array_join("options", "/").alias("options"), "correct_answer", "explanation")
+
+
+def _scheme(kind: str, place: str, file: str = "") -> str:
+    return "'" + fixed.SCHEMES[kind].replace("{place}", fixed.PLACES[place][0].replace("{file}", file)).replace("'", "''") + "'"
+
+
+@query("design_schemes", "with d as (select ord::int as ord, ds[(ord % 10 + 1)::int] || case when ord >= 10 then ' (variant ' || (ord // 10) || ')' else '' end as demand from (select unnest(range(0, 20)) as ord, [" + ", ".join(f"'{x}'" for x in fixed.DEMANDS) + f"""] as ds)) select ord, demand,
+ case when contains(lower(demand), 'authentication') then {_scheme("auth_adapter", "auth_adapter", "src/auth.py")} when contains(lower(demand), 'rate-limiting') then {_scheme("rate_adapter", "rate_adapter", "src/adapters.py")}
+ when contains(lower(demand), 'logging') then {_scheme("logging", "logging")} when contains(lower(demand), 'caching') then {_scheme("caching", "caching")} when contains(lower(demand), 'error') then {_scheme("error", "error_file", "src/exceptions.py")} else {_scheme("inheritance", "folder", "src0")} end as scheme,
+ case when contains(lower(demand), 'auth') then 'Create new file: src/auth_extended.py or extend existing src/auth.py' when contains(lower(demand), 'rate') or contains(lower(demand), 'limit') then 'Create new file: rate_limiter.py or integrate into src/adapters.py'
+ when contains(lower(demand), 'log') then 'Create new file: logging_handler.py or utils/logging.py' when contains(lower(demand), 'cache') then 'Create new file: cache_manager.py or utils/cache.py' when contains(lower(demand), 'error') then 'Extend existing src/exceptions.py or create error_handler.py'
+ else 'Create new file in src0/ or extend ' || (select lang from documents where doc_id = 0) || '.py' end as storage from d""")
+def design_schemes(spark, d):
+    path = F.expr("case doc_id when 3 then 'src/auth.py' when 5 then 'src/adapters.py' when 7 then 'src/exceptions.py' else concat(source, '/', lang, '.py') end")
+    files = T.table(spark, d, "documents").select(F.col("doc_id").alias("ord"), path.alias("file_path"))
+    arch = spark.range(1).select(F.lit(1).alias("adapters"), F.lit(1).alias("inheritance"))
+    return choices.schemes(generate.demands(spark, 20), choices.file_facts(files), arch)
+
+
+@query("demand_keywords", "select item_id, case when contains(lower(text), 'auth') then 'auth,authentication,token,credential' when contains(lower(text), 'rate') then 'adapter,handler,send,request' when contains(lower(text), 'log') then 'log,logger,debug' when contains(lower(text), 'cache') then 'cache,store,memory' else 'base,class,handler' end as kw from benchmark")
+def demand_keywords(spark, d):
+    return T.table(spark, d, "benchmark").select("item_id", F.array_join(choices.demand_keywords(F.col("text")), ",").alias("kw"))
+
+
+@query("mcq_dedup", "select min(doc_id) as doc_id from (select doc_id, 'What is ' || lang || ' of ' || source as q from documents) group by lower(q)")
+def mcq_dedup(spark, d):
+    q = T.table(spark, d, "documents").select("doc_id", F.concat(F.lit("What is "), "lang", F.lit(" of "), "source").alias("question"))
+    return choices.distinct_questions(q, "doc_id").select("doc_id")
+
+
 @query("distractor_pairs", f"with r as (select item_id::varchar as rule_id, item_id % 3 as type from benchmark) select rule_id, coalesce(lead(rule_id) over w, first(rule_id) over (partition by type order by {_key(42, 'rule_id')} rows between unbounded preceding and unbounded following)) as other from r window w as (partition by type order by {_key(42, 'rule_id')})")
 def distractor_pairs(spark, d):
     return generate.distractors(T.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("rule_id"), (F.col("item_id") % 3).alias("type")), 42)
