@@ -145,3 +145,13 @@ PLACES = {
     "error_file": ("Location: Extend existing {file} or create error_handler.py in the same directory", ""), "error": ("Location: Create error_handler.py or extend exceptions.py", ""),
     "folder": ("Location: Create new module in {file}/ or extend existing files", ""), "none": ("Location: To be determined based on project structure", ""),
 }
+# Traces: (action, evidence, conclusion) of the default steps, summaries, words that mark a step.
+PLACE_FORMAT = "{file_path} 第{line_start}行"
+RULE_STEPS = [("识别代码结构", PLACE_FORMAT, "识别出代码规则的基本结构"), ("分析业务逻辑", "代码片段内容", "理解代码的业务规则和功能")]
+RULE_SUMMARY = "基于代码分析得出的业务规则和逻辑"
+DESIGN_STEPS = [("分析现有架构", "代码仓库中的结构信息", "识别出现有架构的设计模式和风格"), ("识别集成点", "{file_path} 中的基类和接口", "找到可以扩展的集成点"), ("设计决策", "现有代码的设计模式", "选择合适的设计方案以保持一致性")]
+DESIGN_SUMMARY = "基于现有架构设计满足需求的新模块"
+INTEGRATION_POINT = ("src/base.py", "通过继承基类实现新功能", "保持与现有代码的一致性")
+STEP_WORDS = ["step", "步骤", "first", "首先", "then", "然后"]
+STEP_EVIDENCE, STEP_CONCLUSION, ONLY_STEP, ONLY_CONCLUSION = "代码分析", "基于代码分析得出结论", "分析代码结构", "基于代码分析"
+VAGUE_DESIGN_TERMS = [("现有代码", "{file_path}文件中的代码"), ("相关代码", "{file_path}文件中的代码"), ("这段代码", "{file_path}文件中的代码"), ("该代码", "{file_path}文件中的代码"), ("代码库", "代码仓库"), ("现有系统", "现有系统（主要参考{file_path}文件）"), ("相关文件", "{files}等文件"), ("该文件", "{file_path}文件"), ("此文件", "{file_path}文件")]

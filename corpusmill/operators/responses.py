@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import scalars as S
+from corpusmill.operators import traces
 
 SAMPLE = "question string, answer string, trace struct<steps: array<struct<step: int, action: string, evidence: string, conclusion: string>>, summary: string>"
 
@@ -81,19 +82,14 @@ def labelled(c: Column) -> Column:
     return F.struct(part("question|问题", every).alias("question"), part("answer|答案", every).alias("answer"), part("reasoning|推理", every).alias("trace_text"))
 
 
-def default_trace(path: Column) -> Column:
-    step = lambda k, a, c: F.struct(F.lit(k).alias("step"), F.lit(a).alias("action"), path.alias("evidence"), F.lit(c).alias("conclusion"))
-    return F.struct(F.array(step(1, "Read the code", "The code is understood"), step(2, "Derive the rule", "The rule is stated")).alias("steps"), F.lit("The answer follows from the code that is shown").alias("summary"))
-
-
-def read_responses(df: DataFrame, text: str = "response", path: str = "file_path") -> DataFrame:
+def read_responses(df: DataFrame, text: str = "response", path: str = "file_path", line: str = "line_start") -> DataFrame:
     """``df`` with question, answer and trace: from JSON, else from labels, else the whole text as answer."""
     d = found_json(df, text, "_json")
     parsed = F.from_json("_json", SAMPLE)
     plain = labelled(F.col(text))
     blank = lambda c: F.nullif(c, F.lit(""))
     d = d.withColumns({"_p": parsed, "_l": plain})
-    return d.withColumns({"question": F.coalesce(blank(F.col("_p.question")), F.col("_l.question")), "answer": F.coalesce(blank(F.col("_p.answer")), blank(F.col("_l.answer")), S.text_of(text)), "trace": F.coalesce("_p.trace", default_trace(F.col(path)))}).drop("_p", "_l", "_json")
+    return d.withColumns({"question": F.coalesce(blank(F.col("_p.question")), F.col("_l.question")), "answer": F.coalesce(blank(F.col("_p.answer")), blank(F.col("_l.answer")), S.text_of(text)), "trace": F.coalesce("_p.trace", traces.of_rule(F.col(path), F.col(line) if line in df.columns else F.lit(1)))}).drop("_p", "_l", "_json")
 
 
 def generated(prompts: DataFrame, model: Callable[[list[str]], list[str]], prompt: str = "prompt") -> DataFrame:

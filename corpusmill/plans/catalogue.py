@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed
 from corpusmill.functions import scalars as S
-from corpusmill.operators import choices, extract, generate, metrics, mix, profile, render, responses, validate
+from corpusmill.operators import choices, extract, generate, metrics, mix, profile, render, responses, traces, validate
 from corpusmill.plans import tables as T
 from corpusmill.sources import repository
 
@@ -423,6 +423,17 @@ def labelled_text(spark, d):
     return t.select("conv_id", responses.labelled(F.col("t")).alias("l")).select("conv_id", "l.question", "l.answer")
 
 
+@query("structured_trace", f"""with {T.TURNS}, t as (select conv_id, 'Step one' || chr(10) || q || chr(10) || 'THEN ' || a as t from c), l as (select conv_id, t, list_filter(list_transform(string_split(t, chr(10)), lambda x: {T.sql_strip("x")}), lambda x: x <> '') as ls from t),
+m as (select *, list_filter(range(1, least(len(ls), 5) + 1), lambda i: regexp_matches(lower(ls[i]), 'step|步骤|first|首先|then|然后')) as marks from l)
+select conv_id, array_to_string(list_transform(marks, lambda i: substring(ls[i], 1, 100)), '|') as actions, array_to_string(list_transform(marks, lambda i: case when i >= len(ls) then '代码分析' else 'f.py 第' || conv_id || '行' end), '|') as evidence,
+ array_to_string(list_transform(marks, lambda i: substring(coalesce(ls[i + 1], '基于代码分析得出结论'), 1, 200)), '|') as conclusions, substring(t, 1, 300) as summary from m""")
+def structured_trace(spark, d):
+    t = T.turns(spark, d).select("conv_id", F.concat(F.lit("Step one\n"), "q", F.lit("\nTHEN "), "a").alias("t"))
+    s = t.select("conv_id", traces.of_text(F.col("t"), F.lit("f.py"), F.col("conv_id")).alias("s"))
+    part = lambda f: F.array_join(F.transform("s.steps", lambda x: x[f]), "|")
+    return s.select("conv_id", part("action").alias("actions"), part("evidence").alias("evidence"), part("conclusion").alias("conclusions"), F.col("s.summary").alias("summary"))
+
+
 @query("failure_feedback", "with f as (select user_id as rule_id, event_id as attempt, event_type as reason, row_number() over (partition by user_id order by event_id desc) as n from events) select rule_id, string_agg(reason, '; ' order by attempt) as feedback from f where n <= 3 group by rule_id")
 def failure_feedback(spark, d):
     e = T.table(spark, d, "events").select(F.col("user_id").alias("rule_id"), F.col("event_id").alias("attempt"), F.array("event_type").alias("reasons"))
