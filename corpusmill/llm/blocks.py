@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Entries that a block holds on average, and that a task holds before it writes them out.
-ENTRIES, HELD = 1_500_000, 3_000_000
+ENTRIES, HELD = 1_500_000, 1_000_000
 
 
 def count(spark: SparkSession, entries: int) -> int:
@@ -23,22 +23,24 @@ def count(spark: SparkSession, entries: int) -> int:
 
 
 def pack(chunks: Iterable[tuple[np.ndarray, ...]], blocks: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Chunks are (keys, column, column...) of one length; the first is the uint64 hash."""
+    """Chunks are (keys, column, column...) of one length; the first is the uint64 hash, which is left out if its name is empty."""
     held: list[tuple[np.ndarray, ...]] = []
     n = 0
 
     def out() -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-        block = ((columns[0] >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+        held.clear()
+        block = (((columns[0] >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.uint32)
         order = np.argsort(block, kind="stable")
         block = block[order]
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         ends = np.r_[starts[1:], len(block)]
-        sorted_columns = [c[order] for c in columns]
+        sorted_columns = [c[order] for c, name in zip(columns, names, strict=True) if name]
+        del columns, order
         for at in range(0, len(starts), 64):
             some = list(zip(starts[at : at + 64], ends[at : at + 64], strict=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(block[s]) for s, _ in some], pa.int32())] + [pa.array([c[s:e].tobytes() for s, e in some], pa.binary()) for c in sorted_columns], ["block", *names]
+                [pa.array([int(block[s]) for s, _ in some], pa.int32())] + [pa.array([c[s:e].tobytes() for s, e in some], pa.binary()) for c in sorted_columns], ["block", *filter(None, names)]
             )
 
     for chunk in chunks:
@@ -47,7 +49,7 @@ def pack(chunks: Iterable[tuple[np.ndarray, ...]], blocks: int, names: list[str]
             n += len(chunk[0])
         if n >= HELD:
             yield from out()
-            held, n = [], 0
+            n = 0
     if n:
         yield from out()
 
@@ -59,4 +61,4 @@ def unpack(table: pa.Table, name: str, kind: type) -> np.ndarray:
 def packed(chunks: Iterable[tuple[np.ndarray, ...]], blocks: int, names: list[str]) -> pa.Table:
     """As ``pack``, in one table: to deal a block's result anew."""
     out = list(pack(chunks, blocks, names))
-    return pa.Table.from_batches(out) if out else pa.table({"block": pa.array([], pa.int32())} | {n: pa.array([], pa.binary()) for n in names})
+    return pa.Table.from_batches(out) if out else pa.table({"block": pa.array([], pa.int32())} | {n: pa.array([], pa.binary()) for n in names if n})

@@ -81,8 +81,7 @@ def _recurring(docs: DataFrame, window: int, phrase: int, n_blocks: int) -> Data
                     key, times = np.unique(_phrases(codes(w), window, phrase)[1], return_counts=True)
                     yield key, key.astype(np.uint32), np.full(len(key), cls, np.int64), times > 1
 
-        for r in B.pack(chunks(), n_blocks, ["_", "key", "owner", "twice"]):
-            yield r.select(["block", "key", "owner", "twice"])
+        yield from B.pack(chunks(), n_blocks, ["", "key", "owner", "twice"])
 
     def recur(t: pa.Table) -> pa.Table:
         key, owner, twice = (B.unpack(t, c, k) for c, k in (("key", np.uint32), ("owner", np.int64), ("twice", np.bool_)))
@@ -177,10 +176,9 @@ def _removed(found: DataFrame, window: int, phrase: int, n_blocks: int) -> DataF
                         columns = [np.concatenate(x) for x in (key, doc, owner, start)]
                         order, again = _not_first(*columns)
                         columns = [c[order] for c in columns]
-                        yield columns[0], *columns, again
+                        yield *columns, again
 
-        for r in B.pack(chunks(), n_blocks, ["_", "key", "doc", "owner", "start", "again"]):
-            yield r.select(["block", "key", "doc", "owner", "start", "again"])
+        yield from B.pack(chunks(), n_blocks, ["key", "doc", "owner", "start", "again"])
 
     def judge(t: pa.Table) -> pa.Table:
         kinds = {"key": np.uint64, "doc": np.int64, "owner": np.int64, "start": np.uint32, "again": np.bool_}

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Hashes of words are kept, and forgotten all at once, at this many.
-VOCABULARY = 500_000
+VOCABULARY = 200_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -111,13 +111,18 @@ def _marked(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return asked.withColumn("_seen", F.coalesce(F.col(column).isNotNull() & F.expr(bit), F.lit(False))).drop("_s", "_chunk", "_marks")
 
 
+def perhaps_id(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` that the Bloom filter lets through: all whose id is among ``ids``, and few others."""
+    return _marked(df, ids, column).where("_seen").drop("_seen")
+
+
 def having_id(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """The rows of ``df`` whose id is among ``ids``, with the other columns of ``ids``.
 
     A Bloom filter spares most of the other rows the shuffle; an ordinary join then
     settles it.  Where the filter fills up, all rows are shuffled.
     """
-    return _marked(df, ids, column).where("_seen").drop("_seen").join(ids, column)
+    return perhaps_id(df, ids, column).join(ids, column)
 
 
 def lacking_id(df: DataFrame, ids: DataFrame, column: str, once: list[str]) -> DataFrame:
