@@ -5,10 +5,10 @@ row (a class).  Rows x and y link when their Jaccard similarity is num/den or
 more, which bounds their overlap by the sizes: |x & y| >= num (|x|+|y|) / (num+den).
 
 1. Isolated rows go first.  Linked rows differ in D columns at most, so of
-   D + 1 + E column ranges at least 1 + E hold the same in both.  A row whose
-   ranges all differ from every other row's (of a size that could link) links
-   with nothing.  Empty ranges are compared only for rows with more than E of
-   them, the one case in which nothing else need agree.  No link is lost.
+   D + 1 + E column ranges at least 1 + E hold the same in both.  A row of which fewer
+   ranges are met with in other rows (of a size that could link) links with nothing.
+   Empty ranges are compared only for rows with more than E of them, which need one
+   range; others need as many fewer as they have.  No link is lost.
 2. The incidence entries of the other rows are dealt into column blocks, which
    count their columns; a row's columns are ordered by that count, rare ones first.
 3. The product: for each pair the overlap is accumulated over the shared columns
@@ -18,6 +18,7 @@ more, which bounds their overlap by the sizes: |x & y| >= num (|x|+|y|) / (num+d
 4. The other columns of the remaining pairs are added up, block by block, until
    the bound is reached or out of reach.
 
+Steps 3 and 4 are done twice: once by a single row of each column, then between rows not connected yet (``links``).
 Widely shared passages are the last columns of their rows, so they make pairs only
 of rows that consist of little else.
 """
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import blocks as B
 from corpusmill.llm.graph import components
-from corpusmill.llm.text import digest, having_id, kept, mix, prepare, shingles
+from corpusmill.llm.text import digest, having_id, kept, lacking_id, mix, perhaps_id, prepare, shingles
 
 
 def _bounds(num: int, den: int) -> list[int]:
@@ -45,20 +46,21 @@ def _bounds(num: int, den: int) -> list[int]:
     return out
 
 
-def _ranges(x: np.ndarray, level: int, top: int, num: int, den: int) -> np.ndarray:
-    """A hash for each column range of the sorted row x, at a level whose rows have ``top`` columns at most."""
+def _ranges(x: np.ndarray, level: int, top: int, num: int, den: int) -> tuple[np.ndarray, int]:
+    """A hash for each column range of the sorted row x, at a level whose rows have ``top`` columns at most, and how many a link needs."""
     differ = (den - num) * 2 * top // (den + num)
     if not differ:
-        return x[:0]
-    spare = (differ + 1) // 12 + 1
+        return x[:0], 1
+    spare = (differ + 1) // 3 + 1
     m = differ + 1 + spare
     at = ((x >> np.uint64(33)) * np.uint64(m)) >> np.uint64(31)
     starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     held = at[starts]
     out = mix(np.add.reduceat(mix(x), starts) + mix(held + np.uint64(level << 40)))
-    if m - len(held) > spare:
-        out = np.r_[out, mix(np.setdiff1d(np.arange(m, dtype=np.uint64), held) + np.uint64(level << 40) + np.uint64(1 << 39))]
-    return out
+    empty = m - len(held)
+    if empty <= spare:
+        return out, 1 + spare - empty
+    return np.r_[out, mix(np.setdiff1d(np.arange(m, dtype=np.uint64), held) + np.uint64(level << 40) + np.uint64(1 << 39))], 1
 
 
 def classes(docs: DataFrame, words: int) -> DataFrame:
@@ -77,7 +79,7 @@ def classes(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _met(docs: DataFrame, words: int, num: int, den: int, n_blocks: int) -> DataFrame:
-    """The classes that agree with another one in some column range."""
+    """The classes of which enough column ranges are met with in others."""
     bounds = _bounds(num, den)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,28 +92,35 @@ def _met(docs: DataFrame, words: int, num: int, den: int, n_blocks: int) -> Data
                         continue
                     seen.add(cls)
                     level = bisect_right(bounds, len(x)) - 1
-                    sigs = [_ranges(x, level, bounds[level + 1] - 1, num, den)]
+                    s, need = _ranges(x, level, bounds[level + 1] - 1, num, den)
                     if len(x) * den >= bounds[level + 1] * num:
-                        sigs.append(_ranges(x, level + 1, bounds[level + 2] - 1, num, den))
-                    s = np.concatenate(sigs)
-                    yield s, s.astype(np.uint32), np.full(len(s), cls, np.int64)
+                        more, least = _ranges(x, level + 1, bounds[level + 2] - 1, num, den)
+                        s, need = np.concatenate([s, more]), min(need, least)
+                    yield s, s.astype(np.uint32), np.full(len(s), cls, np.int64), np.full(len(s), need, np.uint32)
 
-        for r in B.pack(chunks(), n_blocks, ["_", "key", "owner"]):
-            yield r.select(["block", "key", "owner"])
+        yield from B.pack(chunks(), n_blocks, ["", "key", "owner", "need"])
 
     def meet(t: pa.Table) -> pa.Table:
-        key, owner = B.unpack(t, "key", np.uint32), B.unpack(t, "owner", np.int64)
+        key, owner, need = B.unpack(t, "key", np.uint32), B.unpack(t, "owner", np.int64), B.unpack(t, "need", np.uint32)
         order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
-        met = (key[1:] == key[:-1]) & (owner[1:] != owner[:-1])
-        return pa.table({"class": np.unique(np.r_[owner[1:][met], owner[:-1][met]])})
+        key, owner, need = key[order], owner[order], need[order]
+        other = (key[1:] == key[:-1]) & (owner[1:] != owner[:-1])
+        met = np.zeros(len(key), bool)
+        met[1:] |= other
+        met[:-1] |= other
+        return B.packed([(owner[met].view(np.uint64), need[met])], n_blocks, ["owner", "need"])
+
+    def enough(t: pa.Table) -> pa.Table:
+        owner, at, times = np.unique(B.unpack(t, "owner", np.int64), return_index=True, return_counts=True)
+        return pa.table({"class": owner[times >= B.unpack(t, "need", np.uint32)[at]]})
 
-    packed = docs.select("text").mapInArrow(pack, "block int, key binary, owner binary")
-    return packed.groupBy("block").applyInArrow(meet, "class long").distinct()
+    by_range = docs.select("text").mapInArrow(pack, "block int, key binary, owner binary, need binary")
+    by_row = by_range.groupBy("block").applyInArrow(meet, "block int, owner binary, need binary")
+    return by_row.groupBy("block").applyInArrow(enough, "class long")
 
 
 def _rows(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """class, n and the packed sorted columns; ``members`` has one doc_id for each class wanted."""
+    """class, n and the packed sorted columns; ``members`` has one doc_id for each class wanted.  Repeated documents repeat their row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,70 +128,53 @@ def _rows(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([len(x) for _, x in rows], pa.int64()), pa.array([x.tobytes() for _, x in rows], pa.binary())], ["class", "n", "columns"])
 
     found = having_id(docs.select("doc_id", "text"), members, "doc_id")
-    return found.select("text", "class").mapInArrow(work, "class long, n long, columns binary").dropDuplicates(["class"])
+    return found.select("text", "class").mapInArrow(work, "class long, n long, columns binary")
 
 
 def _firsts(rows: DataFrame, num: int, den: int, n_blocks: int) -> DataFrame:
-    """column, class, n, place: the rows' first columns in order of (count, hash), without those of one row alone."""
+    """column, class, n, place: the rows' first columns in order of (count, hash), without those of one row alone.
+
+    Entries are dealt by column to be counted, and by row to be put in order; either way in packed blocks.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def chunks():
             for b in batches:
                 for c, x in zip(b.column(0), b.column(1), strict=True):
                     x = np.frombuffer(x.as_py(), np.uint64)
-                    yield x, np.full(len(x), c.as_py(), np.int64)
+                    yield x, np.full(len(x), c.as_py(), np.int64), np.full(len(x), len(x), np.uint32)
 
-        yield from B.pack(chunks(), n_blocks, ["key", "owner"])
+        yield from B.pack(chunks(), n_blocks, ["key", "owner", "n"])
 
     def counted(t: pa.Table) -> pa.Table:
-        key, owner = B.unpack(t, "key", np.uint64), B.unpack(t, "owner", np.int64)
-        _, back, times = np.unique(key, return_inverse=True, return_counts=True)
-        times = times[back]
-        shared = times > 1
-        key, owner, times = key[shared], owner[shared], times[shared].astype(np.uint32)
-        order = np.argsort(owner, kind="stable")
-        key, owner, times = key[order], owner[order], times[order]
-        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else []
-        ends = np.r_[starts[1:], len(owner)].astype(int) if len(owner) else []
-        return pa.table(
-            {"class": pa.array([int(owner[s]) for s in starts], pa.int64()), "keys": pa.array([key[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary()), "times": pa.array([times[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())}
-        )
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple[np.ndarray, int, int, np.ndarray]] = []
-            for c, n, keys, times in zip(*b.columns, strict=True):
-                c, n = c.as_py(), n.as_py()
-                key = np.frombuffer(b"".join(keys.as_py()), np.uint64)
-                count = np.frombuffer(b"".join(times.as_py()), np.uint32)
-                least = -(-n * num // den)
-                length = n - -(-num * (n + least) // (num + den)) + 1 - (n - len(key))  # of those here, as the others come before
-                if length > 0:
-                    order = np.lexsort((key, count))[:length]
-                    out.append((key[order].view(np.int64), c, n, np.arange(len(order)) + n - len(key)))
-            if out:
-                sizes = [len(x[0]) for x in out]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([x[0] for x in out])), pa.array(np.repeat([x[1] for x in out], sizes), pa.int64()), pa.array(np.repeat([x[2] for x in out], sizes), pa.int64()), pa.array(np.concatenate([x[3] for x in out]), pa.int64())], ["column", "class", "n", "place"]
-                )
-
-    lists = rows.select("class", "columns").mapInArrow(pack, "block int, key binary, owner binary").groupBy("block").applyInArrow(counted, "class long, keys binary, times binary")
-    lists = lists.groupBy("class").agg(F.collect_list(F.struct("keys", "times")).alias("l")).join(rows.select("class", "n"), "class")
-    return lists.select("class", "n", "l.keys", "l.times").mapInArrow(first, "column long, class long, n long, place long")
-
-
-def links(rows: DataFrame, num: int, den: int, n_blocks: int) -> DataFrame:
-    """(u, v, overlap) of the linked rows."""
-    firsts = kept(_firsts(rows, num, den, n_blocks))
-    a, b = (firsts.select("column", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "place"))) for s in "ab")
-    bound = f"((n_a + n_b) * {num} + {num + den - 1}) div {num + den}"
-    pairs = (
-        a.join(b, (a["column"] == b["column"]) & F.expr(f"class_a < class_b and place_a <= n_a - {bound} and place_b <= n_b - {bound}"))
-        .groupBy("class_a", "class_b", "n_a", "n_b")
-        .agg(F.count("*").alias("overlap"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b"))
-        .where(f"overlap + least(n_a - last_a, n_b - last_b) - 1 >= {bound}")
-        .select(F.col("class_a").alias("u"), F.col("class_b").alias("v"))
-    )
+        key, owner, n = B.unpack(t, "key", np.uint64), B.unpack(t, "owner", np.int64), B.unpack(t, "n", np.uint32)
+        order = np.lexsort((owner, key))
+        key, owner, n = key[order], owner[order], n[order]
+        once = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
+        key, owner, n = key[once], owner[once], n[once]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        times = np.repeat(np.diff(np.r_[starts, len(key)]), np.diff(np.r_[starts, len(key)]))
+        held = times > 1
+        return B.packed([(owner[held].view(np.uint64), key[held], n[held], times[held].astype(np.uint32))], n_blocks, ["owner", "key", "n", "times"])
+
+    def first(t: pa.Table) -> pa.Table:
+        key, owner, n, times = B.unpack(t, "key", np.int64), B.unpack(t, "owner", np.int64), B.unpack(t, "n", np.uint32).astype(np.int64), B.unpack(t, "times", np.uint32)
+        order = np.lexsort((key, times, owner))
+        key, owner, n = key[order], owner[order], n[order]
+        start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        held = np.diff(np.r_[start, len(owner)])
+        place = np.arange(len(owner)) - np.repeat(start, held) + n - np.repeat(held, held)  # columns of one row come before those here
+        least = -(-n * num // den)  # the smallest partner has the smallest bound
+        short = place <= n - -(-num * (n + least) // (num + den))
+        return pa.table({"column": key[short], "class": owner[short], "n": n[short], "place": place[short]})
+
+    by_column = rows.select("class", "columns").mapInArrow(pack, "block int, key binary, owner binary, n binary")
+    by_row = by_column.groupBy("block").applyInArrow(counted, "block int, owner binary, key binary, n binary, times binary")
+    return by_row.groupBy("block").applyInArrow(first, "column long, class long, n long, place long")
+
+
+def _reaching(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) whose overlap, added up over the blocks of all their columns, reaches the bound."""
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,20 +190,63 @@ def links(rows: DataFrame, num: int, den: int, n_blocks: int) -> DataFrame:
                     if both + min(len(x) - x1, len(y) - y1) < bound:
                         break
                 else:
-                    out.append((u.as_py(), v.as_py(), both))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], ["u", "v", "overlap"])
+                    out.append((u.as_py(), v.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], ["u", "v"])
 
+    pairs = kept(pairs)
+    rows = perhaps_id(rows, pairs.select(F.col("u").alias("class")).union(pairs.select("v")).distinct(), "class")
     x, y = (rows.select(F.col("class").alias(u), F.col("columns").alias(c)) for u, c in (("u", "x"), ("v", "y")))
-    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(added, "u long, v long, overlap long")
+    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(added, "u long, v long")
+
+
+def links(rows: DataFrame, num: int, den: int, n_blocks: int) -> DataFrame:
+    """(u, v): links enough to connect all that linked rows connect.
+
+    The product is taken twice, so that a group of k near copies doesn't make k * k pairs.  First each
+    column's rows are multiplied by one row alone, the one in which the column comes first
+    (the fewer rare columns a row has, the nearer it is to the middle of its group).  Then by
+    every row that the links so found haven't connected with them already: only pairs
+    of different components are left, and none of those is left out.
+    """
+    firsts = kept(_firsts(rows, num, den, n_blocks))
+    bound = f"((n_a + n_b) * {num} + {num + den - 1}) div {num + den}"
+    near = f"place_a <= n_a - {bound} and place_b <= n_b - {bound}"
+
+    def side(f: DataFrame, s: str) -> DataFrame:
+        return f.select(*(F.col(c).alias(f"{c}_{s}") for c in f.columns))
+
+    middle = firsts.groupBy("column").agg(F.min(F.struct("place", "class", "n")).alias("m"), F.count("*").alias("k")).where("k > 1")
+    star = side(firsts, "a").join(middle.select(F.col("column").alias("column_b"), F.col("m.class").alias("class_b"), F.col("m.n").alias("n_b"), F.col("m.place").alias("place_b")), F.col("column_a") == F.col("column_b"))
+    star = star.where(f"class_a != class_b and {near}").select(F.least("class_a", "class_b").alias("u"), F.greatest("class_a", "class_b").alias("v")).distinct()
+    found = kept(_reaching(star, rows, num, den))
+
+    root = components(found)
+    of = firsts.join(root, F.col("class") == F.col("node"), "left").select("column", "class", "n", "place", F.coalesce("root", "class").alias("of"))
+    open_ = of.groupBy("column").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("column")
+    of = kept(of.join(open_, "column"))
+    # A component's least place and its extreme sizes bound what any of its rows can do; of a single row they are its own.
+    parts = of.groupBy("column", "of").agg(F.min("place").alias("place"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    reach = lambda s, t: f"place_{s} <= hi_{s} - ((hi_{s} + lo_{t}) * {num} + {num + den - 1}) div {num + den}"
+    two = side(parts, "a").join(side(parts, "b"), F.expr(f"column_a = column_b and of_a < of_b and {reach('a', 'b')} and {reach('b', 'a')}"))
+    two = two.select(F.col("column_a").alias("column"), "of_a", "of_b")
+    two = two.join(side(of, "a").withColumnRenamed("column_a", "column"), ["column", "of_a"])
+    pairs = (
+        two.join(side(of, "b").withColumnRenamed("column_b", "column"), ["column", "of_b"]).where(near)
+        .groupBy("class_a", "class_b", "n_a", "n_b").agg(F.count("*").alias("overlap"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b"))
+        .where(f"overlap + least(n_a - last_a, n_b - last_b) - 1 >= {bound}")
+        .select(F.least("class_a", "class_b").alias("u"), F.greatest("class_a", "class_b").alias("v"))
+    )
+    return found.union(_reaching(pairs, rows, num, den)).distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """doc_id, n_shingles, class, n_links, component_id of every row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id, class of every row of ``docs`` (doc_id, text).
 
-    component_id is the smallest doc_id reachable by links of similarity num/den or
-    more; n_links counts the other classes (different sets) that the row's class links with.
+    component_id is the smallest doc_id reachable by links of similarity num/den or more.  Links are confirmed
+    until they connect all that any links connect; how many there are in all is not counted,
+    as that number grows with the square of a group of near copies.
     Null and empty texts have n_shingles 0 and link with nothing; rows without a
-    doc_id get a null component_id and count as members of their class without naming it.
+    doc_id get a null component_id, and a set that only such rows have links with nothing.
     Repeated rows are members of one class.  Other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
@@ -223,26 +258,21 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     members = by_class.where("doc_id is not null").join(met, "class").select("doc_id", "class")
     rows = kept(_rows(docs, members, words))
     entries = rows.agg(F.sum("n")).first()[0] or 0
-    found = kept(links(rows, num, den, B.count(spark, entries)).select("u", "v"))
+    found = kept(links(rows, num, den, B.count(spark, entries)))
     root = components(found)
-    degree = found.select("u").union(found.select("v")).groupBy("u").agg(F.count("*").alias("n_links"))
-    labelled = (
-        by_class.join(root, F.col("class") == F.col("node"), "left").join(degree, F.col("class") == F.col("u"), "left")
-        .select("class", "doc_id", F.coalesce("root", "class").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    labelled = by_class.join(root, F.col("class") == F.col("node"), "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     first = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labelled = labelled.join(first, "root").select("class", "n_links", "component_id")
+    labelled = labelled.join(first, "root").select("class", "component_id")
     return of.join(labelled, "class", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-        "class", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "class"
     )
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """The documents without those in the component of a smaller doc_id; rows without words or doc_id stay.
+    """The documents without those in the component of a smaller doc_id, and of rows that repeat doc_id and text one.
 
-    Of repeated rows with one doc_id, all stay together.
+    Rows without words or without a doc_id stay.
     """
-    of = jaccard_components(docs, words, num, den)
-    gone = of.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    of = kept(jaccard_components(docs, words, num, den).where("doc_id is not null"))
+    asked = of.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("component_id") < F.col("doc_id")).alias("gone"))
+    return lacking_id(docs, kept(asked.where("gone or n > 1")), "doc_id", ["doc_id", "text"])
