@@ -19,6 +19,7 @@ more, which bounds their overlap by the sizes: |x & y| >= num (|x|+|y|) / (num+d
    the bound is reached or out of reach.
 
 Steps 3 and 4 are done twice: once by a single row of each column, then between rows not connected yet (``links``).
+All links lie within components, so each row's are counted there, tile by tile (``link_counts``), and no pair is kept.
 Widely shared passages are the last columns of their rows, so they make pairs only
 of rows that consist of little else.
 """
@@ -37,6 +38,9 @@ from corpusmill.llm import blocks as B
 from corpusmill.llm.graph import components
 from corpusmill.llm.text import digest, having_id, kept, lacking_id, mix, perhaps_id, prepare, shingles
 
+#: Rows of a block in which a component's links are counted, and columns of a slice of its dense product.
+ROWS, SLICE = 512, 4096
+
 
 def _bounds(num: int, den: int) -> list[int]:
     """Lower ends of the size levels; a row's partners are in its level or the next."""
@@ -239,12 +243,70 @@ def links(rows: DataFrame, num: int, den: int, n_blocks: int) -> DataFrame:
     return found.union(_reaching(pairs, rows, num, den)).distinct()
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """doc_id, n_shingles, component_id, class of every row of ``docs`` (doc_id, text).
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many columns each row of x shares with each row of y: a product of dense slices of the columns that both sides have."""
+    columns, at = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    cut = sum(map(len, x))
+    both = (np.bincount(at[:cut], minlength=len(columns)) > 0) & (np.bincount(at[cut:], minlength=len(columns)) > 0)
+    place, n = np.cumsum(both) - 1, int(both.sum())
+    sides = []
+    for rows, a in ((x, at[:cut]), (y, at[cut:])):
+        row, held = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), both[a]
+        row, a = row[held], place[a[held]]
+        order = np.argsort(a, kind="stable")
+        sides.append((len(rows), row[order], a[order]))
+    out = np.zeros((len(x), len(y)), np.int64)
+    for lo in range(0, n, SLICE):
+        dense = []
+        for k, row, a in sides:
+            part = slice(*np.searchsorted(a, [lo, lo + SLICE]))
+            dense.append(np.zeros((k, min(SLICE, n - lo)), np.float32))
+            dense[-1][row[part], a[part] - lo] = 1
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
+def link_counts(rows: DataFrame, roots: DataFrame, num: int, den: int, n_blocks: int) -> DataFrame:
+    """class, n_links: with how many other rows of its component a row links.  ``roots`` has class and root.
 
-    component_id is the smallest doc_id reachable by links of similarity num/den or more.  Links are confirmed
-    until they connect all that any links connect; how many there are in all is not counted,
-    as that number grows with the square of a group of near copies.
+    A component's rows are dealt by hash into blocks of about ``ROWS`` rows and ``B.ENTRIES`` entries at most; each
+    pair of blocks is a tile, whose overlaps are worked out at once and only counted.  Components of one block
+    share tiles.  Every pair is compared, so the work grows with the square of a component.
+    """
+
+    def count(t: pa.Table) -> pa.Table:
+        groups: dict[int, dict[tuple[int, int], np.ndarray]] = {}
+        for root, block, cls, x in zip(*(t.column(c).to_pylist() for c in ("root", "b", "class", "columns")), strict=True):
+            groups.setdefault(root, {})[block, cls] = np.frombuffer(x, np.uint64)  # a repeated row once
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        cls, links_ = [], []
+        for held in groups.values():
+            u, v = ([k for k in held if k[0] == b] for b in (i, j))
+            if not u or not v:
+                continue
+            x, y = [held[k] for k in u], [held[k] for k in v]
+            bound = -(-num * (np.array([len(r) for r in x])[:, None] + np.array([len(r) for r in y])[None, :]) // (num + den))
+            linked = _overlaps(x, y) >= bound
+            if i == j:
+                np.fill_diagonal(linked, False)
+            for keys, n in ((u, linked.sum(1)), (v, linked.sum(0)))[: 1 if i == j else 2]:
+                cls += [c for _, c in keys]
+                links_ += n.tolist()
+        return pa.table({"class": pa.array(cls, pa.int64()), "n_links": pa.array(links_, pa.int64())})
+
+    sized = rows.select("class", "n").distinct().join(roots, "class")
+    blocks = sized.groupBy("root").agg(F.expr(f"cast(ceil(greatest(count(*) / {ROWS}, sum(n) / {B.ENTRIES})) as int)").alias("blocks"), F.count("*").alias("k")).where("k > 1").drop("k")
+    dealt = kept(sized.join(blocks, "root").select("class", "root", "blocks", F.expr("cast(pmod(xxhash64(class), blocks) as int)").alias("b")))
+    tiles = perhaps_id(rows, dealt.select("class"), "class").select("class", "columns").join(dealt, "class").withColumn("p", F.explode(F.expr("sequence(0, blocks - 1)")))
+    tiles = tiles.select(F.expr(f"if(blocks = 1, pmod(xxhash64(root), {n_blocks}), root)").alias("tile"), F.least("b", "p").alias("i"), F.greatest("b", "p").alias("j"), "root", "b", "class", "columns")
+    return tiles.groupBy("tile", "i", "j").applyInArrow(count, "class long, n_links long").groupBy("class").agg(F.sum("n_links").alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, counted: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, class, n_links of every row of ``docs`` (doc_id, text).
+
+    component_id is the smallest doc_id reachable by links of similarity num/den or more.  n_links counts all
+    other classes (different sets) that the row's class links with; it is left out unless ``counted``.
     Null and empty texts have n_shingles 0 and link with nothing; rows without a
     doc_id get a null component_id, and a set that only such rows have links with nothing.
     Repeated rows are members of one class.  Other columns are ignored.
@@ -262,10 +324,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     root = components(found)
     labelled = by_class.join(root, F.col("class") == F.col("node"), "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     first = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labelled = labelled.join(first, "root").select("class", "component_id")
-    return of.join(labelled, "class", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "class"
-    )
+    component = labelled.join(first, "root").select("class", "component_id")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "class"]
+    if counted:
+        degree = link_counts(rows, labelled.select("class", "root"), num, den, B.count(spark, entries))
+        component = component.join(degree, "class", "left")
+        columns.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return of.join(component, "class", "left").select(*columns)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -273,6 +338,6 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) ->
 
     Rows without words or without a doc_id stay.
     """
-    of = kept(jaccard_components(docs, words, num, den).where("doc_id is not null"))
+    of = kept(jaccard_components(docs, words, num, den, counted=False).where("doc_id is not null"))
     asked = of.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("component_id") < F.col("doc_id")).alias("gone"))
     return lacking_id(docs, kept(asked.where("gone or n > 1")), "doc_id", ["doc_id", "text"])

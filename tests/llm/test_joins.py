@@ -59,6 +59,29 @@ def test_components_of_a_dense_group(spark):
         assert got_components(table(spark, rows), n, num, den) == components(rows, n, num, den)
 
 
+def degrees(rows, n, num, den):
+    sets = {shingles(t, n) for _, t in rows} - {frozenset()}
+    of = {a: sum(a != b and den * len(a & b) >= num * len(a | b) for b in sets) for a in sets}
+    return sorted((d, of.get(shingles(t, n), 0)) for d, t in rows if d is not None)
+
+
+@pytest.mark.parametrize("size", [512, 7])
+def test_every_link_is_counted(spark, odd, monkeypatch, size):
+    """A group of near copies in one block and in many, with all pairs of which some link and some don't."""
+    monkeypatch.setattr(ngram_join, "ROWS", size)
+    monkeypatch.setattr(ngram_join, "SLICE", 50)
+    rng = random.Random(11)
+    base, rows = prose(rng, 150).split(), [r for r in odd if r[0] is not None]
+    for d in range(100, 160):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = f"new{rng.randint(0, 10**6)}"
+        rows += [(d, " ".join(w))] * (1 + (d == 120))
+    for n, num, den in ((3, 90, 100), (5, 8, 10)):
+        got = sorted((r.doc_id, r.n_links) for r in ngram_join.jaccard_components(table(spark, rows), n, num, den).collect())
+        assert got == degrees(rows, n, num, den) and max(k for _, k in got) > 5
+
+
 def test_one_of_each(spark, odd):
     df = table(spark, odd)
     kept = ngram_join.one_of_each(df, 3, 90, 100)
