@@ -459,6 +459,21 @@ def bleu_pairs(spark, d):
     return metrics.bleu()(t).select("conv_id", F.round("bleu", 9).alias("bleu"))
 
 
+def _bleu_whole_sql() -> str:
+    toks = lambda x: f"list_filter(regexp_split_to_array({x}, '[\\s\\p{{Z}}]+'), lambda x: x <> '')"
+    grams = lambda s: f"select conv_id, n, gram, count(*) as k from (select conv_id, n, array_to_string(list_slice({s}, i, i + n - 1), chr(1)) as gram from (select *, unnest(range(1, greatest(len({s}) - n + 2, 1))) as i from t, (select unnest(range(1, 5)) as n))) group by all"
+    m = ", ".join(f"sum(least(a.k, b.k)) filter (n = {n}) as m{n}" for n in range(1, 5))
+    part = " + ".join(f"ln((case when coalesce(m{n}, 0) = 0 then 0.1::double else m{n} end) / greatest(1, len(c) - {n - 1}))" for n in range(1, 5))
+    return f"t as (select conv_id, {toks('q')} as r, {toks('a')} as c from c), a as ({grams('c')}), b as ({grams('r')}), m as (select conv_id, {m} from a join b using (conv_id, n, gram) group by conv_id), bleu as (select conv_id, round(case when coalesce(m1, 0) = 0 then 0 else (case when len(c) > len(r) then 1 else exp(1 - len(r) / len(c)) end) * exp(({part}) / 4) end, 9) as bleu from t left join m using (conv_id))"
+
+
+@query("bleu_whole", f"with {T.TURNS}, {_bleu_whole_sql()} select conv_id, bleu from bleu")
+def bleu_whole(spark, d):
+    """BLEU of whole texts, as the reference scores them; ``bleu_pairs`` and its SQL are of the first 30 words."""
+    t = T.turns(spark, d).select("conv_id", F.col("q").alias("reference"), F.col("a").alias("candidate"))
+    return metrics.bleu()(t).select("conv_id", F.round("bleu", 9).alias("bleu"))
+
+
 @query("perplexity_mean", "select lang as model, source as test_set, 0.0::double as bleu, round(coalesce(avg(p) filter (p < 'inf'::double), 'inf'::double), 9) as ppl, 0::bigint as num_samples from (select lang, source, case when n_chars < 100 then 'inf'::double else exp(ln(n_chars)::double / 7) end as p from documents) group by all")
 def perplexity_mean(spark, d):
     p = T.table(spark, d, "documents").select(F.col("lang").alias("model"), F.col("source").alias("test_set"), F.lit(None).cast("double").alias("bleu"), metrics.perplexity(F.log("n_chars"), F.when(F.col("n_chars") < 100, 1).otherwise(7)).alias("ppl"))

@@ -1,10 +1,12 @@
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import scalars as S
 from corpusmill.operators import extract, generate, metrics, mix, profile, responses, validate
+from corpusmill.plans import catalogue
 from corpusmill.sources import files, repository
 from corpusmill.streaming import dedup
 
@@ -49,6 +51,17 @@ def test_snippets(spark):
         assert df.select(validate.snippets_fit(True), validate.snippets_fit(False)).first()[:] == (strict, lenient)
 
 
+def test_bleu_of_whole_texts(spark, tmp_path):
+    """A change behind the 30th word counts, and the brevity is that of the whole texts."""
+    words = [f"w{k}" for k in range(60)]
+    texts = [(1, words, words), (2, words, [*words[:40], "other", *words[41:]]), (3, words, words[:45])]
+    rows = [(k, turn, role, " ".join(t)) for k, q, a in texts for turn, (role, t) in enumerate([("user", q), ("assistant", a)])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r["bleu"] for r in catalogue.queries()["bleu_whole"](spark, str(tmp_path)).collect()}
+    changed = math.exp(sum(math.log(x) for x in (59 / 60, 57 / 59, 55 / 58, 53 / 57)) / 4)
+    assert got == pytest.approx({1: 1, 2: changed, 3: math.exp(1 - 60 / 45)}, abs=1e-8)
+
+
 def test_bleu(spark):
     pairs = [("x", "x"), ("the quick brown fox jumps", "the quick brown fox jumps"), ("a b c d", "e f g h"), ("", "a"), ("a", ""), ("a a a b", "a a c")]
     got = [r["bleu"] for r in metrics.bleu()(spark.createDataFrame(pairs, "reference string, candidate string")).collect()]
