@@ -3,7 +3,7 @@
 A URL's tokens are its host's labels with their level from the top (``h1=com``, ``h2=example``), its
 path's first segments (``p1=en``), file ending and query names.  Labelled URLs are the
 transactions; FP-growth (Spark ML, JVM) mines the token sets that go with the label
-``block`` or ``allow``, and rules of enough support, confidence and lift are kept.  Shorter antecedents prune
+``block`` or ``allow``, and rules of enough support and confidence are kept, however common their label is.  Shorter antecedents prune
 longer ones that are no more confident.  A rule is indexed by each token of its antecedent; a URL's tokens look the index
 up, and a rule fires when as many of its tokens are found as it has.  Fixed rules by host and path come
 first; then the most confident rule that fires; then the default.
@@ -19,8 +19,8 @@ from corpusmill.llm.text import kept
 
 #: Fixed values: (verdict, rule).  A rule is a host, itself and its subdomains, and the start of a path.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-#: Of labelled URLs; of a rule; and how much likelier the label is than without the rule's tokens.
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.6, 1.5
+#: Of labelled URLs; of a rule.
+MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
 DEFAULT = "allow"
 #: Path segments, and levels of the host, that give tokens: the number of tokens of a URL is bounded, and its query is cut into names whole.
 LEVELS = 4
@@ -65,10 +65,10 @@ def parsed(pages: DataFrame) -> DataFrame:
     return rows.withColumns({"rule": rule, "fixed": verdict})
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """rule_id, tokens, says, confidence, support from rows with ``tokens`` and ``label``."""
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(labelled.select(F.array_append("tokens", F.concat(F.lit("label="), F.col("label"))).alias("items")))
-    rules = model.associationRules.where("startswith(consequent[0], 'label=') and not exists(antecedent, t -> startswith(t, 'label='))").where(F.col("lift") >= min_lift)
+    rules = model.associationRules.where("startswith(consequent[0], 'label=') and not exists(antecedent, t -> startswith(t, 'label='))")
     rules = rules.select(F.sort_array("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 7, 20).alias("says"), "confidence", "support")
     rules = kept(rules.withColumn("rule_id", F.xxhash64("tokens", "says")))
     # A rule goes when one with some of its tokens is as confident: found by the tokens they share.

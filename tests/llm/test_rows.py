@@ -127,6 +127,15 @@ def test_urls_are_judged_by_mined_rules(spark):
     assert all((r.verdict == "block") == (r.page_id % 3 == 0) for r in got) and any(r.by == "mined" for r in got)
 
 
+def test_a_common_label_has_rules(spark):
+    """Of a label of 4 in 5 pages no rule's lift can exceed 1.25; its rules count all the same, and the more confident rule wins."""
+    rows = [(k, f"http://{'spam' if k % 5 == 0 else 'fine'}.site{k % 7}.test/{'mixed' if k % 5 < 2 else 'read'}/{k}") for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, "block" if k % 5 == 0 else "allow") for k in range(0, 300, 2)], "page_id long, label string")
+    got = url_filters.judge(pages, labels, default="block").collect()
+    assert all((r.verdict, r.by) == ("allow" if r.page_id % 5 else "block", "mined") for r in got)
+
+
 def test_mixture(spark):
     rng = random.Random(9)
     rows = [(k if k % 40 else None, prose(rng, rng.randint(0, 30)) if k % 17 else None, ["a", "b", "B", None, "tiny"][k % 5] if k % 5 != 4 or k == 4 else "a") for k in range(400)]
