@@ -122,12 +122,17 @@ def paths_and_languages(spark, d):
 
 @query("name_regex", r"""select doc_id, regexp_extract(code, 'def\s+(\w+)', 1) as f, regexp_extract(code, 'class\s+(\w+)', 1) as c, regexp_extract(code, 'if\s+([^:]+):', 1) as cond, ((length(code) - length(replace(code, 'def ', ''))) / 4)::bigint as n_def
   from (select doc_id, 'class K' || doc_id || '(B):' || chr(10) || ' def f' || doc_id % 7 || '(self):' || chr(10) || '  if x >' || doc_id || ':' || chr(10) || substring(text, 1, 200) as code from documents)""")
-def name_regex(spark, d):
-    code = F.expr("concat('class K', doc_id, '(B):\\n def f', doc_id % 7, '(self):\\n  if x >', doc_id, ':\\n', substring(text, 1, 200))")
+def name_regex(spark, d, text="substring(text, 1, 200)"):
+    code = F.expr(f"concat('class K', doc_id, '(B):\\n def f', doc_id % 7, '(self):\\n  if x >', doc_id, ':\\n', {text})")
     c = T.table(spark, d, "documents").select("doc_id", code.alias("code"))
     return c.select("doc_id", S.first_function(F.col("code")).alias("f"), S.first_class(F.col("code")).alias("c"), S.first_condition(F.col("code")).alias("cond"), S.occurrences(F.col("code"), "def ").alias("n_def"))
 
 
+@query("name_regex_whole", _SQL["name_regex"].replace("substring(text, 1, 200)", "text"))
+def name_regex_whole(spark, d):
+    return name_regex(spark, d, "text")
+
+
 @query("durations", """select event_id, case when v < 60 then printf('%.1f秒', v) when v < 3600 then printf('%d分%d秒', floor(v / 60)::int, floor(v)::int % 60) else printf('%d小时%d分%d秒', floor(v / 3600)::int, floor(floor(v)::int % 3600 / 60)::int, floor(v)::int % 60) end as shown from (select event_id, (event_id * 7.25)::double as v from events)""")
 def durations(spark, d):
     return T.table(spark, d, "events").select("event_id", S.duration((F.col("event_id") * 7.25).cast("double")).alias("shown"))
@@ -335,12 +340,17 @@ def design_demands(spark, d):
 
 
 @query("mcq_options", "with o as (select item_id, substring(text, 1, 30) as r, [substring(text, 1, 30), 'wrong ' || item_id, 'other', 'none'] as os from benchmark), p as (select item_id, r, list_transform(list_sort(list_transform(os, lambda x: {k: md5('42|' || item_id || '|' || x), o: x})), lambda y: y.o) as options from o) select item_id, array_to_string(options, '/') as options, ['A', 'B', 'C', 'D'][list_position(options, r)] as correct_answer from p")
-def mcq_options(spark, d):
-    b = T.table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 30).alias("right"))
+def mcq_options(spark, d, text="substring(text, 1, 30)"):
+    b = T.table(spark, d, "benchmark").select("item_id", F.expr(text).alias("right"))
     wrong = F.array(F.concat(F.lit("wrong "), F.col("item_id").cast("string")), F.lit("other"), F.lit("none"), F.lit("never"))
     return generate.options(b, "right", wrong, 42, "item_id").select("item_id", F.array_join("options", "/").alias("options"), "correct_answer")
 
 
+@query("mcq_options_whole", _SQL["mcq_options"].replace("substring(text, 1, 30)", "text"))
+def mcq_options_whole(spark, d):
+    return mcq_options(spark, d, "text")
+
+
 def _fill(t: str, **values: str) -> str:
     return _case([([""], t)], "''", **values)
 
@@ -404,11 +414,16 @@ def _vague_sql() -> str:
 
 
 @query("vague_rewrite", f"with x as (select doc_id, substring(text, 1, 30) || '这段代码，该函数。此处' || (case when doc_id % 3 = 0 then '此文件' else '' end) as t, source || '/' || lang || '.py' as p, doc_id as a, doc_id + 3 as b, 'f' || doc_id % 5 as f from documents) select doc_id, {_vague_sql()} as out from x")
-def vague_rewrite(spark, d):
-    x = T.table(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 30), F.lit("这段代码，该函数。此处"), F.when(F.col("doc_id") % 3 == 0, "此文件").otherwise("")).alias("t"), F.concat("source", F.lit("/"), "lang", F.lit(".py")).alias("file_path"), F.col("doc_id").alias("line_start"), (F.col("doc_id") + 3).alias("line_end"), F.concat(F.lit("f"), F.col("doc_id") % 5).alias("f"))
+def vague_rewrite(spark, d, text="substring(text, 1, 30)"):
+    x = T.table(spark, d, "documents").select("doc_id", F.concat(F.expr(text), F.lit("这段代码，该函数。此处"), F.when(F.col("doc_id") % 3 == 0, "此文件").otherwise("")).alias("t"), F.concat("source", F.lit("/"), "lang", F.lit(".py")).alias("file_path"), F.col("doc_id").alias("line_start"), (F.col("doc_id") + 3).alias("line_end"), F.concat(F.lit("f"), F.col("doc_id") % 5).alias("f"))
     return x.select("doc_id", generate.explicit(F.col("t"), F.col("f")).alias("out"))
 
 
+@query("vague_rewrite_whole", _SQL["vague_rewrite"].replace("substring(text, 1, 30)", "text"))
+def vague_rewrite_whole(spark, d):
+    return vague_rewrite(spark, d, "text")
+
+
 # Responses
 
 @query("json_extract_repair", "select event_id, (props->>'k')::int as k from events")

@@ -51,6 +51,17 @@ def test_snippets(spark):
         assert df.select(validate.snippets_fit(True), validate.snippets_fit(False)).first()[:] == (strict, lenient)
 
 
+def test_whole_texts(spark, tmp_path):
+    """What stands behind a prefix is rewritten, offered and counted."""
+    text = "x" * 250 + " def f def g 这段代码"
+    spark.createDataFrame([(1, text, "en", "src0")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {n: catalogue.queries()[n](spark, str(tmp_path)).first() for n in ("name_regex_whole", "mcq_options_whole", "vague_rewrite_whole")}
+    assert got["name_regex_whole"]["n_def"] == 3 and text in got["mcq_options_whole"]["options"].split("/")
+    out = got["vague_rewrite_whole"]["out"]
+    assert out.startswith("x" * 250 + " def f def g ") and "这段代码" not in out
+
+
 def test_bleu_of_whole_texts(spark, tmp_path):
     """A change behind the 30th word counts, and the brevity is that of the whole texts."""
     words = [f"w{k}" for k in range(60)]
