@@ -1,9 +1,11 @@
 """URL filters with association rules: FP-growth over URL tokens and labels, matched by an inverted index.
 
 A URL's tokens are its host's labels with their level from the top (``h1=com``, ``h2=example``), its
-path's first segments (``p1=en``), file ending and query names.  Labelled URLs are the
+path's segments (``p1=en``), file ending and query names.  Labelled URLs are the
 transactions; FP-growth (Spark ML, JVM) mines the token sets that go with the label
-``block`` or ``allow``, and rules of enough support and confidence are kept, however common their label is.  Shorter antecedents prune
+``block`` or ``allow``, and rules of enough support and confidence are kept, however common their label is.
+Tokens that the same transactions hold are mined as one and told apart again, so that deep
+hosts and paths don't multiply the sets.  Shorter antecedents prune
 longer ones that are no more confident.  A rule is indexed by each token of its antecedent; a URL's tokens look the index
 up, and a rule fires when as many of its tokens are found as it has.  Fixed rules by host and path come
 first; then the most confident rule that fires; then the default.
@@ -22,8 +24,6 @@ RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 #: Of labelled URLs; of a rule.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
 DEFAULT = "allow"
-#: Path segments, and levels of the host, that give tokens: the number of tokens of a URL is bounded, and its query is cut into names whole.
-LEVELS = 4
 
 
 def _lowered(c: Column) -> Column:
@@ -50,8 +50,8 @@ def fixed_rule(rules: list[tuple[str, str]]) -> tuple[Column, Column]:
 
 def tokens() -> Column:
     """The distinct tokens of ``host``, ``path`` and ``query``."""
-    levels = F.slice(F.reverse(F.split("host", r"\.")), 1, LEVELS)
-    segments = F.slice(F.filter(F.split("path", "/"), lambda s: s != ""), 1, LEVELS)
+    levels = F.reverse(F.split("host", r"\."))
+    segments = F.filter(F.split("path", "/"), lambda s: s != "")
     number = lambda mark: lambda s, k: F.concat(F.lit(mark), (k + 1).cast("string"), F.lit("="), s)
     words = F.transform(segments, number("p"))
     ending = F.transform(F.regexp_extract_all("path", F.lit(r"\.([A-Za-z0-9]{1,5})/?$"), F.lit(1)), lambda s: F.concat(F.lit("end="), s))
@@ -67,7 +67,14 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """rule_id, tokens, says, confidence, support from rows with ``tokens`` and ``label``."""
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(labelled.select(F.array_append("tokens", F.concat(F.lit("label="), F.col("label"))).alias("items")))
+    # Tokens of the same transactions (by count and two sums of hashes) are named by the least of them, ``as``.
+    rows = kept(labelled.select("tokens", "label").withColumn("row", F.monotonically_increasing_id()))
+    held = rows.select("row", F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"), *(F.sum(F.xxhash64(F.lit(k), "row").cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)))
+    held = kept(held.where(F.col("n") >= min_support * rows.count()))
+    names = held.groupBy("n", "s1", "s2").agg(F.min("t").alias("as"), F.array_sort(F.collect_list("t")).alias("alike")).select("as", "alike")
+    items = rows.select("row", "label", F.explode("tokens").alias("t")).join(names.select(F.col("as").alias("t")), "t").groupBy("row").agg(F.array_append(F.collect_list("t"), F.concat(F.lit("label="), F.first("label"))).alias("items"))
+    items = rows.join(items, "row", "left").select(F.coalesce("items", F.array(F.concat(F.lit("label="), F.col("label")))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.where("startswith(consequent[0], 'label=') and not exists(antecedent, t -> startswith(t, 'label='))")
     rules = rules.select(F.sort_array("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 7, 20).alias("says"), "confidence", "support")
     rules = kept(rules.withColumn("rule_id", F.xxhash64("tokens", "says")))
@@ -78,7 +85,12 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         part.join(whole, F.expr("p.t = w.t and p.says = w.says and p.n < w.n and p.confidence >= w.confidence"))
         .groupBy("p.rule_id", "w.rule_id", "p.n").agg(F.count("*").alias("c")).where("c = n").select(F.col("w.rule_id").alias("rule_id")).distinct()
     )
-    return rules.join(covered, "rule_id", "left_anti")
+    rules = rules.join(covered, "rule_id", "left_anti")
+    # One rule for each choice of a token for each name; two of one name would say no more than one.
+    alike = rules.select("rule_id", F.explode("tokens").alias("as")).join(names, "as").groupBy("rule_id").agg(F.collect_list("alike").alias("alike"))
+    rules = rules.join(alike, "rule_id").withColumn("tokens", F.explode(F.expr("aggregate(alike, array(cast(array() as array<string>)), (some, more) -> flatten(transform(some, a -> transform(more, t -> array_append(a, t)))))")))
+    rules = rules.select(F.sort_array("tokens").alias("tokens"), "says", "confidence", "support")
+    return rules.withColumn("rule_id", F.xxhash64("tokens", "says"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, default: str = DEFAULT, **limits: float) -> DataFrame:

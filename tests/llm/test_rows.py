@@ -136,6 +136,22 @@ def test_a_common_label_has_rules(spark):
     assert all((r.verdict, r.by) == ("allow" if r.page_id % 5 else "block", "mined") for r in got)
 
 
+def test_deep_hosts_and_paths_are_mined(spark):
+    """URLs that differ only behind the fourth host label or path segment; forty segments in common don't multiply the sets."""
+    deep, long = "/a/b/c/d/e/", "/" + "/".join(f"s{k}" for k in range(40)) + "/"
+    rows = [(k, [f"http://w.test{deep}{'bad' if k % 2 else 'good'}/x{k}", f"http://{'bad' if k % 2 else 'good'}.e.d.c.b.test/x{k}", f"http://v.test{long}{'bad' if k % 2 else 'good'}/x{k}"][k % 3]) for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, "block" if k % 2 else "allow") for k in range(200)], "page_id long, label string")
+    got = url_filters.judge(pages, labels).collect()
+    assert all((r.verdict, r.by, r.confidence) == ("block" if r.page_id % 2 else "allow", "mined", 1) for r in got)
+
+
+def test_tokens_alike_give_each_a_rule(spark):
+    """Tokens of the same labelled rows are mined as one, but each is looked up by itself."""
+    rows = spark.createDataFrame([(["p1=a", "p2=b"], "block")] * 5 + [(["p1=c"], "allow")] * 5, "tokens array<string>, label string")
+    assert sorted((r.tokens, r.says, r.confidence, r.support) for r in url_filters.mine(rows).collect()) == [(["p1=a"], "block", 1, 0.5), (["p1=c"], "allow", 1, 0.5), (["p2=b"], "block", 1, 0.5)]
+
+
 def test_mixture(spark):
     rng = random.Random(9)
     rows = [(k if k % 40 else None, prose(rng, rng.randint(0, 30)) if k % 17 else None, ["a", "b", "B", None, "tiny"][k % 5] if k % 5 != 4 or k == 4 else "a") for k in range(400)]
