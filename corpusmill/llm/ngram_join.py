@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import blocks as B
 from corpusmill.llm.graph import components
-from corpusmill.llm.text import digest, having_id, kept, lacking_id, mix, perhaps_id, prepare, shingles
+from corpusmill.llm.text import _marked, digest, having_id, kept, lacking_id, mix, perhaps_id, prepare, shingles
 
 #: Rows of a block in which a component's links are counted, and columns of a slice of its dense product.
 ROWS, SLICE = 512, 4096
@@ -338,6 +338,20 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) ->
 
     Rows without words or without a doc_id stay.
     """
-    of = kept(jaccard_components(docs, words, num, den, counted=False).where("doc_id is not null"))
-    asked = of.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("component_id") < F.col("doc_id")).alias("gone"))
-    return lacking_id(docs, kept(asked.where("gone or n > 1")), "doc_id", ["doc_id", "text"])
+    of = kept(jaccard_components(docs, words, num, den, counted=False).where("doc_id is not null").select("doc_id", "class", (F.col("component_id") < F.col("doc_id")).alias("gone")))
+    asked = kept(of.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("gone").alias("gone"), F.max("gone").alias("some")))
+    left = lacking_id(docs, asked.where("some or n > 1"), "doc_id", ["doc_id", "text"])
+    # Ids that rows of several classes share: only the rows whose own class goes.
+    mixed = kept(of.where("gone").join(asked.where("some and not gone").select("doc_id"), "doc_id").groupBy("doc_id").agg(F.collect_set("class").alias("_gone")))
+    if not mixed.limit(1).count():
+        return left
+
+    def staying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            stays = [not gone or digest(shingles(t, words)) not in gone for t, gone in zip(b.column("text").to_pylist(), b.column("_gone").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in names], names).filter(pa.array(stays, pa.bool_()))
+
+    names = docs.columns
+    marked = _marked(left, mixed, "doc_id")
+    some = marked.where("_seen").drop("_seen").join(mixed, "doc_id", "left").select(*names, "_gone").mapInArrow(staying, docs.schema)
+    return marked.where("not _seen").select(names).unionByName(some)

@@ -91,6 +91,15 @@ def test_one_of_each(spark, odd):
     assert ids == sorted({d[1] for d in want[2:]}) and kept.where("doc_id is null").count() == 2
 
 
+def test_one_of_each_of_a_shared_id(spark, odd):
+    """Of rows that share an id but not a text, only the near copy of a smaller id goes."""
+    near = odd[1][1]
+    rows = odd[:2] + [(2, "a text of its own that no other row holds"), (2, None), (2, near), (9, "another text")]
+    kept = ngram_join.one_of_each(table(spark, rows), 3, 90, 100)
+    got = {(r.doc_id, r.text) for r in kept.collect()}
+    assert got == {rows[0], rows[2], rows[3], rows[5]} and kept.count() == 4 and kept.columns == table(spark, rows).columns
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert ngram_join.jaccard_components(none).count() == 0 and ngram_join.one_of_each(none).count() == 0
