@@ -1,4 +1,4 @@
-"""DuckDB SQL for chat formatting, and for the parts of URL filtering that SQL can express."""
+"""DuckDB SQL for chat formatting."""
 
 _ESC = r"regexp_replace({}, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')"
 OP10 = f"""with r as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from

@@ -8,10 +8,13 @@ of hashes (one-permutation MinHash); a window that shares a bin's minimum with a
 the document a candidate for it.  Strides are sketched once and merged for larger windows.
 Items of ``TINY`` shingles or less are searched with windows of one shingle, whose minimum
 is the shingle itself.  Candidates are verified by exact containment of the item's set in
-the document's.
+the document's, so nothing is found that isn't there.  What the sketches miss: an item of s shingles, of which 4/5
+are in a window of 4s at most, has the window's minimum in a bin with a probability of about 1/5 or more
+(2/3 where s is near ``TINY``), and all of its bins (8 at least, 64 for large items) must fail: about 10^-4 at
+s = 9 and below 10^-4 from s = 64 on, less for whole items.  ``tests/llm`` measures it.
 
-The items are the stated query set: they go to the executors in blocks of ``ITEMS``
-(some 20 MB, sent with the task's function), and each block is searched for in all documents.
+The items are the stated query set: they go to the executors in blocks of about ``SHINGLES`` shingles
+(some 20 MB, sent with the task's function), and each block is searched for in all documents, in one pass.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.text import codes, grams, prepare, words
 
-BINS, TINY, ITEMS = 64, 8, 20_000
+#: ``SHINGLES``: of the items that go out together.
+BINS, TINY, SHINGLES = 64, 8, 1_000_000
 _NONE = np.uint32(0xFFFFFFFF)
 
 
@@ -39,10 +43,10 @@ def _bin(v: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The sketches of a block of items, by size partition; built on the driver, sent to every task."""
+    """The sketches of a block of items with shingles of ``n`` words, by size partition; built on the driver, sent to every task."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
-        self.sets = items
+    def __init__(self, n: int, items: list[tuple[int, np.ndarray]]):
+        self.n, self.sets = n, items
         by: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for k, (_, s) in enumerate(items):
             v = np.unique(_high(s))
@@ -86,9 +90,11 @@ class Index:
                 out.update(lists[k])
         return out
 
-    def found(self, text: str | None, n: int, num: int, den: int) -> list[tuple[int, int, int]]:
-        """(item_id, shingles, shared) of the items contained in the text to num/den or more."""
-        h = grams(codes(words(text, lower=True)), n)
+    def found(self, words_: np.ndarray, num: int, den: int) -> list[tuple[int, int, int]]:
+        """(item_id, shingles, shared) of the items contained to num/den or more in a document of the hashed words."""
+        if len(words_) < self.n:
+            return []
+        h = grams(words_, self.n)
         maybe = self.candidates(h)
         if not maybe:
             return []
@@ -103,29 +109,39 @@ class Index:
         return out
 
 
-def _indexes(benchmark: DataFrame, n: int) -> Iterator[Index]:
-    """An index for each block of items; a block at a time comes to the driver."""
-    rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    blocks = max(1, -(-rows.count() // ITEMS))
+def _found(indexes: list[Index], text: str | None, num: int, den: int) -> list[tuple[int, int, int]]:
+    h = codes(words(text, lower=True))
+    return [x for index in indexes for x in index.found(h, num, den)]
+
+
+def _indexes(benchmark: DataFrame, n: int) -> Iterator[list[Index]]:
+    """The indexes of each block of items, one for each length of shingles; a block at a time comes to the driver."""
+    rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+    total = rows.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0
+    blocks = max(1, -(-total // SHINGLES))
     for b in range(blocks):
         some = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else rows
-        items = [(r.item_id, np.unique(grams(codes(words(r.text, lower=True)), n))) for r in some.distinct().toLocalIterator()]
-        yield Index([x for x in items if len(x[1])])
+        by: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+        for r in some.toLocalIterator():
+            if len(h := codes(words(r.text, lower=True))):
+                by[min(n, len(h))].append((r.item_id, np.unique(grams(h, n))))
+        yield [Index(size, items) for size, items in sorted(by.items())]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, item_id, n_item, n_shared of each item whose n-word shingles are in a document to num/den or more.
 
-    Texts are lower-cased.  An item of fewer words has one shingle, all of it, and is found in documents of just these words.
-    Null and empty texts, and items without an id, are found nowhere.  Repeated rows repeat their results; of
-    repeated items one counts.  A document's shingles may lie anywhere in it.  Other columns are ignored.
+    Texts are lower-cased.  An item of w < n words has one shingle, all of it, and is found wherever its w words
+    stand in a document.  Null and empty texts, and items without an id, are found nowhere, and an empty table finds nothing.
+    Repeated rows repeat their results; of repeated items one counts.  A document's shingles may lie anywhere in it,
+    however long it is.  Other columns are ignored.
     """
     prepare(docs.sparkSession)
     out = None
-    for index in _indexes(benchmark, n):
-        def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+    for block in _indexes(benchmark, n):
+        def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = [(d.as_py(), *x) for d, t in zip(*b.columns, strict=True) for x in index.found(t.as_py(), n, num, den)]
+                rows = [(d.as_py(), *x) for d, t in zip(*b.columns, strict=True) for x in _found(block, t.as_py(), num, den)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "item_id", "n_item", "n_shared"])
 
         found = docs.select("doc_id", "text").mapInArrow(search, "doc_id long, item_id long, n_item long, n_shared long")
@@ -134,13 +150,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, num: int = 8
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """The rows of ``docs`` in which no item is found; rows stay where they are, without a shuffle."""
+    """The rows of ``docs`` in which no item is found; rows stay where they are, without a shuffle.
+
+    Rows with a null or empty text stay, repeated rows stay or go alike, rows without a doc_id are judged by their text
+    like all others.  Without items all rows stay.  Columns keep their names and values, whatever they are called.
+    """
     prepare(docs.sparkSession)
     at = docs.columns.index("text")
-    for index in _indexes(benchmark, n):
-        def keep(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+    for block in _indexes(benchmark, n):
+        def keep(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield b.filter(pa.array([not index.found(t.as_py(), n, num, den) for t in b.column(at)], pa.bool_()))
+                yield b.filter(pa.array([not _found(block, t.as_py(), num, den) for t in b.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs

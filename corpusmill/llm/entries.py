@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat, decontaminate, mixing, mixing_sql, ngram_join, quality, quality_sql, secrets, secrets_sql, sharding, substring, toxicity, url_filters, url_sql
+from corpusmill.llm import chat, chat_sql, decontaminate, joins_sql, mixing, mixing_sql, ngram_join, quality, quality_sql, secrets, secrets_sql, sharding, substring, toxicity, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near duplicates at three words and similarity 0.9: doc_id, n_shingles, component_id, class, n_links."""
-    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+    """Near duplicates at three words and similarity 0.9: doc_id, n_shingles, component_id, n_links."""
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), words=3, num=90, den=100).drop("class")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scans": secrets_sql.OP2, "op8_mixing": mixing_sql.OP8, "op9_quality_rules": quality_sql.OP9, "op10_chat_formatting": url_sql.OP10}
+    return {
+        "op1_ngram_jaccard_join": joins_sql.OP1, "op2_secret_scans": secrets_sql.OP2, "op3_benchmark_decontamination": joins_sql.OP3, "op4_substring_dedup": joins_sql.OP4,
+        "op8_mixing": mixing_sql.OP8, "op9_quality_rules": quality_sql.OP9, "op10_chat_formatting": chat_sql.OP10,
+    }

@@ -33,10 +33,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusmill.llm import blocks as B
 from corpusmill.llm.graph import components
-from corpusmill.llm.text import _marked, digest, having_id, kept, lacking_id, mix, perhaps_id, prepare, shingles
+from corpusmill.llm.text import _marked, digest, having_id, kept, lacking_id, looked_up, mix, perhaps_id, prepare, shingles
 
 #: Rows of a block in which a component's links are counted, and columns of a slice of its dense product.
 ROWS, SLICE = 512, 4096
@@ -219,15 +220,17 @@ def links(rows: DataFrame, num: int, den: int, n_blocks: int) -> DataFrame:
     def side(f: DataFrame, s: str) -> DataFrame:
         return f.select(*(F.col(c).alias(f"{c}_{s}") for c in f.columns))
 
-    middle = firsts.groupBy("column").agg(F.min(F.struct("place", "class", "n")).alias("m"), F.count("*").alias("k")).where("k > 1")
-    star = side(firsts, "a").join(middle.select(F.col("column").alias("column_b"), F.col("m.class").alias("class_b"), F.col("m.n").alias("n_b"), F.col("m.place").alias("place_b")), F.col("column_a") == F.col("column_b"))
+    middle = firsts.groupBy("column").agg(F.min(F.struct("place", "class", "n")).alias("m"), F.count("*").alias("times")).where("times > 1")
+    middle = kept(middle.select(F.col("column").alias("column_a"), F.col("m.class").alias("class_b"), F.col("m.n").alias("n_b"), F.col("m.place").alias("place_b"), "times"))
+    star = looked_up(side(firsts, "a"), middle, "column_a")
     star = star.where(f"class_a != class_b and {near}").select(F.least("class_a", "class_b").alias("u"), F.greatest("class_a", "class_b").alias("v")).distinct()
     found = kept(_reaching(star, rows, num, den))
 
     root = components(found)
     of = firsts.join(root, F.col("class") == F.col("node"), "left").select("column", "class", "n", "place", F.coalesce("root", "class").alias("of"))
-    open_ = of.groupBy("column").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("column")
-    of = kept(of.join(open_, "column"))
+    of = kept(of)
+    open_ = kept(of.groupBy("column").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.count("*").alias("times")).where("lo < hi").select("column", "times"))
+    of = kept(looked_up(of, open_, "column"))
     # A component's least place and its extreme sizes bound what any of its rows can do; of a single row they are its own.
     parts = of.groupBy("column", "of").agg(F.min("place").alias("place"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     reach = lambda s, t: f"place_{s} <= hi_{s} - ((hi_{s} + lo_{t}) * {num} + {num + den - 1}) div {num + den}"
@@ -294,9 +297,9 @@ def link_counts(rows: DataFrame, roots: DataFrame, num: int, den: int, n_blocks:
                 links_ += n.tolist()
         return pa.table({"class": pa.array(cls, pa.int64()), "n_links": pa.array(links_, pa.int64())})
 
-    sized = rows.select("class", "n").distinct().join(roots, "class")
-    blocks = sized.groupBy("root").agg(F.expr(f"cast(ceil(greatest(count(*) / {ROWS}, sum(n) / {B.ENTRIES})) as int)").alias("blocks"), F.count("*").alias("k")).where("k > 1").drop("k")
-    dealt = kept(sized.join(blocks, "root").select("class", "root", "blocks", F.expr("cast(pmod(xxhash64(class), blocks) as int)").alias("b")))
+    sized = kept(rows.select("class", "n").distinct().join(roots, "class"))
+    blocks = kept(sized.groupBy("root").agg(F.expr(f"cast(ceil(greatest(count(*) / {ROWS}, sum(n) / {B.ENTRIES})) as int)").alias("blocks"), F.count("*").alias("times")).where("times > 1"))
+    dealt = kept(looked_up(sized, blocks, "root").select("class", "root", "blocks", F.expr("cast(pmod(xxhash64(class), blocks) as int)").alias("b")))
     tiles = perhaps_id(rows, dealt.select("class"), "class").select("class", "columns").join(dealt, "class").withColumn("p", F.explode(F.expr("sequence(0, blocks - 1)")))
     tiles = tiles.select(F.expr(f"if(blocks = 1, pmod(xxhash64(root), {n_blocks}), root)").alias("tile"), F.least("b", "p").alias("i"), F.greatest("b", "p").alias("j"), "root", "b", "class", "columns")
     return tiles.groupBy("tile", "i", "j").applyInArrow(count, "class long, n_links long").groupBy("class").agg(F.sum("n_links").alias("n_links"))
@@ -314,7 +317,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     spark = prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     of = kept(classes(docs, words))
-    by_class = of.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    by_class = kept(of.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("times")))
     total = of.agg(F.sum("n")).first()[0] or 0
     met = kept(_met(docs, words, num, den, B.count(spark, total * (den - num) // num)))
     members = by_class.where("doc_id is not null").join(met, "class").select("doc_id", "class")
@@ -322,15 +325,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     entries = rows.agg(F.sum("n")).first()[0] or 0
     found = kept(links(rows, num, den, B.count(spark, entries)))
     root = components(found)
-    labelled = by_class.join(root, F.col("class") == F.col("node"), "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
-    first = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    component = labelled.join(first, "root").select("class", "component_id")
+    labelled = kept(by_class.join(root, F.col("class") == F.col("node"), "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"), F.col("times").alias("copies")))
+    first = kept(labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("times")))
+    component = looked_up(labelled, first, "root").select("class", "component_id", F.col("copies").alias("times"))
     columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "class"]
     if counted:
         degree = link_counts(rows, labelled.select("class", "root"), num, den, B.count(spark, entries))
         component = component.join(degree, "class", "left")
         columns.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return of.join(component, "class", "left").select(*columns)
+    return looked_up(of, kept(component), "class", "left").select(*columns)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -349,9 +352,9 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) ->
     def staying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             stays = [not gone or digest(shingles(t, words)) not in gone for t, gone in zip(b.column("text").to_pylist(), b.column("_gone").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in names], names).filter(pa.array(stays, pa.bool_()))
+            yield b.select(["_row"]).filter(pa.array(stays, pa.bool_()))
 
-    names = docs.columns
     marked = _marked(left, mixed, "doc_id")
-    some = marked.where("_seen").drop("_seen").join(mixed, "doc_id", "left").select(*names, "_gone").mapInArrow(staying, docs.schema)
-    return marked.where("not _seen").select(names).unionByName(some)
+    some = marked.where("_seen").join(mixed.withColumnRenamed("doc_id", "_key"), "_key", "left").select("_row", F.col("_row.text").alias("text"), "_gone")
+    some = some.mapInArrow(staying, StructType().add("_row", docs.schema)).select("_row.*")
+    return marked.where("not _seen").select("_row.*").unionByName(some)

@@ -7,7 +7,9 @@ on the UTF-8 bytes of a text.  A null text has no words.
 
 from __future__ import annotations
 
+import re
 import sys
+import tempfile
 
 import numpy as np
 import xxhash
@@ -75,13 +77,17 @@ def digest(a: np.ndarray | bytes) -> int:
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Bounds what an Arrow batch hands to Python, sends this package's functions along with
-    the tasks (executors need not have it), and gives checkpoints a folder where the session names none."""
+    the tasks (executors need not have it), and sees to a checkpoint folder: the one that the session
+    names; where none is named, a temporary one on a local master and an error on a cluster."""
     cloudpickle.register_pickle_by_value(sys.modules[__package__])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", "/tmp/corpusmill-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return spark
 
 
@@ -93,27 +99,30 @@ def kept(df: DataFrame) -> DataFrame:
 
 #: The filter of ``having_id`` has 2^BITS bits, whatever the number of ids.
 BITS, _CHUNK = 24, 15
+#: Keys that more than 1/HOT of the rows hold are looked up in a broadcast table, of HOT rows at most.
+HOT = 1000
 
 
 def _marked(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """``df`` with ``_seen``: false only where the id isn't among ``ids``.
+    """``_row`` (all of ``df``'s columns), ``_key`` (the id) and ``_seen``: false only where the id isn't among ``ids``.
 
     By a Bloom filter of 2 MB at most (2^24 bits in 512 rows of 4 KB, whatever the input), which is broadcast.
     """
-    slot = F.shiftrightunsigned(F.xxhash64(F.lit(7), F.col(column)), 64 - BITS).cast("int")
+    slot = F.shiftrightunsigned(F.xxhash64(F.lit(7), F.col("_key")), 64 - BITS).cast("int")
     marks = (
-        ids.select(slot.alias("_s")).distinct()
+        ids.select(F.col(column).alias("_key")).select(slot.alias("_s")).distinct()
         .select(F.shiftright("_s", _CHUNK).alias("_chunk"), (F.col("_s") % (1 << _CHUNK)).cast("long").alias("_bit"))
         .groupBy("_chunk").agg(F.expr("bitmap_construct_agg(_bit)").alias("_marks"))
     )
     bit = "(conv(hex(substring(_marks, cast((_s % 32768) div 8 as int) + 1, 1)), 16, 10) div cast(power(2, _s % 8) as int)) % 2 = 1"
-    asked = df.withColumn("_s", slot).withColumn("_chunk", F.shiftright("_s", _CHUNK)).join(F.broadcast(marks), "_chunk", "left")
-    return asked.withColumn("_seen", F.coalesce(F.col(column).isNotNull() & F.expr(bit), F.lit(False))).drop("_s", "_chunk", "_marks")
+    asked = df.select(F.struct(*(df[c] for c in df.columns)).alias("_row"), df[column].alias("_key")).withColumn("_s", slot)
+    asked = asked.withColumn("_chunk", F.shiftright("_s", _CHUNK)).join(F.broadcast(marks), "_chunk", "left")
+    return asked.select("_row", "_key", F.coalesce(F.col("_key").isNotNull() & F.expr(bit), F.lit(False)).alias("_seen"))
 
 
 def perhaps_id(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """The rows of ``df`` that the Bloom filter lets through: all whose id is among ``ids``, and few others."""
-    return _marked(df, ids, column).where("_seen").drop("_seen")
+    return _marked(df, ids, column).where("_seen").select("_row.*")
 
 
 def having_id(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -131,5 +140,21 @@ def lacking_id(df: DataFrame, ids: DataFrame, column: str, once: list[str]) -> D
     Rows that the Bloom filter rules out stay where they are; the others are shuffled.
     """
     marked = _marked(df, ids, column)
-    asked = marked.where("_seen").drop("_seen").join(ids.where("gone").select(column), column, "left_anti").select(df.columns).dropDuplicates(once)
-    return marked.where("not _seen").select(df.columns).unionByName(asked)
+    asked = marked.where("_seen").join(ids.where("gone").select(F.col(column).alias("_key")), "_key", "left_anti").select("_row.*").dropDuplicates(once)
+    return marked.where("not _seen").select("_row.*").unionByName(asked)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", times: str = "times") -> DataFrame:
+    """``rows`` joined with ``table``: one row a key, which says in ``times`` how many of the rows hold it (left out of the result).
+
+    The rows of a frequent key stay where they are: its row of the table is broadcast, as are those of at most
+    ``HOT`` keys, each held by more than 1/HOT of all rows.  The others are joined by a shuffle that no key
+    dominates.  With ``left`` rows without a key, or whose key isn't there, have nulls.  Both sides are read more than once.
+    """
+    total = table.agg(F.sum(times)).first()[0] or 0
+    hot = F.col(times) * HOT > total
+    few, rest = F.broadcast(table.where(hot).drop(times)), table.where(~hot).drop(times)
+    out = rows.join(few, key).unionByName(rows.where(F.col(key).isNotNull()).join(few.select(key), key, "left_anti").join(rest, key, how))
+    if how == "left":
+        out = out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+    return out
