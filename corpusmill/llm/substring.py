@@ -5,14 +5,18 @@ doc_id, or before in the same document) goes; windows are judged on the input.
 
 1. Recurring passages are confirmed over the whole corpus.  A window's phrase is
    its ``phrase``-word run of the smallest hash, so equal windows have equal
-   phrases, and a document needs a seventh or so of its runs.  Column blocks count
-   the phrases; those of two documents, or twice in one, recur.
-2. Automata are compiled with pyahocorasick in shards, one for each block of
-   documents (about ``SHARD`` bytes of text), of the recurring phrases found there:
-   memory is bounded by the block and no document meets a foreign shard.  The
-   block's documents stream through to locate every occurrence.
+   phrases, and a document needs a seventh or so of its runs.  A phrase is spelt with
+   two letters a word (16 bits of the word's hash), and that spelling is what is counted, in column blocks: the
+   phrases of two documents, or twice in one, recur.
+2. Each document with a recurring phrase gets the spellings of its own from there.  Automata are
+   compiled from them with pyahocorasick in shards, one for each block of documents (about
+   ``SHARD`` bytes of text), so memory is bounded by the block.  The block's documents, spelt
+   alike, stream through it, and where a phrase stands is known from the automaton alone.  (Every
+   document through every shard would be the corpus times its recurring part; a document of which no
+   phrase recurs holds no occurrence and needs no stream.)
 3. The windows around the occurrences are compared by a 64-bit hash, in blocks.
-   All but the first by (doc_id, start) are removed.
+   All but the first by (doc_id, start) are removed.  Words that share their letters
+   only make more windows to compare.
 
 Documents of the same words are one class; its smallest doc_id stands for it, and
 in the others each word of a text of ``window`` words or more is removed.  A block of
@@ -32,23 +36,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import blocks as B
-from corpusmill.llm.text import codes, digest, grams, having_id, kept, prepare, words
+from corpusmill.llm.text import codes, digest, grams, having_id, kept, looked_up, prepare, words
 
 SHARD = 1 << 20
-#: The place of rows without a doc_id: after all others.
+#: The place of rows without a doc_id: after all others (of the largest id, at its place).
 LAST = (1 << 63) - 1
 EMPTY = hashlib.sha256(b"").hexdigest()
+#: Words of a phrase at most: its letters are kept in twelve bytes.
+LONGEST = 6
 
 
-def _phrases(h: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the phrases of all windows of a document."""
+def _letters(h: np.ndarray) -> np.ndarray:
+    """Two letters (bytes) for each hashed word."""
+    return (h >> np.uint64(48)).astype(">u2").view(np.uint8).reshape(-1, 2)
+
+
+def _phrases(h: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the phrases of all windows of a document, and their spelling in eight and four bytes."""
     if len(h) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
     g = grams(h, phrase)
     runs = window - phrase + 1
     at = sliding_window_view(g, runs).argmin(axis=1) + np.arange(len(h) - window + 1)
     at = at[np.r_[True, at[1:] != at[:-1]]]
-    return at, g[at]
+    spelt = np.zeros((len(at), 2 * LONGEST), np.uint8)
+    spelt[:, : 2 * phrase] = _letters(h)[at[:, None] + np.arange(phrase)].reshape(len(at), -1)
+    return g[at], spelt[:, :8].copy().view(">u8").ravel().astype(np.uint64), spelt[:, 8:].copy().view(">u4").ravel().astype(np.uint32)
 
 
 def _summaries(docs: DataFrame) -> DataFrame:
@@ -61,13 +74,13 @@ def _summaries(docs: DataFrame) -> DataFrame:
                 cls.append(digest(whole))
                 n.append(len(w))
                 sha.append(hashlib.sha256(whole).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["_id", "class", "n_words", "sha"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), b.column(2)], ["_id", "class", "n_words", "sha", "_no_id"])
 
-    return docs.mapInArrow(work, "_id long, class long, n_words long, sha string")
+    return docs.mapInArrow(work, "_id long, class long, n_words long, sha string, _no_id boolean")
 
 
 def _recurring(docs: DataFrame, window: int, phrase: int, n_blocks: int) -> DataFrame:
-    """class and the low halves of the hashes of its phrases that recur in the corpus."""
+    """class and the spellings of its phrases that recur in the corpus."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def chunks():
@@ -78,28 +91,31 @@ def _recurring(docs: DataFrame, window: int, phrase: int, n_blocks: int) -> Data
                     if len(w) < window or (cls := digest(b" ".join(w))) in seen:
                         continue
                     seen.add(cls)
-                    key, times = np.unique(_phrases(codes(w), window, phrase)[1], return_counts=True)
-                    yield key, key.astype(np.uint32), np.full(len(key), cls, np.int64), times > 1
+                    g, hi, lo = _phrases(codes(w), window, phrase)
+                    g, first, times = np.unique(g, return_index=True, return_counts=True)
+                    yield g, hi[first], lo[first], np.full(len(g), cls, np.int64), times > 1
 
-        yield from B.pack(chunks(), n_blocks, ["", "key", "owner", "twice"])
+        yield from B.pack(chunks(), n_blocks, ["", "hi", "lo", "owner", "twice"])
 
     def recur(t: pa.Table) -> pa.Table:
-        key, owner, twice = (B.unpack(t, c, k) for c, k in (("key", np.uint32), ("owner", np.int64), ("twice", np.bool_)))
-        order = np.lexsort((owner, key))
-        key, owner, twice = key[order], owner[order], twice[order]
-        start = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+        hi, lo, owner, twice = (B.unpack(t, c, k) for c, k in (("hi", np.uint64), ("lo", np.uint32), ("owner", np.int64), ("twice", np.bool_)))
+        order = np.lexsort((owner, lo, hi))
+        hi, lo, owner, twice = hi[order], lo[order], owner[order], twice[order]
+        start = np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])] if len(hi) else np.zeros(0, bool)
         group = np.cumsum(start) - 1
         again = np.zeros(int(start.sum()), bool)
         again[group[twice]] = True
-        again[group[1:][(key[1:] == key[:-1]) & (owner[1:] != owner[:-1])]] = True
-        key, owner = key[again[group]], owner[again[group]]
-        return B.packed([(owner.view(np.uint64), key)], n_blocks, ["owner", "key"])
+        again[group[1:][~start[1:] & (owner[1:] != owner[:-1])]] = True
+        held = again[group]
+        return B.packed([(owner[held].view(np.uint64), hi[held], lo[held])], n_blocks, ["owner", "hi", "lo"])
 
     def gather(t: pa.Table) -> pa.Table:
-        return _by_owner(["class", "keys"], [B.unpack(t, "owner", np.int64)], B.unpack(t, "key", np.uint32))
+        hi, lo = B.unpack(t, "hi", np.uint64), B.unpack(t, "lo", np.uint32)
+        spelt = np.hstack([hi.astype(">u8").view(np.uint8).reshape(-1, 8), lo.astype(">u4").view(np.uint8).reshape(-1, 4)])
+        return _by_owner(["class", "keys"], [B.unpack(t, "owner", np.int64)], spelt)
 
-    by_phrase = docs.select("text").mapInArrow(pack, "block int, key binary, owner binary, twice binary")
-    by_row = by_phrase.groupBy("block").applyInArrow(recur, "block int, owner binary, key binary")
+    by_phrase = docs.select("text").mapInArrow(pack, "block int, hi binary, lo binary, owner binary, twice binary")
+    by_row = by_phrase.groupBy("block").applyInArrow(recur, "block int, owner binary, hi binary, lo binary")
     return by_row.groupBy("block").applyInArrow(gather, "class long, keys binary")
 
 
@@ -114,24 +130,22 @@ def _by_owner(names: list[str], owners: list[np.ndarray], values: np.ndarray) ->
     return pa.table({n: pa.array(o[starts]) for n, o in zip(names, owners, strict=False)} | {names[-1]: pa.array([values[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())})
 
 
-def occurrences(block: list[tuple[list[bytes], set[int] | np.ndarray]], window: int, phrase: int) -> Iterator[np.ndarray]:
-    """For each document (words, recurring hashes) of the block: starts of the windows that hold an occurrence of the shard's phrases."""
-    automaton = ahocorasick.Automaton()
-    for w, recurring in block:
-        at, key = _phrases(codes(w), window, phrase)
-        for p in at[np.isin(key.astype(np.uint32), recurring)].tolist():
-            s = (b" " + b" ".join(w[p : p + phrase]) + b" ").decode("latin-1")
-            automaton.add_word(s, len(s))
-    if len(automaton):
+def occurrences(block: list[tuple[np.ndarray, bytes]], window: int, phrase: int) -> Iterator[np.ndarray]:
+    """For each document (hashed words, spellings of ``2 * LONGEST`` bytes) of the block: starts of the windows that hold an occurrence of the shard's phrases."""
+    width = 2 * LONGEST
+    spelt = {keys[k : k + 2 * phrase] for _, keys in block for k in range(0, len(keys), width)}
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for s in spelt:
+        automaton.add_word(s.decode("latin-1"))
+    if spelt:
         automaton.make_automaton()
-    for w, _ in block:
-        n = len(w)
-        if not len(automaton) or n < window:
+    for h, _ in block:
+        n = len(h)
+        if not spelt or n < window:
             yield np.zeros(0, np.int64)
             continue
-        spaces = np.cumsum(np.fromiter((len(x) + 1 for x in w), np.int64, n))
-        ends = [end - length + 1 for end, length in automaton.iter((b" " + b" ".join(w) + b" ").decode("latin-1"))]
-        at = np.searchsorted(spaces, np.array(ends, np.int64), "right") if ends else np.zeros(0, np.int64)
+        ends = np.fromiter((end for end, _ in automaton.iter(_letters(h).tobytes().decode("latin-1"))), np.int64)
+        at = (ends[ends % 2 == 1] + 1) // 2 - phrase  # a match that begins within a word's letters is none
         edge = np.zeros(n + 2, np.int32)
         np.add.at(edge, np.maximum(at - (window - phrase), 0), 1)
         np.add.at(edge, at + 1, -1)
@@ -154,8 +168,9 @@ def _removed(found: DataFrame, window: int, phrase: int, n_blocks: int) -> DataF
             held, size = [], 0
             for i, c, t, keys in zip(*b.columns, strict=True):
                 w = words(t.as_py())
-                held.append((i.as_py(), c.as_py(), w, np.frombuffer(keys.as_py(), np.uint32)))
-                size += sum(map(len, w))
+                if digest(b" ".join(w)) == c.as_py():
+                    held.append((i.as_py(), c.as_py(), codes(w), keys.as_py()))
+                    size += sum(map(len, w))
                 if size > SHARD:
                     yield held
                     held, size = [], 0
@@ -166,9 +181,9 @@ def _removed(found: DataFrame, window: int, phrase: int, n_blocks: int) -> DataF
             for b in batches:
                 for held in shards(b):
                     key, doc, owner, start = [], [], [], []
-                    for (i, c, w, _), at in zip(held, occurrences([(w, k) for _, _, w, k in held], window, phrase), strict=True):
-                        if digest(b" ".join(w)) == c and len(at):
-                            key.append(grams(codes(w), window)[at])
+                    for (i, c, h, _), at in zip(held, occurrences([(h, k) for _, _, h, k in held], window, phrase), strict=True):
+                        if len(at):
+                            key.append(grams(h, window)[at])
                             doc.append(np.full(len(at), i, np.int64))
                             owner.append(np.full(len(at), c, np.int64))
                             start.append(at.astype(np.uint32))
@@ -211,12 +226,14 @@ def dedup_passages(docs: DataFrame, window: int = 20, phrase: int = 6) -> DataFr
     kept_text is null where nothing goes (the text stays as it is) and otherwise the kept words joined by one space.
     Null texts have no words; texts of fewer words than the window lose none.  Rows
     without a doc_id come after all others, in no stated order among themselves; rows that repeat both doc_id
-    and text are one document and have the same result.  Other columns are ignored.
+    and text are one document and have the same result.  Other columns are ignored.  ``phrase``: 2 to ``LONGEST`` words.
     """
+    if not 2 <= phrase <= min(window, LONGEST):
+        raise ValueError(f"a phrase has 2 to {LONGEST} words and fits a window")
     spark = prepare(docs.sparkSession)
-    docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), "text", "doc_id")
-    of = kept(_summaries(docs.select("_id", "text")))
-    by_class = of.groupBy("class").agg(F.min("_id").alias("_id"))
+    docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), "text", F.col("doc_id").isNull().alias("_no_id"))
+    of = kept(_summaries(docs.select("_id", "text", "_no_id")))
+    by_class = kept(of.groupBy("class").agg(F.min("_id").alias("_id"), F.count("*").alias("times")))
     total = of.agg(F.sum("n_words")).first()[0] or 0
     recurring = kept(_recurring(docs, window, phrase, B.count(spark, total // 5)))
     found = having_id(docs.select("_id", "text"), by_class.join(recurring, "class").select("_id", "class", "keys"), "_id")
@@ -239,10 +256,14 @@ def dedup_passages(docs: DataFrame, window: int = 20, phrase: int = 6) -> DataFr
         .mapInArrow(work, "_id long, class long, n_removed long, kept string, kept_text string").dropDuplicates(["_id", "class"])
     )
     copy = F.expr(f"_id != first and n_words >= {window}")
+    marked = kept(looked_up(of, by_class.withColumnRenamed("_id", "first"), "class"))
+    # Copies and short texts are settled; the others may have been cut.
+    asked = F.expr(f"_id = first and n_words >= {window}")
+    none = (F.lit(None).cast(t).alias(c) for c, t in (("n_removed", "long"), ("kept", "string"), ("kept_text", "string")))
     return (
-        of.join(by_class.withColumnRenamed("_id", "first"), "class").join(cut, ["_id", "class"], "left")
+        marked.where(asked).join(cut, ["_id", "class"], "left").unionByName(marked.where(~asked).select("*", *none))
         .select(
-            F.when(F.col("_id") != LAST, F.col("_id")).alias("doc_id"), "n_words",
+            F.when(~F.col("_no_id"), F.col("_id")).alias("doc_id"), "n_words",
             F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
             F.when(copy, F.lit(EMPTY)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
             F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),

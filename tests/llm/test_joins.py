@@ -154,13 +154,35 @@ def test_passages_shared_by_many(spark):
     assert all(r.kept_text is None or hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
-def test_automata_find_every_window():
+def spelt(h, window, phrase):
+    _, hi, lo = substring._phrases(h, window, phrase)
+    return b"".join(int(x).to_bytes(8, "big") + int(y).to_bytes(4, "big") for x, y in zip(hi, lo))
+
+
+@pytest.mark.parametrize("phrase", [6, 4])
+def test_automata_find_every_window(phrase):
+    """Positions come from the automaton: phrases that another document spells are found, and without spellings none."""
     rng = random.Random(2)
     a = prose(rng, 60).encode().split()
     b = prose(rng, 10).encode().split() + a[15:45] + prose(rng, 10).encode().split()
-    at, key = substring._phrases(substring.codes(b), 20, 6)
-    found = list(substring.occurrences([(a, key.astype(np.uint32)), (b, key.astype(np.uint32))], 20, 6))
+    a, b = substring.codes(a), substring.codes(b)
+    found = list(substring.occurrences([(a, b""), (b, spelt(b, 20, phrase))], 20, phrase))
     assert set(range(15, 26)) <= set(found[0].tolist()) and set(range(10, 21)) <= set(found[1].tolist())
+    assert [len(x) for x in substring.occurrences([(a, b""), (b, b"")], 20, phrase)] == [0, 0]
+
+
+def test_nothing_is_cut_without_automata(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = prose(rng, 40)
+    rows = [(d, f"{prose(rng, 9)} {passage} {prose(rng, 9)}") for d in range(6)]
+    assert sum(r.n_removed for r in substring.dedup_passages(table(spark, rows)).collect()) == 5 * 40
+    monkeypatch.setattr(substring, "occurrences", lambda block, window, phrase: (np.zeros(0, np.int64) for _ in block))
+    assert sum(r.n_removed for r in substring.dedup_passages(table(spark, rows)).collect()) == 0
+
+
+def test_the_largest_id_is_no_missing_one(spark):
+    last = (1 << 63) - 1
+    assert sorted((r.doc_id is None, r.doc_id) for r in substring.dedup_passages(table(spark, [(last, "a b"), (None, "c")])).collect()) == [(False, last), (True, None)]
 
 
 def test_contained_items(spark, odd):
