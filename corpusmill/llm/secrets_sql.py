@@ -14,8 +14,9 @@ def _kind(number: int, pattern: str, group: int, least: int) -> str:
 
 OP2 = f"""with base as (select row_number() over () as rid, doc_id, coalesce(text, '') as t, coalesce(source, chr(1)) as repo, split_part(coalesce(source, chr(1)), '/', 1) as owner from documents),
 spans as ({_kind(0, ASSIGN, 2, 6)} union all {_kind(1, "AKIA[A-Z0-9]+", 0, 20)} union all {_kind(2, "[0-9a-f]{24,}", 0, 24)}
- union all select * from ({_kind(3, "[A-Za-z0-9+/_-]{32,}", 0, 32)}) where regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Z]') and regexp_matches(v, '[a-z]')),
-live as (select v, count(distinct owner) <= 1 as live from spans join base using (rid) group by v),
+ union all select * from ({_kind(3, "[A-Za-z0-9+/_-]{20,}", 0, 20)}) where regexp_matches(v, '[0-9]') and
+  ((length(v) >= 32 and regexp_matches(v, '[A-Z]') and regexp_matches(v, '[a-z]')) or (not regexp_matches(v, '[+/_-]') and regexp_matches(v, '[A-Za-z]')))),
+live as (select v, count(distinct owner) <= 1 and count(distinct repo) <= 10 as live from spans join base using (rid) group by v),
 judged as (select rid, kind, start, "end", live, concat(['assign', 'access', 'hex', 'owned'][kind + 1], ':', start, ':', "end") as s from spans join live using (v)),
 by_doc as (select rid, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
   coalesce(string_agg(s, ',' order by start, kind) filter (kind < 3), '') as b, coalesce(string_agg(s, ',' order by start, kind) filter (kind < 3 or live), '') as spans,
