@@ -1,9 +1,10 @@
 """Host-level quality rules: document rules, rates by host shrunk with an empirical beta prior, verdicts joined back.
 
-All in Spark SQL functions.  A document *fails* when one of ``RULES`` fires.  A host's
-rate of failures is (fails + a) / (n + a + b), where the beta prior (a, b) has the mean
+All in Spark SQL functions.  A document *fails* when one of the rules fires.  A host's
+rate of failures has the posterior beta(f + a, n - f + b), where the beta prior (a, b) has the mean
 and variance of the hosts' raw rates (method of moments), so that hosts with few
-documents are drawn to the mean.  A host above ``MAX_RATE`` is bad.  Documents that fail
+documents are drawn to the mean.  A host is bad when its rate is credibly more than ``EXCESS`` times that of
+all documents: when the posterior's mean less ``Z`` deviations (99 %, one-sided) is above it.  Documents that fail
 the base rule go everywhere; on a bad host, those that fail any rule go too.  A document
 that fails no rule stays, whatever its host.
 """
@@ -13,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.text import kept
+from corpusmill.llm.text import kept, looked_up
 
-MAX_RATE = 0.5
+EXCESS, Z = 1.5, 2.326
 #: Hosts that are broadcast at most; more are joined by a shuffle.
 BROADCAST_HOSTS = 50_000
 #: Space, tab, line feed, vertical tab, form feed and return.
@@ -70,34 +71,44 @@ def _soft() -> Column:
     return F.expr("10 * _q.n_symbols > _q.n_words or 10 * _q.n_dup_lines > 3 * _q.n_lines or _q.word_chars < 2 * _q.n_words or _q.word_chars > 15 * _q.n_words")
 
 
-def hosts(measures: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """_host, rate (shrunk), bad, from rows with _host and _q; one row a host.  A null host is a host."""
-    by = measures.groupBy("_host").agg(F.count("*").alias("n"), F.sum(F.col("_q.failed").cast("long")).alias("f"))
-    by = by.withColumn("r", F.col("f") / F.col("n"))
-    prior = by.agg(F.avg("r").alias("m"), F.var_pop("r").alias("v")).selectExpr("m", "case when v > 0 and v < m * (1 - m) then m * (1 - m) / v - 1 else 1e6 end as s")
-    return by.join(F.broadcast(prior)).selectExpr("_host", "(f + m * s) / (n + s) as rate").withColumn("bad", F.col("rate") > max_rate)
+def _name(host: Column) -> Column:
+    """A host's name that is never null."""
+    return F.coalesce(F.concat(F.lit("="), host.cast("string")), F.lit(""))
+
+
+def hosts(measures: DataFrame, excess: float = EXCESS, z: float = Z) -> DataFrame:
+    """_host, n, rate (the posterior mean), bad, from rows with _host (never null) and _q; one row a host."""
+    by = kept(measures.groupBy("_host").agg(F.count("*").alias("n"), F.sum(F.col("_q.failed").cast("long")).alias("f")).withColumn("r", F.col("f") / F.col("n")))
+    prior = by.agg(F.avg("r").alias("m"), F.var_pop("r").alias("v"), (F.sum("f") / F.sum("n")).alias("pooled"))
+    prior = prior.selectExpr("m", "pooled", "case when v > 0 and v < m * (1 - m) then m * (1 - m) / v - 1 else 1e6 end as s")
+    rated = by.join(F.broadcast(prior)).selectExpr("_host", "n", "n + s as weight", "(f + m * s) / (n + s) as rate", "pooled")
+    return rated.selectExpr("_host", "n", "rate", f"rate - {z} * sqrt(rate * (1 - rate) / (weight + 1)) > {excess} * pooled as bad")
 
 
 def judged(measures: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows with the boolean ``kept``."""
-    verdicts = verdicts.select(F.col("_host").alias("_h"), "bad")
+    """The rows with the boolean ``kept``.  A host with a third of all rows is brought its verdict; its rows aren't shuffled."""
+    verdicts = verdicts.select("_host", "bad", F.col("n").alias("times"))
     few = verdicts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    joined = measures.join(F.broadcast(verdicts) if few else verdicts, F.col("_host").eqNullSafe(F.col("_h")), "left")
-    return joined.withColumn("kept", ~(F.col("_q.base_failed") | (F.coalesce("bad", F.lit(False)) & F.col("_q.failed")))).drop("_h", "bad")
+    joined = measures.join(F.broadcast(verdicts.drop("times")), "_host", "left") if few else looked_up(kept(measures), verdicts, "_host", "left")
+    return joined.withColumn("kept", ~(F.col("_q.base_failed") | (F.coalesce("bad", F.lit(False)) & F.col("_q.failed")))).drop("bad")
 
 
-def assess(docs: DataFrame, host: str = "source", text: str = "text", max_rate: float = MAX_RATE) -> DataFrame:
+def assess(docs: DataFrame, host: str = "source", text: str = "text", excess: float = EXCESS) -> DataFrame:
     """doc_id, the measures, base_failed and kept of every row of ``docs``; no text leaves the scan.
 
-    Null and empty texts fail the base rule (they have no words).  Repeated rows are judged alike.
-    Other columns are ignored, so that their names can't clash.
+    Null and empty texts fail the base rule (they have no words).  A null host is a host.  Repeated rows are judged
+    alike and count each.  No rows give none.  Other columns are ignored, so that their names can't clash.
     """
-    m = kept(measured(docs.select("doc_id", F.col(host).alias("_host"), F.col(text).alias("_raw")), "_raw").drop("_raw"))
-    return judged(m, kept(hosts(m, max_rate))).select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", "_q.base_failed", "kept")
+    m = kept(measured(docs.select("doc_id", _name(docs[host]).alias("_host"), F.col(text).alias("_raw")), "_raw").drop("_raw"))
+    return judged(m, kept(hosts(m, excess))).select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", "_q.base_failed", "kept")
 
 
-def keep_good(docs: DataFrame, host: str = "source", text: str = "text", max_rate: float = MAX_RATE) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns.  The texts are measured twice, for the hosts and for the filter, and never shuffled."""
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs[host].alias("_host"), docs[text].alias("_raw"))
-    verdicts = kept(hosts(measured(rows.select("_host", "_raw"), "_raw").select("_host", "_q"), max_rate))
+def keep_good(docs: DataFrame, host: str = "source", text: str = "text", excess: float = EXCESS) -> DataFrame:
+    """The rows of ``docs`` that ``assess`` keeps, with their columns, whatever these are called.
+
+    The texts are measured twice, for the hosts and for the filter, and never shuffled.  Rows with a null or empty text
+    go, repeated rows stay or go together, a row without a doc_id or host is judged like any other.
+    """
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), _name(docs[host]).alias("_host"), docs[text].alias("_raw"))
+    verdicts = kept(hosts(measured(rows.select("_host", "_raw"), "_raw").select("_host", "_q"), excess))
     return judged(measured(rows, "_raw").drop("_raw"), verdicts).where("kept").select("_row.*")

@@ -1,6 +1,6 @@
 """DuckDB SQL for the host-level quality rules."""
 
-from corpusmill.llm.quality import MAX_RATE
+from corpusmill.llm.quality import EXCESS, Z
 
 #: Measures of ``{docs}``; a row number stands for the row, as ids may repeat.
 MEASURES = r"""
@@ -16,9 +16,10 @@ measures as (select rid, doc_id, source, len(w)::bigint as n_words, length(array
 flags as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from measures),
 failing as (select *, base_failed or 10 * n_symbols > n_words or 10 * n_dup_lines > 3 * n_lines or word_chars < 2 * n_words or word_chars > 15 * n_words as failed from flags),
 host as (select source, count(*) as n, sum(failed::bigint) as f, sum(failed::bigint) / count(*) as r from failing group by source),
-prior as (select m, case when v > 0 and v < m * (1 - m) then m * (1 - m) / v - 1 else 1e6 end as s from (select avg(r) as m, var_pop(r) as v from host)),
-verdict as (select source, (f + m * s) / (n + s) > {max_rate} as bad from host, prior),
+prior as (select m, pooled, case when v > 0 and v < m * (1 - m) then m * (1 - m) / v - 1 else 1e6 end as s from (select avg(r) as m, var_pop(r) as v, sum(f) / sum(n) as pooled from host)),
+rated as (select source, n + s as weight, (f + m * s) / (n + s) as rate, pooled from host, prior),
+verdict as (select source, rate - {z} * sqrt(rate * (1 - rate) / (weight + 1)) > {excess} * pooled as bad from rated),
 judged as (select failing.*, not (base_failed or (bad and failed)) as kept from failing join verdict on failing.source is not distinct from verdict.source)
 """
 
-OP9 = "with " + MEASURES.replace("{docs}", "documents").replace("{max_rate}", str(MAX_RATE)) + "select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept from judged"
+OP9 = "with " + MEASURES.replace("{docs}", "documents").replace("{z}", str(Z)).replace("{excess}", str(EXCESS)) + "select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept from judged"
