@@ -2,15 +2,16 @@
 
 A text's features are the distinct n-grams (3 to 5 bytes of the lower-cased words,
 joined and framed by one space), hashed to 2^``BITS``.  It is trained on labelled rows, at
-most ``SAMPLE`` of each label, chosen by a hash of the id:
+most ``SAMPLE`` of each label, the first by a hash of the id, and one text an id:
 
 1. counts of documents by feature and label, summed over the sample's partitions,
    give each feature's log-count ratio and its chi-square statistic;
-2. the ``FEATURES`` features of the largest statistic above ``LEAST`` are used, scaled by their ratio;
+2. every feature whose statistic is ``LEAST`` or more (one in 10^4 by chance) is used, scaled by its ratio;
 3. a logistic regression with an L2 penalty is fitted to them, and its intercept
    moved to the share of labels outside the balanced sample.
 
-What comes to the driver is bounded by the parameters, not by the input.  Every text is scored whole.
+The features of 2 ``SAMPLE`` texts at most come to the driver, four bytes each, whatever the input, and are worked through in
+slices of ``SLICE``.  Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.text import having_id, kept, mix, prepare, words
+from corpusmill.llm.text import kept, mix, perhaps_id, prepare, words
 
 GRAMS, BITS = (3, 4, 5), 18
-SAMPLE, FEATURES, LEAST = 10_000, 4096, 15.0
-STEPS, PENALTY = 150, 1e-3
+SAMPLE, LEAST = 10_000, 15.0
+STEPS, PENALTY, SLICE = 150, 1e-3, 1 << 20
 
 
 def features(text: str | None) -> np.ndarray:
@@ -58,15 +59,18 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of label 1 from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1).
 
-    With one label alone, or none, every text has the score of that label.
+    With one label alone, or none, every text has the score of that label.  An id of both labels counts for both;
+    of rows that repeat an id the first text counts.  Rows without an id or a label are not learnt from.
     """
     prepare(docs.sparkSession)
     labels = kept(labels.where("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label")).distinct())
     n = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return Model(np.zeros(1 << BITS), 30.0 if n.get(1) else -30.0)
-    chosen = labels.where(" or ".join(f"(label = {k} and pmod(xxhash64(11L, doc_id), 1000000) < {1_000_000 * sample // max(v, sample)})" for k, v in n.items()))
-    rows = kept(having_id(docs.select("doc_id", "text"), chosen, "doc_id").select("label", "text").mapInArrow(_extract, "label int, f binary"))
+    first = [labels.where(F.col("label") == k).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(sample) for k in n]  # a top-k: ``sample`` is its bound
+    chosen = kept(first[0].union(first[1]))
+    some = perhaps_id(docs.select("doc_id", "text"), chosen, "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = kept(some.join(chosen, "doc_id").select("label", "text").mapInArrow(_extract, "label int, f binary"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << BITS), np.int64)
@@ -88,29 +92,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     both, all_ = counts.sum(axis=0), n0 + n1
     odds = counts[1] * (n0 - counts[0]) - counts[0] * (n1 - counts[1])
     chi = all_ * odds**2 / np.maximum(both * (all_ - both) * n0 * n1, 1)
-    used = np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
-    used = used[chi[used] >= LEAST]
+    used = np.flatnonzero(chi >= LEAST)
     place_of = np.full(1 << BITS, -1, np.int32)
     place_of[used] = np.arange(len(used))
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = [place_of[np.frombuffer(x.as_py(), np.uint32)] for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[x >= 0].astype(np.uint16).tobytes() for x in f], pa.binary())], ["label", "f"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[x >= 0].tobytes() for x in f], pa.binary())], ["label", "f"])
 
     data = sorted((r.label, bytes(r.f)) for r in rows.mapInArrow(reduced, "label int, f binary").toLocalIterator())
     y = np.array([k for k, _ in data], float)
-    cols = [np.frombuffer(f, np.uint16) for _, f in data]
-    row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    col = np.concatenate(cols).astype(np.int64) if cols else np.zeros(0, np.int64)
+    ends = np.cumsum([0, *(len(f) // 4 for _, f in data)])
+    col = np.frombuffer(b"".join(f for _, f in data), np.int32)
+    del data
+    # Slices end with a row; a row that is longer than a slice is one.
+    cuts = [0]
+    while cuts[-1] < len(y):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, ends[cuts[-1]] + SLICE, "right")) - 1))
+    parts = [(slice(a, b), col[ends[a] : ends[b]], np.repeat(np.arange(b - a, dtype=np.int32), np.diff(ends[a : b + 1]))) for a, b in zip(cuts, cuts[1:])]
     x = ratio[used]
     w, b = np.zeros(len(used)), 0.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, STEPS + 1):  # Adam on the whole sample
-        z = np.bincount(row, (w * x)[col], len(y)) + b
-        e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.bincount(col, e[row], len(used)) * x / len(y) + PENALTY * w
-        gb = e.mean()
+        g, gb, wx = np.zeros(len(used)), 0.0, w * x
+        for at, c, row in parts:
+            z = np.bincount(row, wx[c], at.stop - at.start) + b
+            e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at]
+            g += np.bincount(c, e[row], len(used))
+            gb += e.sum()
+        g, gb = g * x / len(y) + PENALTY * w, gb / len(y)
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         b -= 0.1 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
@@ -132,8 +143,9 @@ def held_out(doc_id: Column) -> Column:
 def score(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text); ``labels`` has doc_id and label.
 
-    Labels of held-out ids are not read.  Null and empty texts have no features and the
-    intercept's score.  Repeated rows score alike.  Other columns are ignored.
+    Labels of held-out ids are not read.  Null and empty texts have the features of two spaces, none of use, and the
+    intercept's score.  Rows without a doc_id are scored like all others.  Repeated rows score alike.  No rows
+    give none.  Other columns are ignored.
     """
     model = fit(docs, labels.where(~held_out(F.col("doc_id"))), sample)
 
