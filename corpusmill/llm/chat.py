@@ -51,17 +51,33 @@ def folded(events: DataFrame) -> DataFrame:
     from_ = F.aggregate("e", F.struct(F.lit(0).alias("k"), F.lit(0).alias("at")), lambda a, x: F.struct((a["k"] + 1).alias("k"), F.when(x["kind"] != "delta", a["k"]).otherwise(a["at"]).alias("at")), lambda a: a["at"])
     turn = turn.withColumn("live", F.slice("e", from_ + 1, F.size("e")))
     turn = turn.select("conv_id", "turn", "again", F.col("live")[0]["seq"].alias("began"), F.col("live")[0]["role"].alias("role"), F.array_join(F.transform("live", lambda x: x["text"]), "").alias("text"))
-    by = turn.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "again", "began"))).alias("m"))
-    # A turn goes when an earlier one was generated anew after its text was last set.
-    kept = F.filter("m", lambda x: ~F.exists("m", lambda y: F.coalesce((y["turn"] < x["turn"]) & (y["again"] > x["began"]), F.lit(False))))
-    return by.select("conv_id", F.transform(F.when(F.exists("m", lambda x: x["again"].isNotNull()), kept).otherwise(F.col("m")), lambda x: F.struct(x["turn"].alias("turn"), x["role"].alias("role"), x["text"].alias("text"))).alias("messages"))
+    # A turn goes when an earlier one was generated anew after its text was last set: by a running maximum.
+    earlier = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    turn = turn.withColumn("_top", F.max("again").over(earlier)).where("not coalesce(_top > began, false)")
+    return turn.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
 
 
-def as_events(rows: DataFrame) -> DataFrame:
-    """Rows of (conv_id, turn, role, text) as a log: each row is a turn of its own, in order of turn, role and text; repeated rows too."""
-    same = F.row_number().over(Window.partitionBy("conv_id", "turn", "role", "text").orderBy(F.lit(0)))
-    rows = rows.select("conv_id", "turn", "role", "text").withColumn("n", same)
-    return rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.struct("turn", "role", "text", "n").alias("turn"), "role", "text")
+def as_log(rows: DataFrame) -> DataFrame:
+    """Rows of (conv_id, turn, role, text) as the log of a conversation that came to say them.
+
+    Turns are numbered in order of turn, role and text, repeated rows each.  By its number a turn is one message; is
+    streamed in three deltas; is a draft that an edit sets right; or is a draft, after which the next turn was begun, generated
+    anew in two deltas.  Folding the log gives the rows back.
+    """
+    k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
+    rows = rows.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), k.alias("k"))
+    part = lambda a, b: F.col("text").substr((F.length("text") * a / 3).cast("int") + 1, (F.length("text") * b / 3).cast("int") - (F.length("text") * a / 3).cast("int"))
+    event = lambda at, kind, text, turn=F.col("k"): F.struct((F.col("k") * 4 + at).cast("long").alias("seq"), F.lit(kind).alias("kind"), turn.cast("long").alias("turn"), "role", text.alias("text"))
+    draft = F.lit("a draft")
+    kinds = [
+        [event(0, "message", F.col("text"))],
+        [event(0, "delta", part(0, 1)), event(1, "delta", part(1, 2)), event(2, "delta", part(2, 3))],
+        [event(0, "message", draft), event(1, "edit", F.col("text"))],
+        [event(0, "message", draft), event(1, "message", draft, F.col("k") + 1), event(2, "regenerate", part(0, 1)), event(3, "delta", part(1, 3))],
+    ]
+    of = F.col("k") % len(kinds)
+    events = F.when(of == 0, F.array(*kinds[0])).when(of == 1, F.array(*kinds[1])).when(of == 2, F.array(*kinds[2])).otherwise(F.array(*kinds[3]))
+    return rows.select("conv_id", F.explode(events).alias("e")).select("conv_id", "e.*")
 
 
 def rendered(messages: DataFrame) -> DataFrame:
@@ -87,8 +103,8 @@ def format_log(events: DataFrame) -> DataFrame:
     """conv_id, formatted, loss of each conversation of a log.
 
     Null texts and roles are empty; a null kind is a message; a null conv_id is one conversation; events with one seq in a turn
-    are ordered by kind, role and text, and repeated message rows of a turn leave one message.  A conversation's events beyond its messages
-    never meet in one row.  Other columns are ignored.
+    are ordered by kind, role and text, and repeated message rows of a turn leave one message.  No events give no conversation.  A turn's events,
+    and then a conversation's messages, meet in one row, as the result is one string.  Other columns are ignored.
     """
     return rendered(folded(events))
 

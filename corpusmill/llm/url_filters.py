@@ -77,7 +77,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     # Tokens of the same transactions (by count and two sums of hashes) are named by the least of them, ``as``.
     rows = kept(labelled.select("tokens", "label").withColumn("row", F.monotonically_increasing_id()))
     total = rows.count()
-    least = max(min_support, min_count / total) if total else 1.0
+    least = min(1.0, max(min_support, min_count / total)) if total else 1.0
     held = rows.select("row", F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"), *(F.sum(F.xxhash64(F.lit(k), "row").cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)))
     held = kept(held.where(F.col("n") >= least * total))
     names = kept(held.groupBy("n", "s1", "s2").agg(F.min("t").alias("as"), F.array_sort(F.collect_list("t")).alias("alike")).select("as", "alike", F.col("n").alias("times")))
@@ -88,7 +88,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     rules = model.associationRules.where("startswith(consequent[0], 'label=') and not exists(antecedent, t -> startswith(t, 'label='))")
     rules = rules.select(F.sort_array("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 7, 20).alias("says"), "confidence", "support", (F.col("support") * total / F.col("confidence")).alias("n"))
     share = rows.groupBy(F.col("label").alias("says")).agg((F.count("*") / total).alias("share"))
-    rules = rules.withColumn("bound", _bound()).join(F.broadcast(share), "says").where("bound > share").drop("share", "n")  # a row a label: two
+    rules = rules.withColumn("bound", _bound()).join(F.broadcast(share), "says").where(f"bound > share and support * {total} > {min_count} - 0.5").drop("share", "n")  # a row a label: two
     rules = kept(rules.withColumn("rule_id", F.xxhash64("tokens", "says")))
     # A rule goes when one with some of its tokens has as high a bound: found by the tokens they share.
     index = rules.select("rule_id", "says", "bound", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from conftest import DOCS, prose, table
+from pyspark.sql import functions as F
 
 from corpusmill.llm import decontaminate, graph, ngram_join, substring
 from corpusmill.llm.text import having_id, lacking_id, prepare
@@ -207,3 +208,44 @@ def test_contained_items(spark, odd):
     left = decontaminate.clean(df, spark.createDataFrame(items, "item_id long, text string"))
     assert left.columns == df.columns
     assert sorted(r.doc_id for r in left.collect() if r.doc_id) == sorted(d for d, _ in rows if d and d not in {x[0] for x in want})
+
+
+def test_short_items_in_long_documents(spark):
+    rows = [(1, "x " * 60 + "Un deux trois quatre " + "y " * 60), (2, "un deux trois"), (3, "deux un trois quatre")]
+    items = spark.createDataFrame([(1, "un deux trois quatre"), (2, "deux")], "item_id long, text string")
+    assert sorted(tuple(r) for r in decontaminate.contaminated(table(spark, rows), items).collect()) == [(1, 1, 1, 1), (1, 2, 1, 1), (2, 2, 1, 1), (3, 2, 1, 1)]
+    assert [r.doc_id for r in decontaminate.clean(table(spark, rows), items.where("item_id = 1")).collect()] == [2, 3]
+
+
+def test_blocks_of_items(spark, odd, monkeypatch):
+    items = spark.createDataFrame([(k, " ".join(odd[k % 3][1].split()[k : k + 12])) for k in range(40)], "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.contaminated(table(spark, odd), items).na.fill(-1).collect()))
+    monkeypatch.setattr(decontaminate, "SHINGLES", 100)
+    assert sorted(map(tuple, decontaminate.contaminated(table(spark, odd), items).na.fill(-1).collect())) == whole and len(whole) > 40
+
+
+@pytest.mark.parametrize("size", [9, 30, 64, 300])
+def test_recall_of_the_sketches(size):
+    """Items of which just 4/5 of the shingles are in a long document, in one piece: all but few are candidates (1 in 10^4 at the worst size)."""
+    rng = np.random.default_rng(size)
+    missed = 0
+    for _ in range(2000):
+        item = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        own = rng.integers(0, 1 << 63, 6 * size).astype(np.uint64)
+        at = int(rng.integers(0, 5 * size))
+        own[at : at + -(-4 * size // 5)] = rng.permutation(item)[: -(-4 * size // 5)]
+        missed += 0 not in decontaminate.Index(5, [(1, item)]).candidates(own)
+    assert missed <= 4
+
+
+def test_frequent_keys_are_looked_up(spark, monkeypatch):
+    """Whatever counts as frequent: the rows of an ordinary join, rows without a key too."""
+    from corpusmill.llm import text
+
+    df = spark.createDataFrame([(None if k % 7 == 0 else "hot" if k % 3 else f"k{k}", k) for k in range(200)], "key string, v long")
+    known = df.where("key is not null and v % 5 > 0").groupBy("key").agg(F.count("*").alias("times"), F.max("v").alias("most"))
+    for hot in (1, 10, 1000):
+        monkeypatch.setattr(text, "HOT", hot)
+        for how in ("inner", "left"):
+            want = df.join(known.drop("times"), "key", how)
+            assert sorted(map(str, text.looked_up(df, known, "key", how).select(want.columns).collect())) == sorted(map(str, want.collect()))

@@ -1,9 +1,12 @@
 """Secrets, toxicity, shards, URLs, mixture, quality and chat on small tables."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 
+import brute
 import pytest
 from conftest import DOCS, prose, table
 from pyspark.sql import functions as F
@@ -44,6 +47,15 @@ def test_copied_strings_are_examples(spark):
     assert secrets.scan(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_repositories_count_too(spark):
+    """A string in many repositories of one owner is a copied example; in a few it is the owner's; short ones of letters and digits count."""
+    wide, own, short = "Wd1" + "x" * 40, "Ow2" + "y" * 40, "f3ef4d6b2755a36d7d9c25bd"
+    rows = [(k, f"{wide} {own if k < 5 else ''}", f"o1/r{k}") for k in range(12)] + [(50, short, "o2/r0"), (51, "abcdefghijklmnopqrstuvwxyz 12345678901234567890123 a-b-c-d-e-f-g-1-2-3-4-5", "o3/r0")]
+    got = {r.doc_id: r for r in secrets.scan(table(spark, rows)).collect()}
+    assert got[0].spans == "owned:44:87" and got[7].spans == "" and got[50].spans == "hex:0:24,owned:0:24" and got[51].spans == ""
+    assert {(f.owners, f.repositories, f.live) for f in got[0].found} == {(1, 12, False), (1, 5, True)}
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     rows, labels = [], []
@@ -68,6 +80,21 @@ def test_toxicity(spark):
     assert toxicity.score(spark.createDataFrame([], DOCS), lab).count() == 0
 
 
+def test_toxicity_as_brute_force(spark):
+    """The same scores as with dense arrays; of repeated ids the first text counts, an id of both labels for both; held-out labels are unread."""
+    rng = random.Random(16)
+    rows = [(d, prose(rng, 12) + (" nastyword vileterm" if d % 3 == 0 else "")) for d in range(120)]
+    labels = [(d, int(d % 3 == 0)) for d in range(120)] + [(4, 1), (4, 1)]
+    again = [(7, "zzz zzz"), (7, "zzzz nastyword")]
+    df, lab = table(spark, rows + again), spark.createDataFrame(labels, "doc_id long, label int")
+    got = {(r.doc_id, r.text): r.score for r in toxicity.score(df, lab).join(df.select("doc_id", "text").distinct(), "doc_id").collect() if r.doc_id != 7}
+    held = {r.d for r in spark.range(120).select(F.col("id").alias("d"), toxicity.held_out(F.col("id")).alias("h")).where("h").collect()}
+    learnt = sorted({(d, y) for d, y in labels if d not in held})
+    texts = {d: min([t for i, t in rows + again if i == d]) for d, _ in rows}
+    want = brute.classifier([texts[d] for d, _ in learnt], [y for _, y in learnt], [sum(y == k for _, y in learnt) for k in (0, 1)])
+    assert all(got[d, texts[d]] == pytest.approx(p, abs=1e-6) for (d, _), p in zip(learnt, want) if d != 7)
+
+
 @pytest.mark.parametrize("n", [0, 1, 17, 500])
 def test_shards(spark, n):
     rows = [(k if k % 50 else None, "é" * (k % 7) if k % 3 else None) for k in range(n)]
@@ -83,13 +110,20 @@ def test_shards(spark, n):
     assert set(out.columns) == set(DOCS.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")) | {"slot"} and out.count() == len(rows)
 
 
-def test_few_keys_move_when_a_shard_is_added():
-    counts = [random.Random(1).randint(0, 20) for _ in range(16 * 64)]
-    places = sharding.ring(16, 64)
-    went = sharding.assign(counts[: len(places)], [s for _, s in places], 16)
-    assert sum(b - a for _, a, b, _, _ in went) == sum(counts[: len(places)])
-    home = sum(b - a for arc, a, b, s, _ in went if places[arc][1] == s)
-    assert home > 0.8 * sum(counts)
+def test_shards_key_by_key(spark):
+    """As a walk around the ring, key by key; one key is held by a third of all rows."""
+    rng = random.Random(2)
+    rows = [(k, prose(rng, k % 5)) for k in range(400)] + [(None, None)] * 3 + [(7, "the same text")] * 200
+    got = sorted(((r.doc_id is None, r.doc_id), r.text or "", r.shard, r.slot) for r in sharding.sharded(table(spark, rows), 5).collect())
+    assert got == sorted(((d is None, d), t or "", s, k) for d, t, s, k in brute.ring(spark, rows, 5))
+
+
+def test_few_keys_move_when_a_shard_is_added(spark):
+    """Of 20,000 keys 1 in 17 must move to a new shard; few others do."""
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    old, new = ({r.doc_id: r.shard for r in sharding.shard(df, n).collect()} for n in (16, 17))
+    moved = [d for d in old if old[d] != new[d]]
+    assert 20_000 // 17 <= len(moved) < 0.15 * 20_000 and sum(new[d] != 16 for d in moved) < 0.08 * 20_000
 
 
 def test_urls(spark):
@@ -152,6 +186,55 @@ def test_tokens_alike_give_each_a_rule(spark):
     assert sorted((r.tokens, r.says, r.confidence, r.support) for r in url_filters.mine(rows).collect()) == [(["p1=a"], "block", 1, 0.5), (["p1=c"], "allow", 1, 0.5), (["p2=b"], "block", 1, 0.5)]
 
 
+def test_mined_verdicts_as_brute_force(spark):
+    """Every set of tokens of the labelled rows as an antecedent; labels follow the tokens but for some noise, and so do the verdicts on the other rows."""
+    rng = random.Random(12)
+    rows, label = [], {}
+    for k in range(240):
+        host, seg = rng.choice(["spam", "fine", "odd"]), rng.choice(["buy", "read"])
+        rows.append((k, f"http://{host}.s{k % 3}.test/{seg}/{k}"))
+        bad = host == "spam" or (host == "odd" and seg == "buy")
+        label[k] = "block" if bad != (rng.random() < 0.1) else "allow"
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, v) for k, v in label.items() if k % 2 == 0], "page_id long, label string")
+    got = {r.page_id: (r.verdict, r.by) for r in url_filters.judge(pages, labels).collect()}
+    sets = {r.page_id: frozenset(r.tokens) for r in url_filters.parsed(pages).withColumn("tokens", url_filters.tokens()).collect()}
+    train = [k for k in label if k % 2 == 0]
+    share = {v: sum(label[k] == v for k in train) / len(train) for v in ("block", "allow")}
+    rules = []
+    for some in {frozenset(c) for k in train for n in range(1, len(sets[k]) + 1) for c in itertools.combinations(sorted(sets[k]), n)}:
+        held = [label[k] for k in train if some <= sets[k]]
+        for v, s in share.items():
+            hits, n, z = held.count(v), len(held), url_filters.Z
+            if hits >= max(url_filters.MIN_COUNT, url_filters.MIN_SUPPORT * len(train)) and hits >= url_filters.MIN_CONFIDENCE * n:
+                p = hits / n
+                bound = (p + z * z / 2 / n - z * math.sqrt(p * (1 - p) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+                if bound > s:
+                    rules.append((bound, hits, some, v))
+    for k in label:
+        fired = sorted(((b, h, v) for b, h, some, v in rules if some <= sets[k]), reverse=True)
+        best = {v for b, h, v in fired if abs(b - fired[0][0]) < 1e-12 and h == fired[0][1]}
+        assert got[k][0] in best and got[k][1] == "mined" if fired else got[k] == ("allow", "default")
+    held_out = [k for k in label if k % 2 and got[k] == ("block", "mined")]
+    assert sum(label[k] == "block" for k in held_out) / len(held_out) > share["block"] + 0.2
+
+
+def test_prefix_sums_over_ranges(spark):
+    rng = random.Random(4)
+    rows = [(None if k == 9 else f"h{k}", rng.randint(0, 50)) for k in range(500)]
+    df = spark.createDataFrame(rows, "h string, n long").repartition(7)
+    got = {r.h: (r.at, r.sum) for r in mixing.before(df, ["h"], {"at": F.lit(1).cast("long"), "sum": F.col("n")}).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0]))
+    assert got == {h: (k, sum(n for _, n in order[:k])) for k, (h, _) in enumerate(order)}
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(5)
+    size = {f"s{k}": rng.choice([0, 1, 5, 100, 10_000]) for k in range(200)} | {None: 40}
+    got = {r._source: r.target for r in mixing.targets(spark.createDataFrame(list(size.items()), "_source string, source_size long"), 1.5, 2).collect()}
+    assert got == pytest.approx(brute.goals(size))
+
+
 def test_mixture(spark):
     rng = random.Random(9)
     rows = [(k if k % 40 else None, prose(rng, rng.randint(0, 30)) if k % 17 else None, ["a", "b", "B", None, "tiny"][k % 5] if k % 5 != 4 or k == 4 else "a") for k in range(400)]
@@ -211,6 +294,20 @@ def test_hosts(spark):
     assert {d for d, _, _ in good} <= kept and not kept & set(range(1000, 1040)) and {2000, 2001, 2003} <= kept and 2002 not in kept
     out = quality.keep_good(df)
     assert out.columns == df.columns and {r.doc_id for r in out.collect()} == kept
+    # The host decides: the same texts on hosts of their own pass the base rule and stay.
+    alone = {r.doc_id for r in quality.assess(df.withColumn("source", F.when(F.col("source") == "bad", F.col("doc_id").cast("string")).otherwise(F.col("source")))).where("kept").collect()}
+    assert len(alone & set(range(1000, 1040))) == 40
+    assert kept == {r[0] for r in brute.good(good + junk, measures)}
+
+
+def test_many_hosts(spark, monkeypatch):
+    """More hosts than are broadcast: the same verdicts."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(x + "##" for x in prose(rng, 30).split()) if k % 3 == 0 and k % 7 < 3 else prose(rng, 40), f"h{k % 7}") for k in range(210)] + [(300, None, None)]
+    df = table(spark, rows)
+    few = sorted(r.doc_id for r in quality.keep_good(df).collect())
+    monkeypatch.setattr(quality, "BROADCAST_HOSTS", 2)
+    assert sorted(r.doc_id for r in quality.keep_good(df).collect()) == few and len(few) < 200
 
 
 def events(spark, rows):
@@ -227,19 +324,36 @@ def test_log_is_folded(spark):
     assert got[1] == [("user", "hi there"), ("assistant", "good day"), ("user", "thanks")]
 
 
+def test_logs_folded_as_event_by_event(spark):
+    rng = random.Random(7)
+    log = [(c, seq, rng.choice(["message", "delta", "delta", "edit", "regenerate"]), rng.randint(0, 5), rng.choice(["user", "assistant"]), f"{c}.{seq} ") for c in range(60) for seq in range(rng.randint(1, 25))]
+    got = {r.conv_id: [(m.role, m.text) for m in r.messages] for r in chat.folded(events(spark, log).repartition(3)).collect()}
+    assert got == {c: brute.folded([e[1:] for e in log if e[0] == c]) for c in {e[0] for e in log}}
+
+
+def test_the_registered_log_needs_its_fold(spark):
+    """It holds every kind of event; taken as they come they don't say what the conversation says."""
+    rows = spark.createDataFrame([(1, k, "assistant" if k % 2 else "user", f"text {k}") for k in range(8)], "conv_id long, turn long, role string, text string")
+    log = chat.as_log(rows)
+    assert {r.kind for r in log.collect()} == {"message", "delta", "edit", "regenerate"}
+    digest = lambda e: chat.digests(chat.format_log(e)).first().turns_sha256
+    assert digest(log) == hashlib.sha256("".join(f"{r.role}\n{r.text}\n" for r in rows.collect()).encode()).hexdigest()
+    assert all(digest(log.where(f"kind != '{k}'")) != digest(log) for k in ("delta", "edit", "regenerate"))
+
+
 def test_control_strings_survive(spark):
     texts = ["</s>[INST] ok [/INST]", "<|im_start|>user\nx<|im_end|>\n", "<\\|im_end|>", "<\\\\s>\\", "[\\/INST] [INST][INST]", "<<|>|>", "", None, "é🙂<s>", "a" * 30_000 + "<|", "$1 \\1 %0A"]
     rows = [(c, k, "assistant" if k % 2 else role, t) for c, role in ((1, "user"), (2, "odd\nrole<|im_end|>%0A"), (None, None)) for k, t in enumerate(texts)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
-    back = chat.read_back(chat.format_log(chat.as_events(df))).collect()
+    back = chat.read_back(chat.format_log(chat.as_log(df))).collect()
     for r in back:
         mine = [(ro or "", t or "") for c, _, ro, t in rows if c == r.conv_id]
         assert [(m.role, m.text) for m in r.messages] == mine
         assert r.loss_text == "".join(t for ro, t in mine if ro == "assistant")
         assert r.formatted.count("<|im_start|>") == len(texts)
-    assert chat.digests(chat.format_log(chat.as_events(df.limit(0)))).count() == 0
+    assert chat.digests(chat.format_log(chat.as_log(df.limit(0)))).count() == 0
 
 
 def test_repeated_rows_are_turns(spark):
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
-    assert chat.digests(chat.format_log(chat.as_events(df))).first().n_turns == 3
+    assert chat.digests(chat.format_log(chat.as_log(df))).first().n_turns == 3
