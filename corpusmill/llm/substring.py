@@ -19,8 +19,8 @@ doc_id, or before in the same document) goes; windows are judged on the input.
    only make more windows to compare.
 
 Documents of the same words are one class; its smallest doc_id stands for it, and
-in the others each word of a text of ``window`` words or more is removed.  A block of
-documents sends each window once, so a passage in a third of all rows is no hot key.
+in the others each word of a text of ``window`` words or more is removed.  A shard sends
+each of its windows to be compared once, so a passage in a third of all rows is no hot key.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import blocks as B
-from corpusmill.llm.text import codes, digest, grams, having_id, kept, looked_up, prepare, words
+from corpusmill.llm.text import codes, digest, grams, having_id, kept, looked_up, mix, prepare, words
 
 SHARD = 1 << 20
 #: The place of rows without a doc_id: after all others (of the largest id, at its place).
@@ -190,17 +190,20 @@ def _removed(found: DataFrame, window: int, phrase: int, n_blocks: int) -> DataF
                     if key:
                         columns = [np.concatenate(x) for x in (key, doc, owner, start)]
                         order, again = _not_first(*columns)
-                        columns = [c[order] for c in columns]
-                        yield *columns, again
+                        key, doc, owner, start = (c[order] for c in columns)
+                        # What isn't the first in its shard goes for certain: it is dealt evenly, not to its window's block.
+                        dealt = np.where(again, mix(owner.view(np.uint64) + start), key)
+                        yield dealt, np.where(again, np.uint64(0), key), doc, owner, start, again
 
-        yield from B.pack(chunks(), n_blocks, ["key", "doc", "owner", "start", "again"])
+        yield from B.pack(chunks(), n_blocks, ["", "key", "doc", "owner", "start", "again"])
 
     def judge(t: pa.Table) -> pa.Table:
         kinds = {"key": np.uint64, "doc": np.int64, "owner": np.int64, "start": np.uint32, "again": np.bool_}
         key, doc, owner, start, again = (B.unpack(t, c, k) for c, k in kinds.items())
-        order, late = _not_first(key, doc, owner, start)
-        late |= again[order]
-        return B.packed([(owner[order][late].view(np.uint64), doc[order][late], start[order][late])], n_blocks, ["owner", "doc", "start"])
+        open_ = np.flatnonzero(~again)
+        order, late = _not_first(key[open_], doc[open_], owner[open_], start[open_])
+        gone = np.r_[np.flatnonzero(again), open_[order][late]]
+        return B.packed([(owner[gone].view(np.uint64), doc[gone], start[gone])], n_blocks, ["owner", "doc", "start"])
 
     def gather(t: pa.Table) -> pa.Table:
         owner, doc, start = (B.unpack(t, c, k) for c, k in (("owner", np.int64), ("doc", np.int64), ("start", np.uint32)))
