@@ -44,6 +44,8 @@ LAST = (1 << 63) - 1
 EMPTY = hashlib.sha256(b"").hexdigest()
 #: Words of a phrase at most: its letters are kept in twelve bytes.
 LONGEST = 6
+#: Of a phrase that is counted: it is twice in its document or batch; it isn't counted, as it surely recurs.
+AGAIN, SURE = 1, 2
 
 
 def _letters(h: np.ndarray) -> np.ndarray:
@@ -79,6 +81,17 @@ def _summaries(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "_id long, class long, n_words long, sha string, _no_id boolean")
 
 
+def _settled(g: np.ndarray, hi: np.ndarray, lo: np.ndarray, owner: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The phrases of a batch, as they are dealt: of those that several documents share one is sent to be counted, the others
+    are sure to recur and are dealt evenly, so that a phrase in a third of all documents is no hot key."""
+    order = np.argsort(g, kind="stable")
+    g, hi, lo, owner, flag = g[order], hi[order], lo[order], owner[order], flag[order]
+    start = np.r_[True, g[1:] != g[:-1]]
+    size = np.diff(np.r_[np.flatnonzero(start), len(g)])
+    flag = np.where(start, np.where(np.repeat(size, size) > 1, AGAIN, flag), SURE).astype(np.uint8)
+    return np.where(flag == SURE, mix(owner.view(np.uint64) + g), g), hi, lo, owner, flag
+
+
 def _recurring(docs: DataFrame, window: int, phrase: int, n_blocks: int) -> DataFrame:
     """class and the spellings of its phrases that recur in the corpus."""
 
@@ -86,6 +99,7 @@ def _recurring(docs: DataFrame, window: int, phrase: int, n_blocks: int) -> Data
         def chunks():
             for b in batches:
                 seen = set()
+                found = []
                 for t in b.column(0):
                     w = words(t.as_py())
                     if len(w) < window or (cls := digest(b" ".join(w))) in seen:
@@ -93,20 +107,23 @@ def _recurring(docs: DataFrame, window: int, phrase: int, n_blocks: int) -> Data
                     seen.add(cls)
                     g, hi, lo = _phrases(codes(w), window, phrase)
                     g, first, times = np.unique(g, return_index=True, return_counts=True)
-                    yield g, hi[first], lo[first], np.full(len(g), cls, np.int64), times > 1
+                    found.append((g, hi[first], lo[first], np.full(len(g), cls, np.int64), (times > 1).astype(np.uint8)))
+                if found:
+                    yield _settled(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
-        yield from B.pack(chunks(), n_blocks, ["", "hi", "lo", "owner", "twice"])
+        yield from B.pack(chunks(), n_blocks, ["", "hi", "lo", "owner", "flag"])
 
     def recur(t: pa.Table) -> pa.Table:
-        hi, lo, owner, twice = (B.unpack(t, c, k) for c, k in (("hi", np.uint64), ("lo", np.uint32), ("owner", np.int64), ("twice", np.bool_)))
-        order = np.lexsort((owner, lo, hi))
-        hi, lo, owner, twice = hi[order], lo[order], owner[order], twice[order]
-        start = np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])] if len(hi) else np.zeros(0, bool)
+        hi, lo, owner, flag = (B.unpack(t, c, k) for c, k in (("hi", np.uint64), ("lo", np.uint32), ("owner", np.int64), ("flag", np.uint8)))
+        sure, order = np.flatnonzero(flag == SURE), np.flatnonzero(flag != SURE)
+        order = order[np.lexsort((owner[order], lo[order], hi[order]))]
+        key, low, by, twice = hi[order], lo[order], owner[order], flag[order] == AGAIN
+        start = np.r_[True, (key[1:] != key[:-1]) | (low[1:] != low[:-1])] if len(key) else np.zeros(0, bool)
         group = np.cumsum(start) - 1
         again = np.zeros(int(start.sum()), bool)
         again[group[twice]] = True
-        again[group[1:][~start[1:] & (owner[1:] != owner[:-1])]] = True
-        held = again[group]
+        again[group[1:][~start[1:] & (by[1:] != by[:-1])]] = True
+        held = np.r_[sure, order[again[group]]]
         return B.packed([(owner[held].view(np.uint64), hi[held], lo[held])], n_blocks, ["owner", "hi", "lo"])
 
     def gather(t: pa.Table) -> pa.Table:
@@ -114,7 +131,7 @@ def _recurring(docs: DataFrame, window: int, phrase: int, n_blocks: int) -> Data
         spelt = np.hstack([hi.astype(">u8").view(np.uint8).reshape(-1, 8), lo.astype(">u4").view(np.uint8).reshape(-1, 4)])
         return _by_owner(["class", "keys"], [B.unpack(t, "owner", np.int64)], spelt)
 
-    by_phrase = docs.select("text").mapInArrow(pack, "block int, hi binary, lo binary, owner binary, twice binary")
+    by_phrase = docs.select("text").mapInArrow(pack, "block int, hi binary, lo binary, owner binary, flag binary")
     by_row = by_phrase.groupBy("block").applyInArrow(recur, "block int, owner binary, hi binary, lo binary")
     return by_row.groupBy("block").applyInArrow(gather, "class long, keys binary")
 
