@@ -89,7 +89,8 @@ def _settled(g: np.ndarray, hi: np.ndarray, lo: np.ndarray, owner: np.ndarray, f
     start = np.r_[True, g[1:] != g[:-1]]
     size = np.diff(np.r_[np.flatnonzero(start), len(g)])
     flag = np.where(start, np.where(np.repeat(size, size) > 1, AGAIN, flag), SURE).astype(np.uint8)
-    return np.where(flag == SURE, mix(owner.view(np.uint64) + g), g), hi, lo, owner, flag
+    # A phrase's hash is the least of many, so it is mixed anew to be dealt evenly.
+    return mix(np.where(flag == SURE, owner.view(np.uint64) + g, g)), hi, lo, owner, flag
 
 
 def _recurring(docs: DataFrame, window: int, phrase: int, n_blocks: int) -> DataFrame:
