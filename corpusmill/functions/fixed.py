@@ -7,10 +7,10 @@ STOP_WORDS = [
     "at", "to", "of", "and", "or", "but", "with", "from",
 ]
 LANGUAGES = {".py": "python", ".java": "java", ".js": "javascript", ".ts": "typescript", ".cpp": "cpp", ".c": "c", ".h": "c", ".go": "go", ".rs": "rust"}
+READMES, SKIPPED_REMOTE = ["README.md", "README.rst", "README.txt"], ["test", "example", "__pycache__"]
 SKIPPED_FOLDERS = ["__pycache__", "node_modules", "venv", "env", ".git", ".github", "tests", "test", "docs", "doc", ".pytest_cache", ".mypy_cache"]
 MAX_FILE_SIZE = 102400
 MIN_QUESTION, MIN_ANSWER, MIN_TRACE, MIN_CODE = 10, 20, 30, 10
-TYPE_RATIOS = [("function_rule", 0.30), ("class_rule", 0.30), ("conditional_rule", 0.25), ("comment_rule", 0.15)]
 COMPLEXITY_RATIOS = [("simple", 0.40), ("medium", 0.45), ("complex", 0.15)]
 SYSTEM_PROMPT = "You are Qwen, created by Alibaba Cloud. You are a helpful assistant specialized in code analysis and software design."
 QA_HEADER, DESIGN_HEADER, DEMAND_PREFIX = "\n相关代码:\n", "\n参考代码:\n", "设计需求: "
@@ -65,6 +65,19 @@ DEMANDS = [
     "Design a plugin system based on the existing architecture.",
     "Propose a design for adding validation layer.",
 ]
+MORE_DEMANDS = [
+    "Design a new authentication module with OAuth2 support based on the repository architecture.",
+    "Propose a design for adding distributed rate-limiting to the architecture.",
+    "Design a comprehensive logging system with structured logging that integrates with the existing codebase.",
+    "Propose a multi-level caching mechanism based on the current architecture.",
+    "Design an advanced error handling module with retry logic following the repository patterns.",
+    "Propose a design for adding real-time monitoring capabilities.",
+    "Design a flexible configuration management system with environment-based settings.",
+    "Propose a design for adding circuit breaker pattern with retry logic.",
+    "Design an extensible plugin system with hot-reload capability based on the existing architecture.",
+    "Propose a design for adding request/response validation layer with schema validation.",
+]
+CLASS_DEMAND = "Design a new class hierarchy that extends the existing architecture."
 # (words of which one is in the lower-cased code, answer); the first that fits, the last fits all.
 CONDITION_ANSWERS = [
     (["redirect"], "The library handles redirects based on the condition {condition}. When this condition is met, the system follows redirects automatically. The default behavior can be configured via parameters such as 'allow_redirects' and 'max_redirects' to control the redirect handling mechanism."),

@@ -129,11 +129,3 @@ def fenced(snippets: Column, header: str) -> Column:
     some = F.filter(F.slice(snippets, 1, 3), lambda s: F.coalesce(s["code"], F.lit("")) != "")
     body = F.array_join(F.transform(some, lambda s: F.concat(F.lit(before), text_of(s["file_path"]), F.lit(between), s["code"], F.lit(after))), "")
     return F.when(F.coalesce(F.size(snippets), F.lit(0)) > 0, F.concat(F.lit(header), body)).otherwise(F.lit(""))
-
-
-def rewritten(c: Column, rules: list[tuple[str, Column]]) -> Column:
-    """Ordered replacements, letters in either case; a replacement may be a column."""
-    out = c
-    for pattern, value in rules:
-        out = F.array_join(F.split(out, "(?i)" + pattern), value) if isinstance(value, str) else F.regexp_replace(out, F.lit("(?i)" + pattern), F.regexp_replace(value, r"([\\$])", r"\\$1"))
-    return out

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed
 from corpusmill.functions import scalars as S
+from corpusmill.operators.mix import ranked
 
 
 def filled(template: str, values: dict[str, Column]) -> Column:
@@ -79,13 +80,17 @@ def samples(rules: DataFrame, repository: str, seed: int = 42) -> DataFrame:
     )
 
 
-def demands(spark, n: int) -> DataFrame:
-    """ord, demand: the fixed demands, then with (variant k), n in all."""
+def demands(spark, n: int, extended: bool = False) -> DataFrame:
+    """ord, demand: the fixed demands (``extended``: and ten more after the first pass), then with (variant k), n in all."""
     base = spark.createDataFrame(list(enumerate(fixed.DEMANDS)), "k int, demand string")
     passes = -(-n // len(fixed.DEMANDS))
     rows = base.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(max(passes - 1, 0)))))
     rows = rows.withColumn("demand", F.when(F.col("variant") > 0, F.concat("demand", F.lit(" (variant "), F.col("variant").cast("string"), F.lit(")"))).otherwise(F.col("demand")))
-    return rows.select((F.col("variant") * len(fixed.DEMANDS) + F.col("k")).alias("ord"), "demand").orderBy("ord").limit(n)
+    more = len(fixed.MORE_DEMANDS) if extended else 0
+    rows = rows.select((F.col("variant") * len(fixed.DEMANDS) + F.col("k") + F.when(F.col("variant") > 0, more).otherwise(0)).alias("ord"), "demand")
+    if extended:
+        rows = rows.union(spark.createDataFrame(list(enumerate(fixed.MORE_DEMANDS, len(fixed.DEMANDS))), "ord int, demand string"))
+    return rows.orderBy("ord").limit(n)
 
 
 def options(df: DataFrame, right: str, wrong: Column, seed: int, *ids: str) -> DataFrame:
@@ -97,12 +102,14 @@ def options(df: DataFrame, right: str, wrong: Column, seed: int, *ids: str) -> D
     return df.withColumn("correct_answer", F.element_at(letters, F.array_position("options", F.col(right)).cast("int")))
 
 
-def distractors(rules: DataFrame, seed: int, most: int = 1) -> DataFrame:
+def distractors(rules: DataFrame, seed: int) -> DataFrame:
     """rule_id, other: another rule of the type for each rule, the next in hashed order (the last takes the first)."""
-    w = Window.partitionBy("type").orderBy(S.order_key(seed, "rule_id"))
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    nxt = F.coalesce(F.lead("rule_id").over(w), F.first("rule_id").over(whole))
-    return rules.withColumn("other", nxt).where("other != rule_id").select("rule_id", "other")
+    # Types are few, so rules are ranked by ranges of the order and meet the next rank, not in a window of their type.
+    rows = ranked(rules.select("rule_id", "type"), seed, "rule_id", by=["type"])
+    last = rules.groupBy(F.col("type").alias("_type")).agg(F.count("*").alias("_last"))
+    asked = rows.join(F.broadcast(last), F.col("type").eqNullSafe(F.col("_type"))).withColumn("_next", F.when(F.col("_rank") < F.col("_last"), F.col("_rank") + 1).otherwise(1))
+    other = rows.select(F.col("rule_id").alias("other"), F.col("type").alias("_of"), F.col("_rank").alias("_at"))
+    return asked.join(other, F.col("type").eqNullSafe(F.col("_of")) & (F.col("_next") == F.col("_at"))).where("other != rule_id").select("rule_id", "other")
 
 
 def explicit(text: Column, function: Column) -> Column:

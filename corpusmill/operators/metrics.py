@@ -14,20 +14,23 @@ from corpusmill.functions import scalars as S
 def bleu(reference: str = "reference", candidate: str = "candidate", *, into: str = "bleu", most: int = 4) -> Callable[[DataFrame], DataFrame]:
     """Adds sentence BLEU of up to 4-grams with smoothing method 1 (0.1 for no match), one reference; 0 for no token.
 
-    N-grams are counted within the row, so that nothing is shuffled: equal n-grams stand together once
-    sorted, and the overlap of the two multisets is the number of (n-gram, occurrence) pairs in both.
+    N-grams are counted within the row, so that nothing is shuffled: those of both texts are sorted together, and
+    in one pass the smaller count of each is added up.
     """
-    # The pair of an n-gram and its number among equal ones; the multisets' intersection is then that of two sets.
-    numbered = "transform(sequence(0, size({g}) - 1), i -> struct({g}[i], i - array_position({g}, {g}[i]) + 1))"
+    side_of = "transform({g}, x -> struct(x as g, {s} as s))"
+    overlap = (
+        "aggregate(array_sort(concat({c}, {r})), struct('' as g, 0 as c, 0 as r, 0 as t), "
+        "(a, x) -> if(a.g = x.g, struct(a.g as g, a.c + 1 - x.s as c, a.r + x.s as r, a.t as t), struct(x.g as g, 1 - x.s as c, x.s as r, a.t + least(a.c, a.r) as t)), a -> a.t + least(a.c, a.r))"
+    )
 
     def add(df: DataFrame) -> DataFrame:
         d = df.withColumns({"_r": S.tokens(F.col(reference)), "_c": S.tokens(F.col(candidate))})
         for n in range(1, most + 1):
             for side in ("_r", "_c"):
-                joined = f"array_sort(transform(sequence(0, size({side}) - {n}), i -> array_join(slice({side}, i + 1, {n}), '\\u0000')))"
+                joined = f"transform(sequence(0, size({side}) - {n}), i -> array_join(slice({side}, i + 1, {n}), '\\u0000'))"
                 d = d.withColumn(f"{side}{n}", F.expr(f"if(size({side}) >= {n}, {joined}, cast(array() as array<string>))"))
         for n in range(1, most + 1):
-            d = d.withColumn(f"_m{n}", F.expr(f"if(size(_c{n}) = 0 or size(_r{n}) = 0, 0, size(array_intersect({numbered.format(g=f'_c{n}')}, {numbered.format(g=f'_r{n}')})))"))
+            d = d.withColumn(f"_m{n}", F.expr(overlap.format(c=side_of.format(g=f"_c{n}", s=0), r=side_of.format(g=f"_r{n}", s=1))))
         total = F.lit(0.0)
         for n in range(1, most + 1):
             of = F.greatest(F.lit(1), F.size("_c") - (n - 1))
@@ -64,8 +67,8 @@ def evaluated(predictions: DataFrame) -> DataFrame:
 
 
 def grid(models: DataFrame, test_sets: DataFrame, available: DataFrame) -> DataFrame:
-    """Each (model, test_set) of which the pair is available."""
-    return models.crossJoin(test_sets).join(available, ["model", "test_set"], "left_semi")
+    """Each (model, test_set) of which the pair is available: the distinct pairs there are, of known models and sets."""
+    return available.select("model", "test_set").distinct().join(models, "model", "left_semi").join(test_sets, "test_set", "left_semi").select("model", "test_set")
 
 
 def pivoted(results: DataFrame, test_sets: list[str], metric: str, digits: int = 4, base: str = "base") -> DataFrame:

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions import fixed
 from corpusmill.functions import scalars as S
 
+
 def last_content(messages: Column, role: str) -> Column:
     """What the last message of a role says; empty where there is none."""
     return F.coalesce(F.get(F.reverse(F.filter(messages, lambda m: m["role"] == role)), F.lit(0))["content"], F.lit(""))
@@ -33,15 +35,17 @@ def united(frames: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (f.withColumn("_source", F.lit(n)) for n, f in frames.items()))
 
 
-def fixed_sample(df: DataFrame, n: int | Column, seed: int, *ids: str) -> DataFrame:
-    """Exactly n rows, or all where there are fewer.  A number is a top-k, without a full sort."""
-    key = S.order_key(seed, *ids)
-    if isinstance(n, int):
-        return df.orderBy(key, *ids).limit(n)
-    raise TypeError("a number of rows is needed")
+def fixed_sample(df: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:
+    """Exactly n rows, or all where there are fewer: a top-k, for numbers that are parameters."""
+    return df.orderBy(S.order_key(seed, *ids), *ids).limit(n)
+
+
+def sampled(df: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:
+    """The same rows by rank, for numbers that grow with the data."""
+    return ranked(df, seed, *ids).where(F.col("_rank") <= n).drop("_rank")
 
 
-def ranked(df: DataFrame, seed: int, *ids: str, by: list[str] | None = None, digits: int = 2) -> DataFrame:
+def ranked(df: DataFrame, seed: int, *ids: str, by: list[str] | None = None, digits: int = 4) -> DataFrame:
     """``df`` with ``_rank`` from 1 in seeded order, over all rows or within groups.
 
     The order's first digits cut it into ranges that are counted and ranked by themselves, so
@@ -71,7 +75,29 @@ def shuffled(df: DataFrame, seed: int, *ids: str) -> DataFrame:
 def one_to_one(a: DataFrame, b: DataFrame, *ids: str, seeds: tuple[int, int] = (42, 43)) -> DataFrame:
     """As many rows of either side as the smaller one has, with ``_source`` a or b."""
     n = min(a.count(), b.count())
-    return united({"a": fixed_sample(a, n, seeds[0], *ids), "b": fixed_sample(b, n, seeds[1], *ids)})
+    return united({"a": sampled(a, n, seeds[0], *ids), "b": sampled(b, n, seeds[1], *ids)})
+
+
+def feasible(combinations: list[str], general: DataFrame, rule: DataFrame, llm: DataFrame) -> list[str]:
+    """The combinations that can be made: without any rows an error, without generated rows no general_llm."""
+    some = {name: not f.isEmpty() for name, f in (("general", general), ("rule", rule), ("llm", llm))}
+    if not any(some.values()):
+        raise ValueError("all datasets are empty")
+    return [c for c in combinations if some["llm"] or c != "general_llm"]
+
+
+def combined(which: str, general: DataFrame, rule: DataFrame, llm: DataFrame, *ids: str) -> DataFrame:
+    """General rows and as many new ones, with ``_source`` and ``_part`` (general, rule or llm): ``all`` (rules and generated ones), ``general_rule`` or ``general_llm``.
+
+    Without generated rows ``all`` is of rules alone, and ``general_llm`` is an error.  Each side has its own seed.
+    """
+    part = {n: f.withColumn("_part", F.lit(n)) for n, f in (("general", general), ("rule", rule), ("llm", llm))}
+    if which not in ("all", "general_rule", "general_llm"):
+        raise ValueError(f"no such combination: {which}")
+    if which == "general_llm" and llm.isEmpty():
+        raise ValueError("general_llm needs generated rows")
+    new, seed = {"all": (part["rule"].unionByName(part["llm"], allowMissingColumns=True), 43), "general_rule": (part["rule"], 44), "general_llm": (part["llm"], 45)}[which]
+    return one_to_one(part["general"], new, "_part", *ids, seeds=(42, seed))
 
 
 def split(df: DataFrame, *ids: str, ratio: float = 0.1, seed: int = 42) -> DataFrame:
@@ -97,7 +123,7 @@ def stratified(df: DataFrame, n: int, types: list[tuple[str, float]], levels: li
     rest = df.join(first.select(*ids), list(ids), "left_anti")
     second = ranked(rest, seed + 1, *ids, by=[level_col]).withColumn("_of", F.col(level_col)).where(F.col("_rank") <= quota(levels, max(0, n - taken))).drop("_rank", "_of")
     more = second.count()
-    third = fixed_sample(rest.join(second.select(*ids), list(ids), "left_anti"), max(0, n - taken - more), seed + 2, *ids)
+    third = sampled(rest.join(second.select(*ids), list(ids), "left_anti"), max(0, n - taken - more), seed + 2, *ids)
     return united({"type": first, "level": second, "any": third}).withColumnRenamed("_source", "_pass").orderBy(S.order_key(seed + 3, *ids)).limit(n)
 
 
@@ -107,9 +133,25 @@ def by_category(df: DataFrame, n: int, category: str, categories: int, *ids: str
 
 
 def replicated(df: DataFrame, n: int, rows: int, *order: str) -> DataFrame:
-    """n rows: all of ``df`` (``rows`` many) again and again, with the number of the pass in ``variant``."""
-    passes = -(-n // rows) if rows else 0
-    return df.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(max(passes - 1, 0))))).orderBy("variant", *order).limit(n)
+    """n rows: all of ``df`` (``rows`` many) again and again, with the number of the pass in ``variant``.
+
+    Whole passes take every row; of the last one the first rows of the order, n - n // rows * rows < rows of them.
+    """
+    whole, more = divmod(n, rows) if rows else (0, 0)
+    passes = df.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(whole - 1)))) if whole else df.limit(0).withColumn("variant", F.lit(0))
+    return passes.unionByName(df.orderBy(*order).limit(more).withColumn("variant", F.lit(whole)))
+
+
+def filled_up(chosen: DataFrame, every: DataFrame, n: int, demand: str, *ids: str, seed: int = 42) -> DataFrame:
+    """n demands: those chosen (by category), and where they are too few any of ``every`` with a marker behind, both picked by hash; repeats may be."""
+    short = max(0, n - chosen.count())
+    base = ranked(every.select(demand, *ids), seed, *ids).select(F.col(demand).alias("_base"), "_rank")
+    total = every.count()
+    pick = lambda salt, k: F.conv(F.substring(S.order_key(seed, F.lit(salt), F.col("id")), 1, 8), 16, 10).cast("long") % k
+    markers = F.array(*(F.lit(m) for m in fixed.VARIANT_MARKERS))
+    more = every.sparkSession.range(short if total else 0).select((pick("demand", max(total, 1)) + 1).alias("_rank"), F.get(markers, pick("marker", len(fixed.VARIANT_MARKERS)).cast("int")).alias("_marker"))
+    more = more.join(base, "_rank").select(F.concat("_base", F.lit(" "), "_marker").alias(demand))
+    return chosen.select(demand).unionByName(more).limit(n)
 
 
 def without(df: DataFrame, chosen: DataFrame, *ids: str) -> DataFrame:

@@ -27,12 +27,36 @@ def distribution(df: DataFrame, column: str, values: list[str]) -> DataFrame:
 def architecture(structures: DataFrame) -> DataFrame:
     """One row from structures (file_path, functions, classes): base classes, and what the classes and files hint at."""
     classes = structures.select("file_path", F.explode("classes").alias("c"))
+    bases = classes.select(F.explode("c.bases").alias("b")).distinct().agg(F.array_sort(F.collect_list("b")).alias("base_classes"))
     of = classes.agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("c.bases")))).alias("base_classes"), F.count_if(F.size("c.bases") > 0).alias("inheritance"),
+        F.count_if(F.size("c.bases") > 0).alias("inheritance"),
         F.count_if(F.lower("c.name").rlike("adapter|handler")).alias("adapters"), F.count_if(F.contains(F.lower("c.name"), F.lit("base"))).alias("bases"),
     )
     files = structures.agg(F.count_if(F.size("functions") > 0).alias("modular_functions"))
-    return of.crossJoin(files)
+    return bases.crossJoin(of).crossJoin(files)
+
+
+def many_classes(structures: DataFrame, first: int = 10, least: int = 5) -> DataFrame:
+    """One row: n_classes of the first structures (ord, classes), and whether they are more than ``least``."""
+    n = F.coalesce(F.sum(F.coalesce(F.size("classes"), F.lit(0))), F.lit(0)).cast("long")
+    return structures.orderBy("ord").limit(first).agg(n.alias("n_classes")).withColumn("many", F.col("n_classes") > least)
+
+
+def architecture_text(structures: DataFrame, first: int = 5) -> DataFrame:
+    """One row, ``architecture``: files, classes and functions of the first structures (ord, file_path, classes, functions) as lines."""
+    names = lambda c, n: F.array_join(F.transform(F.slice(F.coalesce(F.transform(c, lambda x: S.text_of(x["name"])), F.expr("cast(array() as array<string>)")), 1, n), lambda x: x), ", ")
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    lines = F.concat_ws(
+        "\n", F.concat(F.lit("文件: "), S.text_of("file_path")), F.when(some("classes"), F.concat(F.lit("  类: "), names("classes", 3))), F.when(some("functions"), F.concat(F.lit("  函数: "), names("functions", 5)))
+    )
+    rows = structures.orderBy("ord").limit(first).select("ord", F.when(some("classes") | some("functions"), lines).alias("part"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("ord", "part")))), lambda x: x["part"]), "\n")
+    return rows.agg(joined.alias("t")).select(F.when(F.col("t") != "", F.col("t")).otherwise("无架构信息").alias("architecture"))
+
+
+def first_rows(df: DataFrame, n: int, order: str = "_ord") -> DataFrame:
+    """What is shown of a dataset."""
+    return df.orderBy(order).limit(n)
 
 
 def category(text: Column, categories: list[tuple[str, list[str]]], other: str = "other") -> Column:

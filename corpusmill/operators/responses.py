@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import sys
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,13 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import scalars as S
-from corpusmill.operators import traces
+from corpusmill.operators import mix, traces
 
 SAMPLE = "question string, answer string, trace struct<steps: array<struct<step: int, action: string, evidence: string, conclusion: string>>, summary: string>"
 
 
 def repaired(c: Column) -> Column:
-    """Without comments and trailing commas, single quotes of keys and values doubled."""
+    """Without comments and trailing commas, single quotes of keys and values doubled.
+
+    Comments go first, so that a comma before one is a trailing comma like any other; // in a quoted URL goes too.
+    """
     c = F.regexp_replace(F.regexp_replace(c, r"(?m)//.*?$", ""), r"(?s)/\*.*?\*/", "")
     c = F.regexp_replace(F.regexp_replace(c, r"'([^'\n]*)'(\s*:)", '"$1"$2'), r"(:\s*)'([^'\n]*)'", '$1"$2"')
     return F.regexp_replace(c, r",(\s*[}\]])", "$1")
@@ -54,7 +58,7 @@ def found_json(df: DataFrame, text: str, into: str = "json") -> DataFrame:
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
     @F.pandas_udf("string")
-    def scan(texts: pd.Series) -> pd.Series:
+    def scan(texts: pd.Series, mended: pd.Series) -> pd.Series:
         def first(t: str | None) -> str | None:
             for span in balanced(t or ""):
                 for s in (span, re.sub(r",(\s*[}\]])", r"\1", span)):
@@ -65,14 +69,18 @@ def found_json(df: DataFrame, text: str, into: str = "json") -> DataFrame:
                         continue
             return None
 
-        return texts.map(first)
+        return pd.Series([None if t is None else first(t) or first(m) for t, m in zip(texts, mended, strict=True)], dtype=object)
 
     d = df.withColumn("_t", unfenced(F.col(text)))
     flat = F.nullif(F.regexp_extract("_t", r"^[^{}]*(\{[^{}]*\})", 1), F.lit(""))
     ok = lambda c: F.try_parse_json(c).isNotNull()
-    easy = F.when(ok(flat), flat).when(ok(repaired(flat)), repaired(flat))
-    d = d.withColumn("_easy", easy).withColumn(into, F.coalesce("_easy", scan(F.when(F.col("_easy").isNull(), F.col("_t"))), scan(F.when(F.col("_easy").isNull(), repaired(F.col("_t"))))))
-    return d.drop("_t", "_easy")
+    # Each generated once, so that what follows doesn't work it out again.
+    once = lambda c: F.explode(F.array(c))
+    d = d.withColumn("_flat", once(F.struct(flat.alias("a"), repaired(flat).alias("b"))))
+    d = d.withColumn("_easy", once(F.when(ok(F.col("_flat.a")), F.col("_flat.a")).when(ok(F.col("_flat.b")), F.col("_flat.b"))))
+    # The scan sees the texts that are left, as they are and repaired; the others are null to it.
+    left = F.when(F.col("_easy").isNull(), F.struct(F.col("_t").alias("a"), repaired(F.col("_t")).alias("b")))
+    return d.withColumn(into, F.coalesce("_easy", scan(left["a"], left["b"]))).drop("_t", "_flat", "_easy")
 
 
 def labelled(c: Column) -> Column:
@@ -92,6 +100,24 @@ def read_responses(df: DataFrame, text: str = "response", path: str = "file_path
     return d.withColumns({"question": F.coalesce(blank(F.col("_p.question")), F.col("_l.question")), "answer": F.coalesce(blank(F.col("_p.answer")), blank(F.col("_l.answer")), S.text_of(text)), "trace": F.coalesce("_p.trace", traces.of_rule(F.col(path), F.col(line) if line in df.columns else F.lit(1)))}).drop("_p", "_l", "_json")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, written to the checkpoint folder that the session names; on a local master a temporary one serves."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith(("local[", "local*")) and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
+def unvalidated(prompts: DataFrame, model: Callable[[list[str]], list[str]], n: int, order: str, passes: int = 10) -> DataFrame:
+    """n rows with a response at most, from as many passes over the prompts as that needs, ``passes`` at most; empty responses are left out."""
+    rows = prompts.count()
+    tries = mix.replicated(prompts, min(n, rows * passes), rows, order)
+    return generated(tries, model).where("response != ''").orderBy("variant", order).limit(n)
+
+
 def generated(prompts: DataFrame, model: Callable[[list[str]], list[str]], prompt: str = "prompt") -> DataFrame:
     """``prompts`` with ``response`` from a model that takes a list of prompts: any that can be sent to the executors."""
 
@@ -110,7 +136,7 @@ def until_valid(todo: DataFrame, step: Callable[[DataFrame, DataFrame | None], D
     """
     good, failures = None, None
     for attempt in range(rounds):
-        out = step(todo, failures).checkpoint()
+        out = kept(step(todo, failures))
         passed = out.where("ok").drop("ok", "reasons")
         good = passed if good is None else good.unionByName(passed)
         failed = out.where("not ok").select(key, F.lit(attempt).alias("attempt"), "reasons")

@@ -7,7 +7,7 @@ among rows that pass the basic check, and a row that fails a later check still h
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed
@@ -39,12 +39,26 @@ def basic_reason(strict: bool = True) -> Column:
     )
 
 
+def key() -> Column:
+    """What equal questions, or demands, have in common."""
+    return F.when(F.col("type") == "design", S.strip(F.lower(ask()))).otherwise(S.core_question(ask()))
+
+
+def variant() -> Column:
+    """A question marked as a variant is no duplicate, though it holds its key."""
+    return (F.col("type") == "qa") & F.contains(F.lower(ask()), F.lit("(variant"))
+
+
 def first_of_its_kind(df: DataFrame) -> DataFrame:
-    """``df`` with the boolean ``_dup``: an earlier row of its type has the key, and it is no marked variant."""
-    key = F.when(F.col("type") == "design", S.strip(F.lower(ask()))).otherwise(S.core_question(ask()))
-    w = Window.partitionBy("type", "_key").orderBy("_ord")
-    variant = (F.col("type") == "qa") & F.contains(F.lower(ask()), F.lit("(variant"))
-    return df.withColumn("_key", key).withColumn("_dup", (F.row_number().over(w) > 1) & ~variant).drop("_key")
+    """``df`` with the boolean ``_dup``: an earlier row of its type has the key, and it is no marked variant.
+
+    The least ordinal of a key is found by a partial aggregate and joined by key and ordinal, so a common
+    question is no hot key.  Ordinals are those of the rows: no two are equal.
+    """
+    rows = df.withColumn("_key", key())
+    first = rows.groupBy(F.col("type").alias("_t"), F.col("_key").alias("_k")).agg(F.min("_ord").alias("_o"))
+    match = F.col("type").eqNullSafe(F.col("_t")) & F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_ord") == F.col("_o"))
+    return rows.join(first, match, "left").withColumn("_dup", F.col("_o").isNull() & ~variant()).drop("_key", "_t", "_k", "_o")
 
 
 def overlaps(strict: bool = True) -> Column:

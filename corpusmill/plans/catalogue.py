@@ -11,7 +11,7 @@ from corpusmill.functions import fixed
 from corpusmill.functions import scalars as S
 from corpusmill.operators import choices, extract, generate, metrics, mix, profile, render, responses, traces, validate
 from corpusmill.plans import tables as T
-from corpusmill.sources import repository
+from corpusmill.sources import files, repository
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -121,18 +121,13 @@ def paths_and_languages(spark, d):
 
 
 @query("name_regex", r"""select doc_id, regexp_extract(code, 'def\s+(\w+)', 1) as f, regexp_extract(code, 'class\s+(\w+)', 1) as c, regexp_extract(code, 'if\s+([^:]+):', 1) as cond, ((length(code) - length(replace(code, 'def ', ''))) / 4)::bigint as n_def
-  from (select doc_id, 'class K' || doc_id || '(B):' || chr(10) || ' def f' || doc_id % 7 || '(self):' || chr(10) || '  if x >' || doc_id || ':' || chr(10) || substring(text, 1, 200) as code from documents)""")
-def name_regex(spark, d, text="substring(text, 1, 200)"):
-    code = F.expr(f"concat('class K', doc_id, '(B):\\n def f', doc_id % 7, '(self):\\n  if x >', doc_id, ':\\n', {text})")
+  from (select doc_id, 'class K' || doc_id || '(B):' || chr(10) || ' def f' || doc_id % 7 || '(self):' || chr(10) || '  if x >' || doc_id || ':' || chr(10) || text as code from documents)""")
+def name_regex(spark, d):
+    code = F.expr("concat('class K', doc_id, '(B):\\n def f', doc_id % 7, '(self):\\n  if x >', doc_id, ':\\n', text)")
     c = T.table(spark, d, "documents").select("doc_id", code.alias("code"))
     return c.select("doc_id", S.first_function(F.col("code")).alias("f"), S.first_class(F.col("code")).alias("c"), S.first_condition(F.col("code")).alias("cond"), S.occurrences(F.col("code"), "def ").alias("n_def"))
 
 
-@query("name_regex_whole", _SQL["name_regex"].replace("substring(text, 1, 200)", "text"))
-def name_regex_whole(spark, d):
-    return name_regex(spark, d, "text")
-
-
 @query("durations", """select event_id, case when v < 60 then printf('%.1f秒', v) when v < 3600 then printf('%d分%d秒', floor(v / 60)::int, floor(v)::int % 60) else printf('%d小时%d分%d秒', floor(v / 3600)::int, floor(floor(v)::int % 3600 / 60)::int, floor(v)::int % 60) end as shown from (select event_id, (event_id * 7.25)::double as v from events)""")
 def durations(spark, d):
     return T.table(spark, d, "events").select("event_id", S.duration((F.col("event_id") * 7.25).cast("double")).alias("shown"))
@@ -151,9 +146,9 @@ def nested_type_counts(spark, d):
     return profile.counts(m, F.col("metadata.rule_type"), "rule_type").orderBy("rule_type")
 
 
-@query("cond_counts", "select count(*) as total, count(*) filter (quality = 1) as qa, count(*) filter (toxic = 1) as design from labels")
+@query("cond_counts", f"with {T.SAMPLES} select count(*) as total, count(*) filter (type = 'qa') as qa, count(*) filter (type = 'design') as design from s")
 def cond_counts(spark, d):
-    return T.table(spark, d, "labels").agg(F.count("*").alias("total"), F.count_if(F.col("quality") == 1).alias("qa"), F.count_if(F.col("toxic") == 1).alias("design"))
+    return files.dataset_info(T.samples(spark, d))
 
 
 @query("diversity_profile", f"""with {T.SAMPLES} select count(*) as total_samples, count(*) filter (type = 'qa') as qa_count, count(*) filter (type = 'design') as design_count, case when count(*) filter (not bare) > 0 then 1 else 0 end as unique_files, 'python' as languages,
@@ -188,9 +183,9 @@ def relevant_snippets(spark, d):
     return profile.relevant(demands, T.table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.col("text").alias("code")), fallback=3)
 
 
-@query("architecture", "select 'en,fr' as base_classes, count(*) filter (doc_id % 2 = 0) as inheritance, count(*) filter (regexp_matches(lower(source), 'adapter|handler')) as adapters, count(*) filter (contains(lower(source), 'base')) as bases, count(*) as modular_functions from documents where lang in ('en', 'fr')")
+@query("architecture", "select string_agg(distinct lang, ',' order by lang) filter (doc_id % 2 = 0) as base_classes, count(*) filter (doc_id % 2 = 0) as inheritance, count(*) filter (regexp_matches(lower(source), 'adapter|handler')) as adapters, count(*) filter (contains(lower(source), 'base')) as bases, count(*) as modular_functions from documents")
 def architecture(spark, d):
-    docs = T.table(spark, d, "documents").where("lang in ('en', 'fr')")
+    docs = T.table(spark, d, "documents")
     some = F.when(F.col("doc_id") % 2 == 0, F.array("lang")).otherwise(F.expr("cast(array() as array<string>)"))
     rows = docs.select(F.col("source").alias("file_path"), F.array(F.struct(F.col("source").alias("name"))).alias("functions"), F.array(F.struct(F.col("source").alias("name"), some.alias("bases"))).alias("classes"))
     return profile.architecture(rows).withColumn("base_classes", F.array_join("base_classes", ","))
@@ -240,7 +235,7 @@ def split_at_ratio(spark, d):
     return mix.split_at(T.table(spark, d, "documents").select("doc_id"), "doc_id", seed=7)
 
 
-_TYPES, _LEVELS = [("en", 0.30), ("fr", 0.30), ("de", 0.25), ("es", 0.15)], [("simple", 0.40), ("medium", 0.45), ("complex", 0.15)]
+_TYPES, _LEVELS = [("en", 0.30), ("fr", 0.30), ("de", 0.25), ("es", 0.15)], fixed.COMPLEXITY_RATIOS
 
 
 @query("stratified_sample", f"""with d as (select doc_id, lang, case when len(string_split(text, chr(10))) < 20 then 'simple' when len(string_split(text, chr(10))) < 100 then 'medium' else 'complex' end as complexity from documents),
@@ -339,18 +334,13 @@ def design_demands(spark, d):
     return generate.demands(spark, 25)
 
 
-@query("mcq_options", "with o as (select item_id, substring(text, 1, 30) as r, [substring(text, 1, 30), 'wrong ' || item_id, 'other', 'none'] as os from benchmark), p as (select item_id, r, list_transform(list_sort(list_transform(os, lambda x: {k: md5('42|' || item_id || '|' || x), o: x})), lambda y: y.o) as options from o) select item_id, array_to_string(options, '/') as options, ['A', 'B', 'C', 'D'][list_position(options, r)] as correct_answer from p")
-def mcq_options(spark, d, text="substring(text, 1, 30)"):
-    b = T.table(spark, d, "benchmark").select("item_id", F.expr(text).alias("right"))
+@query("mcq_options", "with o as (select item_id, text as r, [text, 'wrong ' || item_id, 'other', 'none'] as os from benchmark), p as (select item_id, r, list_transform(list_sort(list_transform(os, lambda x: {k: md5('42|' || item_id || '|' || x), o: x})), lambda y: y.o) as options from o) select item_id, array_to_string(options, '/') as options, ['A', 'B', 'C', 'D'][list_position(options, r)] as correct_answer from p")
+def mcq_options(spark, d):
+    b = T.table(spark, d, "benchmark").select("item_id", F.col("text").alias("right"))
     wrong = F.array(F.concat(F.lit("wrong "), F.col("item_id").cast("string")), F.lit("other"), F.lit("none"), F.lit("never"))
     return generate.options(b, "right", wrong, 42, "item_id").select("item_id", F.array_join("options", "/").alias("options"), "correct_answer")
 
 
-@query("mcq_options_whole", _SQL["mcq_options"].replace("substring(text, 1, 30)", "text"))
-def mcq_options_whole(spark, d):
-    return mcq_options(spark, d, "text")
-
-
 def _fill(t: str, **values: str) -> str:
     return _case([([""], t)], "''", **values)
 
@@ -413,17 +403,12 @@ def _vague_sql() -> str:
     return out
 
 
-@query("vague_rewrite", f"with x as (select doc_id, substring(text, 1, 30) || '这段代码，该函数。此处' || (case when doc_id % 3 = 0 then '此文件' else '' end) as t, source || '/' || lang || '.py' as p, doc_id as a, doc_id + 3 as b, 'f' || doc_id % 5 as f from documents) select doc_id, {_vague_sql()} as out from x")
-def vague_rewrite(spark, d, text="substring(text, 1, 30)"):
-    x = T.table(spark, d, "documents").select("doc_id", F.concat(F.expr(text), F.lit("这段代码，该函数。此处"), F.when(F.col("doc_id") % 3 == 0, "此文件").otherwise("")).alias("t"), F.concat("source", F.lit("/"), "lang", F.lit(".py")).alias("file_path"), F.col("doc_id").alias("line_start"), (F.col("doc_id") + 3).alias("line_end"), F.concat(F.lit("f"), F.col("doc_id") % 5).alias("f"))
+@query("vague_rewrite", f"with x as (select doc_id, text || '这段代码，该函数。此处' || (case when doc_id % 3 = 0 then '此文件' else '' end) as t, source || '/' || lang || '.py' as p, doc_id as a, doc_id + 3 as b, 'f' || doc_id % 5 as f from documents) select doc_id, {_vague_sql()} as out from x")
+def vague_rewrite(spark, d):
+    x = T.table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("这段代码，该函数。此处"), F.when(F.col("doc_id") % 3 == 0, "此文件").otherwise("")).alias("t"), F.concat("source", F.lit("/"), "lang", F.lit(".py")).alias("file_path"), F.col("doc_id").alias("line_start"), (F.col("doc_id") + 3).alias("line_end"), F.concat(F.lit("f"), F.col("doc_id") % 5).alias("f"))
     return x.select("doc_id", generate.explicit(F.col("t"), F.col("f")).alias("out"))
 
 
-@query("vague_rewrite_whole", _SQL["vague_rewrite"].replace("substring(text, 1, 30)", "text"))
-def vague_rewrite_whole(spark, d):
-    return vague_rewrite(spark, d, "text")
-
-
 # Responses
 
 @query("json_extract_repair", "select event_id, (props->>'k')::int as k from events")
@@ -457,24 +442,7 @@ def failure_feedback(spark, d):
 
 # Metrics and logs
 
-_GRAM = "list_transform(range(1, greatest(len({s}) - {n} + 2, 1)), lambda i: array_to_string(list_slice({s}, i, i + {n} - 1), chr(1)))"
-
-
 def _bleu_sql() -> str:
-    m = ", ".join(f"list_sum(list_transform(list_distinct({_GRAM.format(s='c', n=n)}), lambda x: least(len(list_filter({_GRAM.format(s='c', n=n)}, lambda y: y = x)), len(list_filter({_GRAM.format(s='r', n=n)}, lambda y: y = x))))) as m{n}" for n in range(1, 5))
-    part = " + ".join(f"ln((case when coalesce(m{n}, 0) = 0 then 0.1::double else m{n} end) / greatest(1, len(c) - {n - 1}))" for n in range(1, 5))
-    toks = lambda x: f"list_filter(regexp_split_to_array({x}, '[\\s\\p{{Z}}]+'), lambda x: x <> '')"
-    return f"t as (select conv_id, list_slice({toks('q')}, 1, 30) as r, list_slice({toks('a')}, 1, 30) as c from c), m as (select *, {m} from t), bleu as (select conv_id, round(case when len(c) = 0 or len(r) = 0 or coalesce(m1, 0) = 0 then 0 else (case when len(c) > len(r) then 1 else exp(1 - len(r) / len(c)) end) * exp(({part}) / 4) end, 9) as bleu from m)"
-
-
-@query("bleu_pairs", f"with {T.TURNS}, {_bleu_sql()} select conv_id, bleu from bleu")
-def bleu_pairs(spark, d):
-    first = lambda c: F.array_join(F.slice(S.tokens(F.col(c)), 1, 30), " ")
-    t = T.turns(spark, d).select("conv_id", first("q").alias("reference"), first("a").alias("candidate"))
-    return metrics.bleu()(t).select("conv_id", F.round("bleu", 9).alias("bleu"))
-
-
-def _bleu_whole_sql() -> str:
     toks = lambda x: f"list_filter(regexp_split_to_array({x}, '[\\s\\p{{Z}}]+'), lambda x: x <> '')"
     grams = lambda s: f"select conv_id, n, gram, count(*) as k from (select conv_id, n, array_to_string(list_slice({s}, i, i + n - 1), chr(1)) as gram from (select *, unnest(range(1, greatest(len({s}) - n + 2, 1))) as i from t, (select unnest(range(1, 5)) as n))) group by all"
     m = ", ".join(f"sum(least(a.k, b.k)) filter (n = {n}) as m{n}" for n in range(1, 5))
@@ -482,9 +450,8 @@ def _bleu_whole_sql() -> str:
     return f"t as (select conv_id, {toks('q')} as r, {toks('a')} as c from c), a as ({grams('c')}), b as ({grams('r')}), m as (select conv_id, {m} from a join b using (conv_id, n, gram) group by conv_id), bleu as (select conv_id, round(case when coalesce(m1, 0) = 0 then 0 else (case when len(c) > len(r) then 1 else exp(1 - len(r) / len(c)) end) * exp(({part}) / 4) end, 9) as bleu from t left join m using (conv_id))"
 
 
-@query("bleu_whole", f"with {T.TURNS}, {_bleu_whole_sql()} select conv_id, bleu from bleu")
-def bleu_whole(spark, d):
-    """BLEU of whole texts, as the reference scores them; ``bleu_pairs`` and its SQL are of the first 30 words."""
+@query("bleu_pairs", f"with {T.TURNS}, {_bleu_sql()} select conv_id, bleu from bleu")
+def bleu_pairs(spark, d):
     t = T.turns(spark, d).select("conv_id", F.col("q").alias("reference"), F.col("a").alias("candidate"))
     return metrics.bleu()(t).select("conv_id", F.round("bleu", 9).alias("bleu"))
 
@@ -495,16 +462,19 @@ def perplexity_mean(spark, d):
     return metrics.evaluated(p).withColumn("ppl", F.round("ppl", 9))
 
 
-@query("report_pivot", "select model, coalesce(printf('%.4f', max(b) filter (t = 'src0')), 'N/A') as src0, coalesce(printf('%.4f', max(b) filter (t = 'src1')), 'N/A') as src1, coalesce(printf('%.4f', max(b) filter (t = 'none')), 'N/A') as none from (select lang as model, source as t, count(*) / 7 as b from documents where source in ('src0', 'src1') group by all) group by model")
+_SETS = [*(f"src{k}" for k in range(20)), "none"]
+
+
+@query("report_pivot", "select model, " + ", ".join(f"coalesce(printf('%.4f', max(b) filter (t = '{t}')), 'N/A') as {t}" for t in _SETS) + " from (select lang as model, source as t, count(*) / 7 as b from documents group by all) group by model")
 def report_pivot(spark, d):
-    r = T.table(spark, d, "documents").where("source in ('src0', 'src1')").groupBy(F.col("lang").alias("model"), F.col("source").alias("test_set")).agg((F.count("*") / 7).alias("bleu"))
-    return metrics.pivoted(r, ["src0", "src1", "none"], "bleu")
+    r = T.table(spark, d, "documents").groupBy(F.col("lang").alias("model"), F.col("source").alias("test_set")).agg((F.count("*") / 7).alias("bleu"))
+    return metrics.pivoted(r, _SETS, "bleu")
 
 
-@query("model_grid", "select model, test_set from (select distinct lang as model from documents), (select distinct source as test_set from documents) where exists (select 1 from documents where lang = model and source = test_set and doc_id % 3 = 0)")
+@query("model_grid", "select model, test_set from (select distinct lang as model from documents), (select distinct source as test_set from documents) where exists (select 1 from documents join labels using (doc_id) where lang = model and source = test_set and toxic = 1)")
 def model_grid(spark, d):
     docs = T.table(spark, d, "documents").select(F.col("lang").alias("model"), F.col("source").alias("test_set"), "doc_id")
-    return metrics.grid(docs.select("model").distinct(), docs.select("test_set").distinct(), docs.where("doc_id % 3 = 0"))
+    return metrics.grid(docs.select("model").distinct(), docs.select("test_set").distinct(), docs.join(T.table(spark, d, "labels").where("toxic = 1"), "doc_id"))
 
 
 _LOG = "e as (select user_id % 10 as run, event_id, case when event_id % 5 = 0 then null else value end as loss, case when event_id % 5 < 2 then value + 1 end as eval_loss, case when event_id % 7 = 0 then null else event_id end as step from events), k as (select *, case when eval_loss is not null then 'eval' when loss is not null then 'train' end as kind from e), l as (select run, kind, coalesce(step, row_number() over (partition by run, kind order by event_id) - 1) as step, coalesce(eval_loss, loss) as loss from k where kind is not null)"
@@ -541,7 +511,7 @@ def _files(spark, d):
     return T.table(spark, d, "pages").select("page_id", path.alias("path"), (F.length("html") * 20).cast("long").alias("size"))
 
 
-@query("repo_scan_rank", f"with {_FILES} select path, size from f where page_id % 3 < 2 and size between 1 and 102400 order by case when contains(lower(path), 'src') then 0 else 1 end, size, path limit 50")
+@query("repo_scan_rank", f"with {_FILES} select path, size from f where page_id % 3 < 2 and regexp_matches(path, '[^/]\\.[^./]+$') and size between 1 and 102400 order by case when contains(lower(path), 'src') then 0 else 1 end, size, path limit 50")
 def repo_scan_rank(spark, d):
     return repository.first_files(_files(spark, d).where(repository.wanted()), 50).select("path", "size")
 

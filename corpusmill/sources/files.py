@@ -41,7 +41,17 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | StructT
         parsed = parsed.where(~bad)
     if policy == "skip":
         parsed = parsed.where(~F.col("_line").rlike(r"^\{\s*\}$"))
-    return parsed.select(*(F.col(f"_x.`{f.name}`") for f in s.fields), "_file", place.alias("_place")).withColumn("_ord", F.row_number().over(Window.partitionBy("_file").orderBy("_place")).cast("long") - 1).drop("_place")
+    return parsed.select(*(F.col(f"_x.`{f.name}`") for f in s.fields), "_file", "_block", "_at").transform(_numbered)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``_ord``: the place in the file, from the rows of a file's earlier blocks and the place in the block, so that no task sorts more than a block."""
+    blocks = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_file", "_block", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at")) - 1
+    placed = rows.withColumn("_within", within).join(blocks, ["_file", "_block"])
+    return placed.withColumn("_ord", (F.col("_before") + F.col("_within")).cast("long")).drop("_block", "_at", "_before", "_within")
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
@@ -91,5 +101,19 @@ def json_array(df: DataFrame, order: str) -> DataFrame:
     return df.agg(F.array_sort(F.collect_list(F.struct(order, F.struct(*df.columns).alias("row")))).alias("l")).select(F.to_json(F.transform("l", lambda x: x["row"])).alias("json"))
 
 
+def write_hub_layout(samples: DataFrame, path: str) -> None:
+    """train.jsonl (a folder of parts) and dataset_info.json with counts, below a path."""
+    write_jsonl(samples, f"{path}/train.jsonl")
+    info = dataset_info(samples).select(F.col("total").alias("total_samples"), F.col("qa").alias("qa_samples"), F.col("design").alias("design_samples"), F.lit("jsonl").alias("format"))
+    write_jsonl(info, f"{path}/dataset_info.json", 1)
+
+
+def write_results(results: DataFrame, path: str, at: str) -> str:
+    """The rows of an evaluation as JSON in a folder named by a time; its path."""
+    folder = f"{path}/evaluation_{at}/evaluation_results.json"
+    write_jsonl(results, folder, 1, "errorifexists")
+    return folder
+
+
 def dataset_info(samples: DataFrame) -> DataFrame:
     return samples.agg(F.count("*").alias("total"), F.count_if(F.col("type") == "qa").alias("qa"), F.count_if(F.col("type") == "design").alias("design"))

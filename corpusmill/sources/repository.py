@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from urllib.request import urlopen
 
@@ -41,17 +42,20 @@ def first_files(files: DataFrame, most: int) -> DataFrame:
 def read_folder(spark: SparkSession, root: str, most: int = 50) -> DataFrame:
     """path (below root), size, language, code of the files wanted.  Contents are read for those alone that pass by name and size."""
     root = root if "://" in root else "file://" + os.path.abspath(root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    below = F.regexp_replace("path", "^.*?" + root.split("://", 1)[-1].strip("/").replace(".", r"\.") + "/", "")
-    files = files.where(F.col("length").between(1, fixed.MAX_FILE_SIZE)).select(below.alias("path"), F.col("length").alias("size"), "content")
-    return first_files(files.where(wanted()), most).select("path", "size", S.language_of_extension(F.col("path")).alias("language"), F.decode("content", "UTF-8").alias("code"))
+    below = F.regexp_replace("path", "^.*?" + re.escape(root.split("://", 1)[-1].strip("/")) + "/", "")
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size"))
+    chosen = first_files(listing.select(below.alias("path"), "size", F.col("path").alias("place")).where(wanted()), most)
+    places = [r["place"] for r in chosen.collect()]  # ``most`` at most
+    if not places:
+        return spark.createDataFrame([], "path string, size bigint, language string, code string")
+    files = spark.read.format("binaryFile").load(places).select(below.alias("path"), F.col("length").alias("size"), "content")
+    return files.select("path", "size", S.language_of_extension(F.col("path")).alias("language"), F.decode("content", "UTF-8").alias("code"))
 
 
 def readme(files: DataFrame) -> DataFrame:
     """The first of the usual names, as one row or none."""
-    names = ["README.md", "README.rst", "README.txt"]
-    place = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("path"))
-    return files.where(F.col("path").isin(names)).orderBy(place).limit(1).select("path", "code")
+    place = F.array_position(F.array(*(F.lit(n) for n in fixed.READMES)), F.col("path"))
+    return files.where(F.col("path").isin(fixed.READMES)).orderBy(place).limit(1).select("path", "code")
 
 
 class TreeSource(DataSource):
@@ -84,7 +88,7 @@ class TreeReader(DataSourceReader):
             except (OSError, ValueError, KeyError) as e:
                 error = str(e)
                 continue
-            some = [p for p in blobs if os.path.splitext(p)[1] in _ENDINGS and not any(x in p.lower() for x in ("test", "example", "__pycache__"))]
+            some = [p for p in blobs if os.path.splitext(p)[1] in _ENDINGS and not any(x in p.lower() for x in fixed.SKIPPED_REMOTE)]
             return [InputPartition((p, raw + p)) for p in some[: self.most]] or [InputPartition((None, "no files"))]
         return [InputPartition((None, error))]
 

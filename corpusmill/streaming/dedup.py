@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions import scalars as S
 from corpusmill.operators import validate
 
 
 def valid_stream(samples: DataFrame, time: str, delay: str = "1 hour", strict: bool = True) -> DataFrame:
     """Samples that pass the basic, keyword and snippet checks, the first of each question within the delay.
 
-    Which of two rows comes first is a matter of arrival; keys are forgotten behind the watermark.
+    A marked variant always stays, as in a batch, and holds its key: an unmarked row that comes after it is a duplicate.  Which of two
+    rows comes first is a matter of arrival; keys are forgotten behind the watermark.
     """
     rows = samples.where(validate.basic_reason(strict).isNull())
-    rows = rows.withColumn("_key", F.when(F.col("type") == "design", S.strip(F.lower(validate.ask()))).otherwise(S.core_question(validate.ask())))
-    kept = rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(["type", "_key"])
-    return kept.where(validate.overlaps(strict) & validate.snippets_fit(strict)).drop("_key")
+    rows = rows.withColumn("_key", validate.key()).withColumn("_variant", validate.variant()).withWatermark(time, delay)
+    # Each variant goes in twice: as a row of its own, and to hold the key, for which it is dropped behind the state.
+    copies = F.when(F.col("_variant"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    rows = rows.withColumn("_own", F.explode(copies)).withColumn("_name", F.when(F.col("_own"), F.uuid()).otherwise(F.col("_key")))
+    kept = rows.dropDuplicatesWithinWatermark(["type", "_own", "_name"]).where(F.col("_own") | ~F.col("_variant"))
+    return kept.where(validate.overlaps(strict) & validate.snippets_fit(strict)).drop("_key", "_variant", "_own", "_name")

@@ -56,9 +56,9 @@ def test_whole_texts(spark, tmp_path):
     text = "x" * 250 + " def f def g 这段代码"
     spark.createDataFrame([(1, text, "en", "src0")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = {n: catalogue.queries()[n](spark, str(tmp_path)).first() for n in ("name_regex_whole", "mcq_options_whole", "vague_rewrite_whole")}
-    assert got["name_regex_whole"]["n_def"] == 3 and text in got["mcq_options_whole"]["options"].split("/")
-    out = got["vague_rewrite_whole"]["out"]
+    got = {n: catalogue.queries()[n](spark, str(tmp_path)).first() for n in ("name_regex", "mcq_options", "vague_rewrite")}
+    assert got["name_regex"]["n_def"] == 3 and text in got["mcq_options"]["options"].split("/")
+    out = got["vague_rewrite"]["out"]
     assert out.startswith("x" * 250 + " def f def g ") and "这段代码" not in out
 
 
@@ -68,7 +68,7 @@ def test_bleu_of_whole_texts(spark, tmp_path):
     texts = [(1, words, words), (2, words, [*words[:40], "other", *words[41:]]), (3, words, words[:45])]
     rows = [(k, turn, role, " ".join(t)) for k, q, a in texts for turn, (role, t) in enumerate([("user", q), ("assistant", a)])]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = {r["conv_id"]: r["bleu"] for r in catalogue.queries()["bleu_whole"](spark, str(tmp_path)).collect()}
+    got = {r["conv_id"]: r["bleu"] for r in catalogue.queries()["bleu_pairs"](spark, str(tmp_path)).collect()}
     changed = math.exp(sum(math.log(x) for x in (59 / 60, 57 / 59, 55 / 58, 53 / 57)) / 4)
     assert got == pytest.approx({1: 1, 2: changed, 3: math.exp(1 - 60 / 45)}, abs=1e-8)
 
@@ -121,6 +121,65 @@ def test_json_lines_policies(spark, tmp_path):
         files.read_jsonl(spark, str(tmp_path / "none.jsonl"), "a int")
 
 
+def test_ordinals_over_blocks(spark, tmp_path):
+    p = tmp_path / "long.jsonl"
+    p.write_text("".join(f'{{"a":{k}}}\n' if k % 7 else "bad\n" for k in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = files.read_jsonl(spark, str(p), "a int").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.a for r in sorted(got, key=lambda r: r["_ord"])] == [k for k in range(3000) if k % 7] and sorted(r["_ord"] for r in got) == list(range(len(got)))
+
+
+def test_hub_layout_and_results(spark, tmp_path):
+    df = spark.createDataFrame([("qa", "x"), ("design", "y")], "type string, text string")
+    files.write_hub_layout(df, str(tmp_path / "hub"))
+    read = lambda p: [json.loads(x) for f in p.glob("*.json") for x in f.read_text().splitlines()]
+    assert len(read(tmp_path / "hub" / "train.jsonl")) == 2 and read(tmp_path / "hub" / "dataset_info.json") == [{"total_samples": 2, "qa_samples": 1, "design_samples": 1, "format": "jsonl"}]
+    assert read(__import__("pathlib").Path(files.write_results(df, str(tmp_path), "20240101_000000"))) == [{"type": "qa", "text": "x"}, {"type": "design", "text": "y"}]
+
+
+def test_other_sources(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"a":1},{"a":2}]')
+    (tmp_path / "b.jsonl").write_text('{"a":3}\n{}\n')
+    (tmp_path / "run1").mkdir()
+    (tmp_path / "run1" / "trainer_state.json").write_text('{"log_history":[{"step":1,"loss":0.5},{"eval_loss":0.4}]}')
+    assert sorted(str(r.a) for r in files.read_any(spark, [str(tmp_path / "a.json"), str(tmp_path / "b.jsonl")], "a int").collect()) == ["1", "2", "3", "None"]
+    states = files.read_trainer_states(spark, str(tmp_path / "run1" / "trainer_state.json"))
+    assert [(r.run, r.kind, r.step, r.loss) for r in metrics.loss_series(states).orderBy("kind").collect()] == [("run1", "eval", 0, 0.4), ("run1", "train", 1, 0.5)]
+    assert {r.path.rsplit("/", 1)[-1]: r.size for r in files.list_files(spark, str(tmp_path), "*.jsonl").collect()} == {"b.jsonl": 11}
+    (tmp_path / "README.md").write_text("hello")
+    (tmp_path / "README.txt").write_text("not me")
+    listing = spark.createDataFrame([("README.txt", "not me"), ("README.md", "hello")], "path string, code string")
+    assert [r.code for r in repository.readme(listing).collect()] == ["hello"]
+
+
+def test_combinations(spark):
+    general, rule, llm, none = spark.range(10), spark.range(100, 104), spark.range(200, 203), spark.range(0)
+    parts = lambda df: sorted(r["_part"] for r in df.collect())
+    assert parts(mix.combined("all", general, rule, llm, "id")) == ["general"] * 7 + ["llm"] * 3 + ["rule"] * 4
+    assert parts(mix.combined("all", general, rule, none, "id")) == ["general"] * 4 + ["rule"] * 4
+    assert parts(mix.combined("general_llm", general, rule, llm, "id")) == ["general"] * 3 + ["llm"] * 3
+    assert mix.feasible(["all", "general_llm"], general, rule, none) == ["all"]
+    for bad in (lambda: mix.combined("general_llm", general, rule, none, "id"), lambda: mix.combined("other", general, rule, llm, "id"), lambda: mix.feasible(["all"], none, none, none)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_demands_are_filled_up(spark):
+    every = spark.createDataFrame([(k, f"demand {k}") for k in range(4)], "id long, demand string")
+    got = [r.demand for r in mix.filled_up(every.where("id < 2"), every, 9, "demand", "id").collect()]
+    assert len(got) == 9 and got[:2] == ["demand 0", "demand 1"] and all(g[8] == " " and g[9:] in mix.fixed.VARIANT_MARKERS for g in got[2:])
+    assert mix.filled_up(every, every, 3, "demand", "id").count() == 3
+
+
+def test_unvalidated_loop(spark):
+    prompts = spark.createDataFrame([(0, "a"), (1, "")], "ord long, prompt string")
+    got = responses.unvalidated(prompts, lambda ps: [p * 2 for p in ps], 3, "ord").collect()
+    assert [(r.response, r.variant) for r in got] == [("aa", 0), ("aa", 1)]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("qa", "é", None), ("design", "b", "c")], "type string, a string, b string")
     files.write_jsonl(df, str(tmp_path / "out"), 1)
@@ -177,6 +236,19 @@ def test_stream(spark, tmp_path):
     assert spark.sql("select count(*) from valid").first()[0] == 1
 
 
+def test_stream_keeps_variants_as_a_batch_does(spark, tmp_path):
+    q, a = "why is the sky blue", "it is blue because of the sky"
+    rows = spark.createDataFrame([sample(0, q=q, a=a), sample(1, q=q + " (variant 1)", a=a), sample(2, q=q + " (variant 2)", a=a), sample(3, q=q, a=a), sample(4, q="why is the sea blue (variant 1)", a=a), sample(5, kind="design", q="design a blue sky", a=a)], SAMPLE)
+    rows = rows.withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = dedup.valid_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "ts").writeStream.format("memory").queryName("variants").option("checkpointLocation", str(tmp_path / "cp")).start()
+    s.processAllAvailable()
+    s.stop()
+    got = {r["_ord"] for r in spark.sql("select _ord from variants").collect()}
+    batch = {r["_ord"] for r in validate.validate(rows).collect()}
+    assert batch == {0, 1, 2, 4, 5} and {1, 2, 4, 5} <= got and len(got & {0, 3}) == 1 and got <= batch | {3}
+
+
 def test_mode_takes_the_first_of_equals(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("a", 3), ("b", 4)], "lang string, ord int")
     assert profile.mode(df, "lang", "ord", "python").first()[0] == "b"
