@@ -168,3 +168,150 @@ INTEGRATION_POINT = ("src/base.py", "通过继承基类实现新功能", "保持
 STEP_WORDS = ["step", "步骤", "first", "首先", "then", "然后"]
 STEP_EVIDENCE, STEP_CONCLUSION, ONLY_STEP, ONLY_CONCLUSION = "代码分析", "基于代码分析得出结论", "分析代码结构", "基于代码分析"
 VAGUE_DESIGN_TERMS = [("现有代码", "{file_path}文件中的代码"), ("相关代码", "{file_path}文件中的代码"), ("这段代码", "{file_path}文件中的代码"), ("该代码", "{file_path}文件中的代码"), ("代码库", "代码仓库"), ("现有系统", "现有系统（主要参考{file_path}文件）"), ("相关文件", "{files}等文件"), ("该文件", "{file_path}文件"), ("此文件", "{file_path}文件")]
+# Prompts, with {places}; texts for snippets of code.
+KINDS = {"conditional_rule": "条件规则", "function_rule": "函数规则", "class_rule": "类规则", "comment_rule": "注释规则"}
+CONTEXT_LINES, NO_CONTEXT, NO_ARCHITECTURE = {"class_name": "所属类: ", "name": "函数名: ", "condition": "条件表达式: "}, "无", "无架构信息"
+FEEDBACK = "\n\n重要提示：之前的生成未通过验证，失败原因：{feedback}\n请根据以上原因改进生成，确保满足所有要求。"
+QA_PROMPT = """你是一个代码分析专家。请基于以下代码片段生成一个高质量的问答对，用于训练代码理解模型。
+
+规则类型: {kind}
+文件路径: {file_path}
+代码行号: {line_start}-{line_end}
+上下文信息:
+{context}
+
+代码片段:
+```python
+{code}
+```
+
+请生成一个问答对，要求：
+1. 问题应该深入理解代码的业务逻辑和规则（可以是what/how/why类型）
+2. 答案必须明确指出代码的具体位置和名称，避免使用"这段代码"、"该代码"等模糊指代
+3. 答案中必须明确提及：
+   - 文件路径: {file_path}
+   - 代码行号: 第{line_start}行到第{line_end}行
+   - {function_line}
+   - {class_line}
+4. 推理trace必须结构化，包含多个步骤，每个步骤要有动作、证据和结论
+
+请以JSON格式输出，格式如下：
+{
+  "question": "问题内容（必须明确指出文件路径和代码位置）",
+  "answer": "答案内容，必须明确引用文件路径、行号、函数名/类名等具体信息，例如：'在{file_path}文件的第{line_start}行'，而不是'这段代码'",
+  "reasoning_trace": {
+    "steps": [
+      {
+        "step": 1,
+        "action": "识别代码结构（如：识别条件判断、函数定义等）",
+        "evidence": "具体证据来源（如：{file_path}文件第{line_start}行的if语句）",
+        "conclusion": "基于证据得出的结论"
+      },
+      {
+        "step": 2,
+        "action": "分析业务逻辑（如：分析条件表达式的含义）",
+        "evidence": "具体证据来源（如：{file_path}文件第{line_start}行条件表达式中的变量名和操作符）",
+        "conclusion": "业务规则的具体含义"
+      }
+    ],
+    "summary": "整体推理过程的总结，说明如何从代码得出最终结论"
+  }
+}
+
+重要要求：
+- 问题和答案中必须明确使用文件路径、行号、函数名/类名等具体信息
+- 禁止使用"这段代码"、"该代码"、"这里"、"上述代码"等模糊指代
+- 使用"在{file_path}文件的第{line_start}行"、"函数{name}"、"类{class_name}"等明确表述
+- reasoning_trace.steps 必须至少包含2个步骤
+- reasoning_trace.summary 必须至少20字符，总结整体推理过程
+- 每个步骤的evidence必须明确指出代码位置（文件路径和行号）
+- 步骤之间要有逻辑关联，形成推理链
+- 只输出JSON，不要其他内容。"""
+DESIGN_PROMPT = """你是一个软件架构设计专家。请基于以下代码仓库的架构，设计一个满足需求的新模块。
+
+设计需求: {demand}
+
+仓库架构信息:
+{architecture}
+
+相关代码示例:
+{context}
+
+请生成一个详细的设计方案，要求：
+1. 方案应该遵循现有代码库的设计模式和架构风格
+2. 方案必须明确指出具体的文件路径、类名、函数名等，避免使用"现有代码"、"相关文件"等模糊指代
+3. 方案应该详细说明如何集成到现有系统中，明确指出集成点的文件路径和代码位置
+4. 方案应该包含具体的实现思路和关键代码结构
+5. 推理trace必须结构化，说明设计决策的推理过程
+
+请以JSON格式输出，格式如下：
+{
+  "scheme": "详细的设计方案内容，必须明确引用文件路径、类名、函数名等具体信息，例如：'在src/base.py文件的BaseHandler类中'，而不是'现有代码'或'相关文件'",
+  "reasoning_trace": {
+    "steps": [
+      {
+        "step": 1,
+        "action": "分析现有架构（如：识别设计模式、架构风格）",
+        "evidence": "具体证据，必须明确指出文件路径和类名（如：src/base.py文件中的BaseHandler类）",
+        "conclusion": "现有架构的特点和设计原则"
+      },
+      {
+        "step": 2,
+        "action": "识别集成点（如：找到可以扩展的基类或接口）",
+        "evidence": "具体证据，必须明确指出文件路径和代码位置（如：src/base.py文件第10-20行的BaseHandler类）",
+        "conclusion": "集成点的位置和方式"
+      },
+      {
+        "step": 3,
+        "action": "设计决策（如：选择继承还是组合）",
+        "evidence": "具体证据，必须明确指出文件路径和设计模式（如：src/base.py文件中的BaseHandler类采用了策略模式）",
+        "conclusion": "设计决策的理由和优势"
+      }
+    ],
+    "integration_points": [
+      {
+        "file": "文件路径（必须是完整的相对路径，如src/base.py）",
+        "description": "集成点描述，必须明确指出类名或函数名",
+        "rationale": "选择此集成点的理由"
+      }
+    ],
+    "summary": "整体设计思路和关键决策的总结，必须明确引用文件路径和类名"
+  }
+}
+
+重要要求：
+- 禁止使用"现有代码"、"相关文件"、"这段代码"、"该代码"等模糊指代
+- 必须明确使用文件路径（如：src/base.py）、类名（如：BaseHandler）、函数名（如：process_request）等具体信息
+- reasoning_trace.steps 必须至少包含3个步骤
+- reasoning_trace.summary 必须至少20字符，总结整体设计思路
+- integration_points 必须包含具体的文件路径和集成方式
+- 每个步骤的evidence必须明确指出代码位置（文件路径和行号）或架构特征（类名、函数名）
+- 只输出JSON，不要其他内容。"""
+SCHEME_DEFAULT, POINT_DESCRIPTION, POINT_RATIONALE = "Generated by LLM", "Integration point: {file}", "Based on architecture analysis"
+# Of a snippet: (question, answer) where it holds a function, else a class, else neither; of other languages.
+SNIPPET_QA = {
+    "function": ("What does the function {name} do in {file_path}?", "The function {name} performs operations as defined in {file_path}. It processes the input according to the implementation logic."),
+    "class": ("What is the purpose of class {name} in {file_path}?", "The class {name} provides functionality related to the module's purpose."),
+    "code": ("What is the purpose of the code in {file_path}?", "The code in {file_path} implements specific functionality for the module."),
+    "other": ("What does the code in {file_path} do?", "The code implements functionality in {file_path}."),
+}
+SNIPPET_TRACE = "Step 1: Analyze code structure in {file_path}. Step 2: Identify key components and logic. Step 3: Extract business rules and patterns. Conclusion: Code implements specific functionality."
+SNIPPET_RULES = {
+    "conditional_rule": ("What is the business rule for handling {name} in {file_path}?", "The code checks {name} and performs actions based on this condition."),
+    "function_rule": ("How does {name} work in {file_path}?", "The function {name} performs operations as defined in {file_path}."),
+    "class_rule": ("What is the design of {name} in {file_path}?", "The class {name} provides functionality related to the module's purpose."),
+}
+SNIPPET_RULE_TRACE = "Step 1: Analyze code structure in {file_path}. Step 2: Identify {rule_type} patterns. Step 3: Extract business rules. Conclusion: Code implements specific functionality."
+SNIPPET_RIGHT = {"function": "The function {name} performs operations as defined in {file_path}.", "class": "The class {name} provides functionality related to the module's purpose."}
+SNIPPET_WRONG = {
+    "function": ["The function {name} is used for error handling only.", "The function {name} manages database connections.", "The function {name} handles user authentication."],
+    "class": ["The class {name} is only used for testing purposes.", "The class {name} handles network communication exclusively.", "The class {name} manages file system operations."],
+}
+SNIPPET_EXPLANATION = "This question tests understanding of the code structure in {file_path}."
+# A design's reasoning: the steps in order, those in pairs or more by what there is.
+REASONING = {
+    "patterns": "Step 1: Analyze existing architecture patterns: {list}. ", "no patterns": "modular design",
+    "bases": "Step 2: Identify base classes for extension: {list}. ", "points": "Step 2: Identify extension points: {list}. ", "neither": "Step 2: Review codebase structure for integration points. ",
+    "files": "Step 3: Reference existing files: {list}. ", "rest": "Step 4: Propose extension following existing patterns. Step 5: Ensure compatibility with current architecture. ",
+    "storage": "Step 6: Recommended storage location: {list}. ", "end": "Conclusion: Modular design maintains warehouse architecture consistency.",
+}

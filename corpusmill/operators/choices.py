@@ -47,6 +47,22 @@ def demand_keywords(demand: Column) -> Column:
     return out
 
 
+def reasoning(demands: DataFrame) -> DataFrame:
+    """``demands`` (arrays patterns, extension_points, base_classes, files; storage) with ``trace_text``: steps by what there is, each list's values once and in order."""
+    r = fixed.REASONING
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    listed = lambda kind, c: filled(r[kind], {"list": F.array_join(c, ", ")})
+    known = lambda c: F.array_sort(F.array_distinct(c))
+    files = F.transform(F.slice(F.array_remove(F.slice("files", 1, 3), ""), 1, 2), S.basename)
+    text = F.concat(
+        F.when(some("patterns"), listed("patterns", known("patterns"))).otherwise(filled(r["patterns"], {"list": F.lit(r["no patterns"])})),
+        F.when(some("base_classes"), listed("bases", known(F.slice("base_classes", 1, 3)))).when(some("extension_points"), listed("points", known("extension_points"))).otherwise(r["neither"]),
+        F.when(some(files), listed("files", files)).otherwise(""), F.lit(r["rest"]),
+        F.when(S.text_of("storage") != "", filled(r["storage"], {"list": F.col("storage")})).otherwise(""), F.lit(r["end"]),
+    )
+    return demands.withColumn("trace_text", text)
+
+
 def file_facts(snippets: DataFrame) -> DataFrame:
     """One row of (ord, file_path): the first path of all, and those that name auth, adapters and errors; null where there is none."""
     p = F.lower("file_path")
@@ -65,7 +81,7 @@ def schemes(demands: DataFrame, facts: DataFrame, architecture: DataFrame) -> Da
 
     adapter, auth, error = F.col("adapters") > 0, F.col("auth_file"), F.col("error_file")
     folder = F.when(F.contains("first_file", F.lit("/")), S.dirname(F.col("first_file"))).otherwise(".")
-    rest = lambda kind: F.when(F.col("first_file").isNotNull(), text(kind, "folder", folder)).otherwise(text(kind, "none"))
+    rest = lambda kind: F.when(S.text_of("first_file") != "", text(kind, "folder", folder)).otherwise(text(kind, "none"))
     scheme = (
         F.when(has("authentication"), F.when(adapter, text("auth_adapter", "auth_adapter", auth)).otherwise(text("auth", "auth", auth)))
         .when(has("rate-limiting", "rate limiting"), F.when(adapter, text("rate_adapter", "rate_adapter", F.col("adapter_file"))).otherwise(text("rate", "rate")))

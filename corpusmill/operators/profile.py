@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions import fixed
 from corpusmill.functions import scalars as S
 
 
@@ -51,7 +52,7 @@ def architecture_text(structures: DataFrame, first: int = 5) -> DataFrame:
     )
     rows = structures.orderBy("ord").limit(first).select("ord", F.when(some("classes") | some("functions"), lines).alias("part"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("ord", "part")))), lambda x: x["part"]), "\n")
-    return rows.agg(joined.alias("t")).select(F.when(F.col("t") != "", F.col("t")).otherwise("无架构信息").alias("architecture"))
+    return rows.agg(joined.alias("t")).select(F.when(F.col("t") != "", F.col("t")).otherwise(fixed.NO_ARCHITECTURE).alias("architecture"))
 
 
 def first_rows(df: DataFrame, n: int, order: str = "_ord") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions import fixed
 from corpusmill.functions import scalars as S
 from corpusmill.operators import mix, traces
 
@@ -100,6 +101,32 @@ def read_responses(df: DataFrame, text: str = "response", path: str = "file_path
     return d.withColumns({"question": F.coalesce(blank(F.col("_p.question")), F.col("_l.question")), "answer": F.coalesce(blank(F.col("_p.answer")), blank(F.col("_l.answer")), S.text_of(text)), "trace": F.coalesce("_p.trace", traces.of_rule(F.col(path), F.col(line) if line in df.columns else F.lit(1)))}).drop("_p", "_l", "_json")
 
 
+def read_designs(df: DataFrame, text: str = "response", snippets: str = "code_snippets") -> DataFrame:
+    """``df`` with scheme, trace, integration_points and rules_extracted: from JSON, else the text as scheme (its first 500
+    characters where it looks like an object that can't be read) with the default trace.
+
+    A trace without steps is the default one.  Points that are strings become objects, five at most.  Vague terms are named by the snippets' paths.
+    """
+    d = found_json(df, text, "_json")
+    step = "struct<step: int, action: string, evidence: string, conclusion: string>"
+    point = "array<struct<file: string, description: string, rationale: string>>"
+    parsed = F.from_json("_json", f"scheme string, reasoning_trace struct<steps: array<{step}>, summary: string>, integration_points array<string>")
+    paths = F.transform(F.coalesce(F.col(snippets), F.array().cast(df.schema[snippets].dataType)), lambda s: S.text_of(s["file_path"]))
+    default = traces.of_design(F.get(paths, F.lit(0)))
+    d = d.withColumn("_p", parsed).withColumn("_d", default).withColumn("_paths", paths)
+    whole = F.when(S.text_of(text).rlike(r"(?s)\{.*\}"), F.substring(S.text_of(text), 1, 500)).otherwise(S.text_of(text))
+    scheme = traces.explicit_design(F.when(F.col("_json").isNotNull(), S.text_of("_p.scheme")).otherwise(whole), F.col("_paths"))
+    own = F.coalesce(F.size("_p.reasoning_trace.steps"), F.lit(0)) > 0
+    trace = F.when(own, F.col("_p.reasoning_trace")).otherwise(F.struct(F.col("_d.steps").cast(f"array<{step}>").alias("steps"), F.col("_d.summary").alias("summary")))
+    named = lambda c: traces.explicit_design(c, F.col("_paths"))
+    steps = F.transform(trace["steps"], lambda s: s.withField("evidence", named(s["evidence"])).withField("conclusion", named(s["conclusion"])))
+    points = F.coalesce("_p.integration_points", F.array().cast("array<string>"))
+    objects = F.startswith(F.get(points, F.lit(0)), F.lit("{"))
+    points = F.when(objects, F.from_json(F.concat(F.lit("["), F.array_join(points, ","), F.lit("]")), point)).otherwise(traces.points(points).cast(point))
+    d = d.withColumns({"scheme": F.when(scheme != "", scheme).otherwise(fixed.SCHEME_DEFAULT), "trace": F.struct(steps.alias("steps"), named(trace["summary"]).alias("summary")), "integration_points": points})
+    return d.withColumn("rules_extracted", F.transform(F.slice("integration_points", 1, 3), lambda p: p["file"])).drop("_json", "_p", "_d", "_paths")
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The rows, written to the checkpoint folder that the session names; on a local master a temporary one serves."""
     sc = df.sparkSession.sparkContext

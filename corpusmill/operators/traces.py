@@ -43,8 +43,8 @@ def of_text(text: Column, file_path: Column, line_start: Column, most: int = 5)
 
 
 def points(texts: Column, most: int = 5) -> Column:
-    """Integration points from plain strings."""
-    return F.transform(F.slice(texts, 1, most), lambda p: F.struct(p.alias("file"), F.lit("").alias("description"), F.lit("").alias("rationale")))
+    """Integration points from plain strings: the first few."""
+    return F.transform(F.slice(texts, 1, most), lambda p: F.struct(p.alias("file"), filled(fixed.POINT_DESCRIPTION, {"file": p}).alias("description"), F.lit(fixed.POINT_RATIONALE).alias("rationale")))
 
 
 def explicit_design(text: Column, paths: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed
 from corpusmill.functions import scalars as S
-from corpusmill.operators import choices, extract, generate, metrics, mix, profile, render, responses, traces, validate
+from corpusmill.operators import choices, extract, generate, metrics, mix, profile, prompts, render, responses, snippets, traces, validate
 from corpusmill.plans import tables as T
 from corpusmill.sources import files, repository
 
@@ -379,6 +379,19 @@ def design_schemes(spark, d):
     return choices.schemes(generate.demands(spark, 20), choices.file_facts(files), arch)
 
 
+_BARE = {k: "'" + fixed.SCHEMES[k].replace("{place}", fixed.PLACES[p][0].replace("{file}", fixed.PLACES[p][1])).replace("'", "''") + "'" for k, p in (("auth", "auth"), ("rate", "rate"), ("logging", "logging"), ("caching", "caching"), ("error", "error"), ("generic", "none"))}
+
+
+@query("design_schemes_bare", "with d as (select ord::int as ord, ds[(ord + 1)::int] as demand from (select unnest(range(0, 20)) as ord, [" + ", ".join(f"'{x}'" for x in [*fixed.DEMANDS, *fixed.MORE_DEMANDS]) + f"""] as ds)) select ord, case when contains(lower(demand), 'authentication') then {_BARE["auth"]}
+ when contains(lower(demand), 'rate-limiting') or contains(lower(demand), 'rate limiting') then {_BARE["rate"]} when contains(lower(demand), 'logging') then {_BARE["logging"]} when contains(lower(demand), 'caching') then {_BARE["caching"]}
+ when contains(lower(demand), 'error') then {_BARE["error"]} else {_BARE["generic"]} end as scheme, null::varchar as storage from d""")
+def design_schemes_bare(spark, d):
+    """A repository without files, adapters or base classes."""
+    none = choices.file_facts(spark.createDataFrame([], "ord long, file_path string"))
+    arch = spark.range(1).select(F.lit(0).alias("adapters"), F.lit(0).alias("inheritance"))
+    return choices.schemes(generate.demands(spark, 20, extended=True), none, arch).drop("demand")
+
+
 @query("demand_keywords", "select item_id, case when contains(lower(text), 'auth') then 'auth,authentication,token,credential' when contains(lower(text), 'rate') then 'adapter,handler,send,request' when contains(lower(text), 'log') then 'log,logger,debug' when contains(lower(text), 'cache') then 'cache,store,memory' else 'base,class,handler' end as kw from benchmark")
 def demand_keywords(spark, d):
     return T.table(spark, d, "benchmark").select("item_id", F.array_join(choices.demand_keywords(F.col("text")), ",").alias("kw"))
@@ -403,9 +416,10 @@ def _vague_sql() -> str:
     return out
 
 
-@query("vague_rewrite", f"with x as (select doc_id, text || '这段代码，该函数。此处' || (case when doc_id % 3 = 0 then '此文件' else '' end) as t, source || '/' || lang || '.py' as p, doc_id as a, doc_id + 3 as b, 'f' || doc_id % 5 as f from documents) select doc_id, {_vague_sql()} as out from x")
+@query("vague_rewrite", f"with x0 as (select doc_id, text || '这段代码，该函数。此处' || (case when doc_id % 3 = 0 then '此文件' else '' end) as t0, source || '/' || lang || '.py' as p, doc_id as a, doc_id + 3 as b, 'f' || doc_id % 5 as f, text from documents), x as (select *, case when doc_id % 5 = 1 then text || '。end' else t0 end as t from x0), y as (select *, {_vague_sql()} as o from x) select doc_id, case when not contains(o, p) and length(o) > 20 and not (contains(o, '文件') or contains(o, 'file') or contains(o, split_part(p, '/', -1))) and instr(o, '。') > 0 then substring(o, 1, instr(o, '。')) || '在' || p || '文件的第' || a || '行，' || substring(o, instr(o, '。') + 1) else o end as out from y")
 def vague_rewrite(spark, d):
-    x = T.table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("这段代码，该函数。此处"), F.when(F.col("doc_id") % 3 == 0, "此文件").otherwise("")).alias("t"), F.concat("source", F.lit("/"), "lang", F.lit(".py")).alias("file_path"), F.col("doc_id").alias("line_start"), (F.col("doc_id") + 3).alias("line_end"), F.concat(F.lit("f"), F.col("doc_id") % 5).alias("f"))
+    x = T.table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("这段代码，该函数。此处"), F.when(F.col("doc_id") % 3 == 0, "此文件").otherwise("")).alias("t0"), "text", F.concat("source", F.lit("/"), "lang", F.lit(".py")).alias("file_path"), F.col("doc_id").alias("line_start"), (F.col("doc_id") + 3).alias("line_end"), F.concat(F.lit("f"), F.col("doc_id") % 5).alias("f"))
+    x = x.withColumn("t", F.when(F.col("doc_id") % 5 == 1, F.concat("text", F.lit("。end"))).otherwise(F.col("t0")))
     return x.select("doc_id", generate.explicit(F.col("t"), F.col("f")).alias("out"))
 
 
@@ -413,7 +427,13 @@ def vague_rewrite(spark, d):
 
 @query("json_extract_repair", "select event_id, (props->>'k')::int as k from events")
 def json_extract_repair(spark, d):
-    e = T.table(spark, d, "events").select("event_id", F.concat(F.lit("Here it is: ```json\n"), F.regexp_replace("props", r"\}$", ",}"), F.lit("\n``` done")).alias("response"))
+    # A trailing comma behind a fence; an object within one; quotes to mend; both, with a brace in a string before.
+    k, n = F.get_json_object("props", "$.k"), F.col("event_id") % 4
+    flat = F.concat(F.lit("Here it is: ```json\n"), F.regexp_replace("props", r"\}$", ",}"), F.lit("\n``` done"))
+    nested = F.concat(F.lit('x {"o": {"p": [1, {}]}, "s": "a } b", "k": '), k, F.lit("} y"))
+    quoted = F.concat(F.lit("{'k': "), k, F.lit(", 's': 'a'} // no more"))
+    both = F.concat(F.lit("{ not this } {'o': {'p': 1,}, 'k': "), k, F.lit(",}"))
+    e = T.table(spark, d, "events").select("event_id", F.when(n == 0, flat).when(n == 1, nested).when(n == 2, quoted).otherwise(both).alias("response"))
     return responses.found_json(e, "response").select("event_id", F.get_json_object("json", "$.k").cast("int").alias("k"))
 
 
@@ -456,10 +476,10 @@ def bleu_pairs(spark, d):
     return metrics.bleu()(t).select("conv_id", F.round("bleu", 9).alias("bleu"))
 
 
-@query("perplexity_mean", "select lang as model, source as test_set, 0.0::double as bleu, round(coalesce(avg(p) filter (p < 'inf'::double), 'inf'::double), 9) as ppl, 0::bigint as num_samples from (select lang, source, case when n_chars < 100 then 'inf'::double else exp(ln(n_chars)::double / 7) end as p from documents) group by all")
+@query("perplexity_mean", "select lang as model, source as test_set, round(coalesce(avg(b), 0.0::double), 9) as bleu, round(coalesce(avg(p) filter (p < 'inf'::double), 'inf'::double), 9) as ppl, count(b) as num_samples from (select lang, source, case when doc_id % 4 > 0 then n_chars / 1000.0::double end as b, case when n < 2 then 'inf'::double else exp(n_chars::double / 100 / n) end as p from (select *, len(list_filter(regexp_split_to_array(text, '[\\s\\p{Z}]+'), lambda x: x <> '')) as n from documents)) group by all")
 def perplexity_mean(spark, d):
-    p = T.table(spark, d, "documents").select(F.col("lang").alias("model"), F.col("source").alias("test_set"), F.lit(None).cast("double").alias("bleu"), metrics.perplexity(F.log("n_chars"), F.when(F.col("n_chars") < 100, 1).otherwise(7)).alias("ppl"))
-    return metrics.evaluated(p).withColumn("ppl", F.round("ppl", 9))
+    p = T.table(spark, d, "documents").select(F.col("lang").alias("model"), F.col("source").alias("test_set"), F.when(F.col("doc_id") % 4 > 0, F.col("n_chars") / 1000).alias("bleu"), metrics.perplexity(F.col("n_chars") / 100, F.size(S.tokens(F.col("text")))).alias("ppl"))
+    return metrics.evaluated(p).withColumns({"ppl": F.round("ppl", 9), "bleu": F.round("bleu", 9)})
 
 
 _SETS = [*(f"src{k}" for k in range(20)), "none"]
@@ -539,3 +559,169 @@ def ast_rules(spark, d):
 def ast_structure(spark, d):
     s = extract.structures(_python(spark, d))
     return s.select("file_path", F.array_join(F.transform("functions", lambda f: f["name"]), ",").alias("functions"), F.array_join(F.transform("classes", lambda c: F.concat(c["name"], F.lit(":"), F.array_join(c["bases"], "+"))), ",").alias("classes"), F.array_join("imports", ",").alias("imports"))
+
+
+# Prompts, designs and snippets
+
+_PROMPT = {
+    "kind": "['条件规则', '函数规则', '类规则'][(doc_id % 3 + 1)::int]", "file_path": "file_path", "line_start": "doc_id", "line_end": "(doc_id + 3)", "name": "name", "class_name": "''", "class_line": "''", "function_line": "('函数名: ' || name)",
+    "context": "('函数名: ' || name || case when cond <> '' then chr(10) || '条件表达式: ' || cond else '' end)", "code": "substring(code, 1, 1000)",
+}
+
+
+@query("qa_prompts", f"with {_RULES} select doc_id, {_fill(fixed.QA_PROMPT, **_PROMPT)} || case when even then {_fill(fixed.FEEDBACK, feedback=chr(39) + 'too short' + chr(39))} else '' end as prompt from r")
+def qa_prompts(spark, d):
+    feedback = F.when(F.col("doc_id") % 2 == 0, "too short")
+    return prompts.for_rules(T.rules(spark, d), feedback).select("doc_id", "prompt")
+
+
+def _structures(spark, d):
+    names = lambda *cs: F.array(*(F.struct(c.alias("name")) for c in cs))
+    none = F.expr("cast(array() as array<struct<name: string>>)")
+    docs = T.table(spark, d, "documents")
+    classes = F.when(F.col("doc_id") % 3 > 0, names(F.col("lang"), F.col("source"), F.lit("C"), F.lit("D"))).otherwise(none)
+    functions = F.when(F.col("doc_id") % 4 > 1, names(F.col("source"), F.lit("g"))).otherwise(none)
+    return docs.select(F.col("doc_id").alias("ord"), F.col("source").alias("file_path"), classes.alias("classes"), functions.alias("functions"))
+
+
+_ARCHITECTURE = """arch as (select coalesce(string_agg(part, chr(10) order by doc_id), '无架构信息') as architecture from (select doc_id, '文件: ' || source || case when doc_id % 3 > 0 then chr(10) || '  类: ' || lang || ', ' || source || ', C' else '' end
+ || case when doc_id % 4 > 1 then chr(10) || '  函数: ' || source || ', g' else '' end as part from (select * from documents order by doc_id limit 5) where doc_id % 3 > 0 or doc_id % 4 > 1))"""
+
+
+@query("architecture_text", f"with {_ARCHITECTURE} select architecture from arch")
+def architecture_text(spark, d):
+    return profile.architecture_text(_structures(spark, d))
+
+
+@query("class_count", "select (count(*) filter (doc_id % 3 > 0) * 4)::bigint as n_classes, count(*) filter (doc_id % 3 > 0) * 4 > 5 as many from (select * from documents order by doc_id limit 10)")
+def class_count(spark, d):
+    return profile.many_classes(_structures(spark, d))
+
+
+_SHOWN = "'文件: m' || item_id || '.py' || chr(10) || '代码:' || chr(10) || substring(text, 1, 300)"
+
+
+@query("design_prompts", f"with {_ARCHITECTURE} select item_id, {_fill(fixed.DESIGN_PROMPT, demand='text', architecture='architecture', context=f'(case when item_id % 2 = 0 then {_SHOWN} else {chr(39) * 2} end)')} as prompt from benchmark, arch")
+def design_prompts(spark, d):
+    none = F.expr("cast(array() as array<struct<file_path: string, code: string>>)")
+    snippet = F.array(F.struct(F.concat(F.lit("m"), "item_id", F.lit(".py")).alias("file_path"), F.col("text").alias("code")))
+    b = T.table(spark, d, "benchmark").select("item_id", F.col("text").alias("demand"), F.when(F.col("item_id") % 2 == 0, snippet).otherwise(none).alias("code_snippets"))
+    return prompts.for_designs(b, profile.architecture_text(_structures(spark, d))).select("item_id", "prompt")
+
+
+_R = {k: v.replace("'", "''") for k, v in fixed.REASONING.items()}
+
+
+def _listed(kind: str, value: str) -> str:
+    return _fill(fixed.REASONING[kind], list=value)
+
+
+@query("design_reasoning", f"""select item_id, case when item_id % 3 = 0 then {_listed("patterns", "'adapter, handler'")} else {_listed("patterns", "'modular design'")} end
+ || case when item_id % 4 = 0 then {_listed("bases", "array_to_string(list_sort(list_distinct(list_slice(w, 1, 3))), ', ')")} when item_id % 4 = 1 then {_listed("points", "'p1, p2'")} else '{_R["neither"]}' end
+ || case when item_id % 5 > 0 then {_listed("files", "('a' || item_id || '.py, c.py')")} else '' end || '{_R["rest"]}' || case when item_id % 2 = 0 then {_listed("storage", "('lib/' || item_id)")} else '' end || '{_R["end"]}' as trace_text
+ from (select *, list_filter(regexp_split_to_array(text, '[\\s\\p{{Z}}]+'), lambda x: x <> '') as w from benchmark)""")
+def design_reasoning(spark, d):
+    none = F.expr("cast(array() as array<string>)")
+    n = F.col("item_id")
+    words = lambda *ws: F.array(*(F.lit(w) for w in ws))
+    b = T.table(spark, d, "benchmark").select(
+        "item_id", F.when(n % 3 == 0, words("handler", "adapter", "handler")).otherwise(none).alias("patterns"), F.when(n % 4 == 0, S.tokens(F.col("text"))).otherwise(none).alias("base_classes"),
+        F.when(n % 4 <= 1, words("p2", "p1")).otherwise(none).alias("extension_points"), F.when(n % 5 > 0, F.array(F.concat(F.lit("src/a"), n, F.lit(".py")), F.lit(""), F.lit("c.py"), F.lit("d.py"))).otherwise(none).alias("files"),
+        F.when(n % 2 == 0, F.concat(F.lit("lib/"), n)).otherwise("").alias("storage"),
+    )
+    return choices.reasoning(b).select("item_id", "trace_text")
+
+
+_SNIPPETS = "sn as (select doc_id as ord, source || '/m.py' as file_path, case doc_id % 4 when 0 then 'def f' || doc_id || '(x):' || chr(10) || ' if x > ' || lang || ':' || chr(10) when 1 then 'class K' || doc_id || ':' || chr(10) else '' end || text as code, case when doc_id % 4 = 3 then 'go' else 'python' end as language from documents), nm as (select *, regexp_extract(code, 'def\\s+([\\p{L}\\p{N}_]+)', 1) as f, regexp_extract(code, 'class\\s+([\\p{L}\\p{N}_]+)', 1) as c from sn)"
+_HEAD = "substring(array_to_string(list_slice(string_split(code, chr(10)), 1, 20), chr(10)), 1, 500)"
+
+
+def _snippets(spark, d):
+    n = F.col("doc_id")
+    start = F.when(n % 4 == 0, F.concat(F.lit("def f"), n, F.lit("(x):\n if x > "), "lang", F.lit(":\n"))).when(n % 4 == 1, F.concat(F.lit("class K"), n, F.lit(":\n"))).otherwise("")
+    return T.table(spark, d, "documents").select(n.alias("ord"), F.concat("source", F.lit("/m.py")).alias("file_path"), F.concat(start, "text").alias("code"), F.when(n % 4 == 3, "go").otherwise("python").alias("language"))
+
+
+def _snippet_case(k: int) -> str:
+    t = {x: _fill(v[k], name=n, file_path="file_path") for (x, v), n in zip(fixed.SNIPPET_QA.items(), ("f", "c", "''", "''"), strict=True)}
+    return f"case when language <> 'python' then {t['other']} when f <> '' then {t['function']} when c <> '' then {t['class']} else {t['code']} end"
+
+
+@query("snippet_samples", f"with {_SNIPPETS} select ord, {_snippet_case(0)} as question, {_snippet_case(1)} as answer, {_HEAD} as code, least(20, len(string_split(code, chr(10)))) as line_end, {_fill(fixed.SNIPPET_TRACE, file_path='file_path')} as trace_text from nm")
+def snippet_samples(spark, d):
+    s = snippets.samples(_snippets(spark, d))
+    return s.select("ord", "question", "answer", F.col("code_snippets")[0]["code"].alias("code"), F.col("code_snippets")[0]["line_end"].cast("long").alias("line_end"), "trace_text")
+
+
+def _typed_sql(kind: str, name: str) -> str:
+    q, a = (_fill(t, name=name, file_path="file_path") for t in fixed.SNIPPET_RULES[kind])
+    return f"select ord, '{kind}' as rule_type, {q} as question, {a} as answer from nm where language = 'python' and {name} <> ''"
+
+
+_CONDITION = T.sql_strip("regexp_extract(code, 'if\\s+([^:]+):', 1)")
+
+
+@query("snippet_typed", f"with {_SNIPPETS} {_typed_sql('conditional_rule', _CONDITION)} union all {_typed_sql('function_rule', 'f')} union all {_typed_sql('class_rule', 'c')}")
+def snippet_typed(spark, d):
+    every = [snippets.typed(_snippets(spark, d), k) for k in ("conditional_rule", "function_rule", "class_rule")]
+    return every[0].union(every[1]).union(every[2]).select("ord", "rule_type", "question", "answer")
+
+
+def _mcq_side(kind: str, name: str) -> str:
+    v = {"name": name, "file_path": "file_path"}
+    return f"select ord, file_path, {_fill(fixed.SNIPPET_QA[kind][0], **v)} as question, {_fill(fixed.SNIPPET_RIGHT[kind], **v)} as r, [{', '.join(_fill(t, **v) for t in fixed.SNIPPET_WRONG[kind])}] as wrong from nm where language = 'python' and " + ("f <> ''" if kind == "function" else "f = '' and c <> ''")
+
+
+@query("snippet_questions", f"""with {_SNIPPETS}, a as ({_mcq_side("function", "f")} union all {_mcq_side("class", "c")}),
+ p as (select *, list_transform(list_sort(list_transform(list_concat([r], wrong), lambda x: {{k: md5('42|' || file_path || '|' || ord || '|' || x), o: x}})), lambda y: y.o) as options from a)
+ select ord, question, array_to_string(options, '/') as options, ['A', 'B', 'C', 'D'][list_position(options, r)] as correct_answer, {_fill(fixed.SNIPPET_EXPLANATION, file_path="file_path")} as explanation from p""")
+def snippet_questions(spark, d):
+    return snippets.questions(_snippets(spark, d)).select("ord", "question", F.array_join("options", "/").alias("options"), "correct_answer", "explanation")
+
+
+_DEMANDS = ", ".join(f"'{x}'" for x in [*fixed.DEMANDS, *fixed.MORE_DEMANDS])
+
+
+@query("extended_demands", f"select ord::int as ord, case when ord < 20 then ds[(ord + 1)::int] else ds[(ord % 10 + 1)::int] || ' (variant ' || (ord // 10 - 1) || ')' end as demand from (select unnest(range(0, 45)) as ord, [{_DEMANDS}] as ds)")
+def extended_demands(spark, d):
+    return generate.demands(spark, 45, extended=True)
+
+
+@query("mix_combined", "with g as (select doc_id as id, 'general' as p from documents), w as (select page_id as id, 'rule' as p from pages union all select item_id, 'llm' from benchmark), n as (select least((select count(*) from g), (select count(*) from w)) as n) select id, p as part from (select *, row_number() over (order by md5('42|' || p || '|' || id), p, id) as r from g), n where r <= n union all select id, p from (select *, row_number() over (order by md5('43|' || p || '|' || id), p, id) as r from w), n where r <= n")
+def mix_combined(spark, d):
+    ids = lambda t, c: T.table(spark, d, t).select(F.col(c).alias("id"))
+    return mix.combined("all", ids("documents", "doc_id"), ids("pages", "page_id"), ids("benchmark", "item_id"), "id").select("id", F.col("_part").alias("part"))
+
+
+@query("integration_points", "select item_id, array_to_string(list_transform(list_slice(w, 1, 5), lambda x: x || '|Integration point: ' || x || '|Based on architecture analysis'), ';') as points from (select item_id, list_filter(regexp_split_to_array(text, '[\\s\\p{Z}]+'), lambda x: x <> '') as w from benchmark)")
+def integration_points(spark, d):
+    b = T.table(spark, d, "benchmark").select("item_id", traces.points(S.tokens(F.col("text"))).alias("p"))
+    return b.select("item_id", F.array_join(F.transform("p", lambda p: F.concat_ws("|", p["file"], p["description"], p["rationale"])), ";").alias("points"))
+
+
+@query("design_responses", """select item_id, case item_id % 3 when 0 then 'scheme ' || item_id when 1 then text else substring('{bad ' || text || '}', 1, 500) end as scheme, case item_id % 3 when 0 then (case when item_id % 2 = 0 then 'a.py' else 'b.py|c.py' end) else '' end as points,
+ case when item_id % 3 = 0 and item_id % 2 = 0 then 1 else 3 end as n_steps from benchmark""")
+def design_responses(spark, d):
+    n = F.col("item_id")
+    objects = F.concat(F.lit('Sure: {"scheme": "scheme '), n, F.lit('", "reasoning_trace": {"steps": [{"step": 1, "action": "a", "evidence": "e", "conclusion": "c"}], "summary": "s"}, "integration_points": [{"file": "a.py", "description": "d", "rationale": "r"}]}'))
+    strings = F.concat(F.lit("```json\n{'scheme': 'scheme "), n, F.lit("', 'reasoning_trace': 'as text', 'integration_points': [\"b.py\", \"c.py\",]}\n```"))
+    response = F.when(n % 3 == 0, F.when(n % 2 == 0, objects).otherwise(strings)).when(n % 3 == 1, F.col("text")).otherwise(F.concat(F.lit("{bad "), "text", F.lit("}")))
+    r = responses.read_designs(T.table(spark, d, "benchmark").select("item_id", response.alias("response"), F.expr("cast(array() as array<struct<file_path: string>>)").alias("code_snippets")))
+    return r.select("item_id", "scheme", F.array_join("rules_extracted", "|").alias("points"), F.size("trace.steps").alias("n_steps"))
+
+
+@query("sharegpt_skipped", f"with {T.SAMPLES} select count(*) filter (ask <> '' and reply <> '') as converted, count(*) filter (ask = '' or reply = '') as skipped from s")
+def sharegpt_skipped(spark, d):
+    return render.skipped(T.samples(spark, d))
+
+
+@query("eval_prefix", f"with {T.SAMPLES} select ord, reply as assistant from s where type = 'qa' and ask <> '' and reply <> '' order by ord limit 50")
+def eval_prefix(spark, d):
+    return render.for_evaluation(T.samples(spark, d), 50).select(F.col("_ord").alias("ord"), F.col("conversation")[1]["content"].alias("assistant"))
+
+
+@query("dataset_registries", """with p as (select distinct source as dataset from documents), f as (select dataset, string_agg('"' || dataset || '_' || part || '":{"file_name":"' || dataset || '_' || part || '.json","columns":{"messages":"conversation"},"formatting":"sharegpt","tags":{"role_tag":"role","content_tag":"content","user_tag":"user","assistant_tag":"assistant","system_tag":"system"}}', ',' order by part) as e from p, (values ('train'), ('val')) v(part) group by dataset)
+ select a.dataset, '{' || string_agg(b.e, ',' order by b.dataset) || '}' as registry from f a join f b on b.dataset <= a.dataset group by a.dataset""")
+def dataset_registries(spark, d):
+    name = lambda part: F.concat("source", F.lit(f"_{part}.json")).alias(part)
+    return render.registries(T.table(spark, d, "documents").select(F.col("source").alias("dataset"), name("train"), name("val")).distinct())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions import fixed
 from corpusmill.functions import scalars as S
 
 
@@ -36,7 +37,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_STOP = "['the','a','an','is','are','was','were','be','been','have','has','had','do','does','did','will','would','should','could','may','might','can','this','that','what','how','why','when','where','for','in','on','at','to','of','and','or','but','with','from']"
+_STOP = "[" + ",".join(f"'{w}'" for w in fixed.STOP_WORDS) + "]"
 
 
 def sql_keywords(text: str) -> str:

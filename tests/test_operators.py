@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import scalars as S
-from corpusmill.operators import extract, generate, metrics, mix, profile, responses, validate
+from corpusmill.operators import extract, generate, metrics, mix, profile, prompts, render, responses, snippets, validate
 from corpusmill.plans import catalogue
 from corpusmill.sources import files, repository
 from corpusmill.streaming import dedup
@@ -174,6 +174,43 @@ def test_demands_are_filled_up(spark):
     assert mix.filled_up(every, every, 3, "demand", "id").count() == 3
 
 
+def test_prompts_name_what_there_is(spark):
+    rule = spark.createDataFrame([("function_rule", "f", "C", "x > 1", "a.py", 3, None, "c" * 2000), ("odd", None, None, None, None, None, None, None)], "type string, name string, class_name string, condition string, file_path string, line_start int, line_end int, code string")
+    full, bare = (r.prompt for r in prompts.for_rules(rule, F.lit("too short")).collect())
+    assert "上下文信息:\n所属类: C\n函数名: f\n条件表达式: x > 1\n" in full and "代码行号: 3-13\n" in full and "   - 函数名: f\n   - 类名: C\n" in full and "c" * 1000 in full and "c" * 1001 not in full and full.endswith("失败原因：too short\n请根据以上原因改进生成，确保满足所有要求。")
+    assert "规则类型: odd\n" in bare and "代码行号: 1-11\n上下文信息:\n无\n" in bare and "   - \n   - \n" in bare
+    assert "失败原因" not in prompts.for_rules(rule).first().prompt
+
+
+def test_prompt_by_template_and_tokens(spark):
+    rows = spark.createDataFrame([([("system", "s"), ("user", "u"), ("assistant", 'a"')],)], "conversation array<struct<role: string, content: string>>")
+    assert render.prompted(rows).first().prompt == '<|im_start|>user\nu<|im_end|>\n<|im_start|>assistant\na"<|im_end|>\n<|im_start|>assistant\n'
+    assert render.prompted(rows, template=lambda ms: "|".join(f"{m['role']}={m['content']}" for m in ms)).first().prompt == 'user=u|assistant=a"'
+    got = render.tokenised(spark.createDataFrame([("a bb ccc",), (None,)], "text string"), "text", lambda ts: [[len(w) for w in t.split()] for t in ts], 2).collect()
+    assert [(list(r.input_ids), list(r.labels)) for r in got] == [([1, 2], [1, 2]), ([], [])]
+
+
+RULE = "ord long, type string, name string, condition string, parameters array<string>, bases array<string>, file_path string, line_start int, line_end int, code string, docstring string, description string"
+
+
+def test_cycled_questions_and_halves(spark):
+    rules = spark.createDataFrame([(0, "function_rule", "f", None, ["x"], None, "a.py", 1, 2, "def f(x): pass", "", "Function: f(x)"), (1, "comment_rule", None, None, None, None, "a.py", 5, 5, "# todo", "", "a note")], RULE)
+    code = spark.createDataFrame([(0, "s.py", "def g(): pass", "python"), (1, "t.py", "x = 1", "python"), (2, "u.go", "func f", "go")], "ord long, file_path string, code string, language string")
+    got = snippets.cycled(rules, code, 100).collect()
+    questions = [r.question for r in got]
+    assert len(set(questions)) == len(questions) and [r.variant for r in got] == sorted(r.variant for r in got) and questions[-1] == "What does the function g do in s.py?"
+    assert sum("(variant" in q for q in questions) in (0, 10) and snippets.cycled(rules, code, 2).count() == 2
+    both = snippets.halves(rules, code, 4, repository="r").collect()
+    assert len(both) == 4 and sum(r.code_snippets[0].file_path == "a.py" for r in both) == 2
+
+
+def test_design_responses_name_their_files(spark):
+    rows = [('{"scheme": "extend 现有代码", "reasoning_trace": {"steps": [{"step": 1, "action": "a", "evidence": "该代码", "conclusion": "c"}], "summary": "s"}}', [("p.py",)]), ("", [("p.py",)]), ("plain 现有代码", None)]
+    got = responses.read_designs(spark.createDataFrame(rows, "response string, code_snippets array<struct<file_path: string>>")).collect()
+    assert got[0].scheme == "extend p.py文件中的代码" and got[0].trace.steps[0].evidence == "p.py文件中的代码" and got[0].trace.summary == "s" and got[0].integration_points == []
+    assert got[1].scheme == "Generated by LLM" and len(got[1].trace.steps) == 3 and got[2].scheme == "plain 现有代码"
+
+
 def test_unvalidated_loop(spark):
     prompts = spark.createDataFrame([(0, "a"), (1, "")], "ord long, prompt string")
     got = responses.unvalidated(prompts, lambda ps: [p * 2 for p in ps], 3, "ord").collect()
