@@ -10,7 +10,7 @@ most ``SAMPLE`` of each label, the first by a hash of the id, and one text an id
 3. a logistic regression with an L2 penalty is fitted to them, and its intercept
    moved to the share of labels outside the balanced sample.
 
-The features of 2 ``SAMPLE`` texts at most come to the driver, four bytes each, whatever the input, and are worked through in
+The used features of 2 ``SAMPLE`` texts at most come to the driver, two bytes each, whatever the input, and are worked through in
 slices of ``SLICE``.  Every text is scored whole.
 """
 
@@ -96,30 +96,37 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     place_of = np.full(1 << BITS, -1, np.int32)
     place_of[used] = np.arange(len(used))
 
+    kind = np.uint16 if len(used) < 1 << 16 else np.uint32
+
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = [place_of[np.frombuffer(x.as_py(), np.uint32)] for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[x >= 0].tobytes() for x in f], pa.binary())], ["label", "f"])
-
-    data = sorted((r.label, bytes(r.f)) for r in rows.mapInArrow(reduced, "label int, f binary").toLocalIterator())
-    y = np.array([k for k, _ in data], float)
-    ends = np.cumsum([0, *(len(f) // 4 for _, f in data)])
-    col = np.frombuffer(b"".join(f for _, f in data), np.int32)
-    del data
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[x >= 0].astype(kind).tobytes() for x in f], pa.binary())], ["label", "f"])
+
+    # One buffer, a row behind the other: two bytes a feature (four where there are more than 65,535 of them).
+    buffer, ends, y = bytearray(), [0], []
+    for r in rows.mapInArrow(reduced, "label int, f binary").toLocalIterator():
+        buffer += r.f
+        ends.append(len(buffer) // np.dtype(kind).itemsize)
+        y.append(r.label)
+    col, ends, y = np.frombuffer(buffer, kind), np.array(ends), np.array(y, float)
     # Slices end with a row; a row that is longer than a slice is one.
     cuts = [0]
     while cuts[-1] < len(y):
         cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, ends[cuts[-1]] + SLICE, "right")) - 1))
-    parts = [(slice(a, b), col[ends[a] : ends[b]], np.repeat(np.arange(b - a, dtype=np.int32), np.diff(ends[a : b + 1]))) for a, b in zip(cuts, cuts[1:])]
     x = ratio[used]
     w, b = np.zeros(len(used)), 0.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, STEPS + 1):  # Adam on the whole sample
         g, gb, wx = np.zeros(len(used)), 0.0, w * x
-        for at, c, row in parts:
-            z = np.bincount(row, wx[c], at.stop - at.start) + b
-            e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at]
-            g += np.bincount(c, e[row], len(used))
+        for lo, hi in zip(cuts, cuts[1:]):
+            c, length = col[ends[lo] : ends[hi]], np.diff(ends[lo : hi + 1])
+            some = np.flatnonzero(length)
+            z = np.full(hi - lo, b)
+            if len(some):
+                z[some] += np.add.reduceat(wx[c], (ends[lo:hi] - ends[lo])[some])
+            e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[lo:hi]
+            g += np.bincount(c, np.repeat(e, length), len(used))
             gb += e.sum()
         g, gb = g * x / len(y) + PENALTY * w, gb / len(y)
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
