@@ -87,6 +87,8 @@ CONDITION_ANSWERS = [
     (["header"], "The condition {condition} controls header processing in the request. When this condition is met, headers are merged, validated, and prepared for the HTTP request. This ensures proper header formatting and prevents header-related errors."),
     ([""], "The rule states that when {condition}, the system performs specific actions as defined in the implementation. This conditional logic ensures that the code behaves correctly based on the current state and input parameters, maintaining the expected functionality of the module."),
 ]
+NO_PARAMETERS, RETURNS, INHERITS, STANDALONE, METHODS = "no parameters", " and returns a value", "inherits from {bases}", "is a standalone class", " with {n} methods"
+COMMENT_ANSWER = "The rule states: {description}."
 FUNCTION_START = "The function {name} accepts parameters {params}{returns}. "
 FUNCTION_DOCUMENTED = " The function implements the logic as described in its documentation and processes the input parameters according to the defined business rules."
 FUNCTION_ANSWERS = [
@@ -158,6 +160,14 @@ PLACES = {
     "error_file": ("Location: Extend existing {file} or create error_handler.py in the same directory", ""), "error": ("Location: Create error_handler.py or extend exceptions.py", ""),
     "folder": ("Location: Create new module in {file}/ or extend existing files", ""), "none": ("Location: To be determined based on project structure", ""),
 }
+# Where a design is put, by its demand, with {file} or without one.
+STORAGE = {
+    "auth_file": "Create new file: {extended} or extend existing {file}", "auth": "Create new file: auth_handler.py or extend existing auth.py",
+    "rate_file": "Create new file: rate_limiter.py or integrate into {file}", "rate": "Create new file: rate_limiter.py or adapters/rate_limiter.py",
+    "log": "Create new file: logging_handler.py or utils/logging.py", "cache": "Create new file: cache_manager.py or utils/cache.py",
+    "error_file": "Extend existing {file} or create error_handler.py", "error": "Create new file: error_handler.py or extend exceptions.py",
+    "folder": "Create new file in {folder}/ or extend {file}",
+}
 # Traces: (action, evidence, conclusion) of the default steps, summaries, words that mark a step.
 PLACE_FORMAT = "{file_path} 第{line_start}行"
 RULE_STEPS = [("识别代码结构", PLACE_FORMAT, "识别出代码规则的基本结构"), ("分析业务逻辑", "代码片段内容", "理解代码的业务规则和功能")]

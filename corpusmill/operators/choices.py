@@ -18,18 +18,19 @@ def _by_type(of: dict[str, Column]) -> Column:
 
 
 def questions(rules: DataFrame, seed: int = 42, *ids: str) -> DataFrame:
-    """Rules with question, right, wrong (the fixed answers in order), options, correct_answer and explanation."""
+    """Rules with question, right, wrong (the fixed answers in order), options, correct_answer, explanation, code_snippets (500 characters), rule_type and language."""
     v = {c: S.text_of(c) for c in ("condition", "name", "file_path", "description")}
-    v["params"] = F.when(F.coalesce(F.size("parameters"), F.lit(0)) > 0, F.array_join("parameters", ", ")).otherwise("no parameters")
-    v["bases"] = F.when(F.coalesce(F.size("bases"), F.lit(0)) > 0, F.concat(F.lit("inherits from "), F.array_join("bases", ", "))).otherwise("is a standalone class")
+    v["params"] = F.when(F.coalesce(F.size("parameters"), F.lit(0)) > 0, F.array_join("parameters", ", ")).otherwise(fixed.NO_PARAMETERS)
+    v["bases"] = F.when(F.coalesce(F.size("bases"), F.lit(0)) > 0, filled(fixed.INHERITS, {"bases": F.array_join("bases", ", ")})).otherwise(fixed.STANDALONE)
     documented, plain = (filled(t, v) for t in fixed.CHOICE_FUNCTION)
     right = {
         "conditional_rule": _first(fixed.CHOICE_CONDITION, F.lower(S.text_of("code")), v), "function_rule": F.when(S.text_of("docstring") != "", documented).otherwise(plain),
-        "class_rule": filled(fixed.CHOICE_CLASS, v), "comment_rule": filled("The rule states: {description}.", v),
+        "class_rule": filled(fixed.CHOICE_CLASS, v), "comment_rule": filled(fixed.COMMENT_ANSWER, v),
     }
     fill = lambda ts: _by_type({k: filled(t, v) for k, t in ts.items()})
     wrong = _by_type({k: F.array(*(filled(t, v) for t in ts)) for k, ts in fixed.WRONG_ANSWERS.items()})
-    rows = rules.withColumns({"question": fill(fixed.CHOICE_QUESTIONS), "right": _by_type(right), "wrong": wrong, "explanation": fill(fixed.EXPLANATIONS)})
+    rows = rules.withColumns({"question": fill(fixed.CHOICE_QUESTIONS), "right": _by_type(right), "wrong": wrong, "explanation": fill(fixed.EXPLANATIONS), "rule_type": F.col("type"), "language": S.language_of_path(F.col("file_path"))})
+    rows = rows.withColumn("code_snippets", F.array(F.struct("file_path", "line_start", "line_end", F.substring(S.text_of("code"), 1, 500).alias("code"))))
     return options(rows, "right", F.col("wrong"), seed, *(ids or ("file_path", "line_start")))
 
 
@@ -89,14 +90,14 @@ def schemes(demands: DataFrame, facts: DataFrame, architecture: DataFrame) -> Da
         .when(has("error"), F.when(error.isNotNull(), text("error", "error_file", error)).otherwise(text("error", "error")))
         .when(F.col("inheritance") > 0, rest("inheritance")).otherwise(rest("generic"))
     )
-    put = lambda t, c: filled(t, {"file": c})
     extended = F.replace(auth, F.lit(".py"), F.lit("_extended.py"))
+    put = lambda kind, **values: filled(fixed.STORAGE[kind], values)
     storage = (
         F.when(F.col("first_file").isNull(), F.lit(None).cast("string"))
-        .when(has("auth"), F.when(auth.isNotNull(), F.concat(F.lit("Create new file: "), extended, F.lit(" or extend existing "), auth)).otherwise("Create new file: auth_handler.py or extend existing auth.py"))
-        .when(has("rate", "limit"), F.when(F.col("adapter_file").isNotNull(), put("Create new file: rate_limiter.py or integrate into {file}", F.col("adapter_file"))).otherwise("Create new file: rate_limiter.py or adapters/rate_limiter.py"))
-        .when(has("log"), "Create new file: logging_handler.py or utils/logging.py").when(has("cache"), "Create new file: cache_manager.py or utils/cache.py")
-        .when(has("error", "exception"), F.when(error.isNotNull(), put("Extend existing {file} or create error_handler.py", error)).otherwise("Create new file: error_handler.py or extend exceptions.py"))
-        .otherwise(F.concat(F.lit("Create new file in "), folder, F.lit("/ or extend "), S.basename(F.col("first_file"))))
+        .when(has("auth"), F.when(auth.isNotNull(), put("auth_file", extended=extended, file=auth)).otherwise(put("auth")))
+        .when(has("rate", "limit"), F.when(F.col("adapter_file").isNotNull(), put("rate_file", file=F.col("adapter_file"))).otherwise(put("rate")))
+        .when(has("log"), put("log")).when(has("cache"), put("cache"))
+        .when(has("error", "exception"), F.when(error.isNotNull(), put("error_file", file=error)).otherwise(put("error")))
+        .otherwise(put("folder", folder=folder, file=S.basename(F.col("first_file"))))
     )
     return demands.crossJoin(F.broadcast(facts)).crossJoin(F.broadcast(architecture)).withColumns({"scheme": scheme, "storage": storage}).select(*demands.columns, "scheme", "storage")

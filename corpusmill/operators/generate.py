@@ -38,14 +38,14 @@ def answer() -> Column:
     code, name = F.lower(S.text_of("code")), S.text_of("name")
     condition = _first(fixed.CONDITION_ANSWERS, code, {"condition": S.text_of("condition")})
     doc = F.replace(F.substring(S.text_of("docstring"), 1, 150), F.lit("\n"), F.lit(" "))
-    params = F.when(F.coalesce(F.size("parameters"), F.lit(0)) > 0, F.array_join("parameters", ", ")).otherwise("no parameters")
-    returns = F.when(F.contains(code, F.lit("return")), " and returns a value").otherwise("")
+    params = F.when(F.coalesce(F.size("parameters"), F.lit(0)) > 0, F.array_join("parameters", ", ")).otherwise(fixed.NO_PARAMETERS)
+    returns = F.when(F.contains(code, F.lit("return")), fixed.RETURNS).otherwise("")
     function = F.concat(filled(fixed.FUNCTION_START, {"name": name, "params": params, "returns": returns}), F.when(doc != "", F.concat(doc, F.lit(fixed.FUNCTION_DOCUMENTED))).otherwise(_first(fixed.FUNCTION_ANSWERS, F.lower(name), {})))
-    bases = F.when(F.coalesce(F.size("bases"), F.lit(0)) > 0, F.concat(F.lit("inherits from "), F.array_join("bases", ", "))).otherwise("is a standalone class")
+    bases = F.when(F.coalesce(F.size("bases"), F.lit(0)) > 0, filled(fixed.INHERITS, {"bases": F.array_join("bases", ", ")})).otherwise(fixed.STANDALONE)
     n = S.occurrences(F.col("code"), "def ")
-    methods = F.when(n > 0, F.concat(F.lit(" with "), n.cast("string"), F.lit(" methods"))).otherwise("")
+    methods = F.when(n > 0, filled(fixed.METHODS, {"n": n.cast("string")})).otherwise("")
     cls = F.concat(filled(fixed.CLASS_START, {"name": name, "bases": bases, "methods": methods}), F.when(doc != "", F.concat(doc, F.lit(fixed.CLASS_DOCUMENTED))).otherwise(_first(fixed.CLASS_ANSWERS, F.lower(name), {})))
-    comment = F.concat(F.lit("The rule states: "), S.text_of("description"), F.lit("."))
+    comment = filled(fixed.COMMENT_ANSWER, {"description": S.text_of("description")})
     kind = F.col("type")
     return F.when(kind == "conditional_rule", condition).when(kind == "function_rule", function).when(kind == "class_rule", cls).otherwise(comment)
 
@@ -67,8 +67,10 @@ def trace() -> Column:
 
 
 def samples(rules: DataFrame, repository: str, seed: int = 42) -> DataFrame:
-    """A qa sample for each rule; a rule's ``variant`` above 0 is named in its question."""
+    """A qa sample for each rule; a rule's ``variant`` above 0 is named in its question, and as a context in its description."""
     v = F.col("variant") if "variant" in rules.columns else F.lit(0)
+    described = S.text_of("description")
+    rules = rules.withColumn("description", F.when((v > 0) & (described != ""), F.concat(described, F.lit(" (context "), v.cast("string"), F.lit(")"))).otherwise(described))
     key = S.order_key(seed, S.rule_id(F.col("file_path"), F.col("line_start")), F.col("type"), v.cast("string"))
     q = question(key)
     snippet = F.struct("file_path", "line_start", "line_end", F.substring(S.text_of("code"), 1, 500).alias("code"))

@@ -78,6 +78,13 @@ def one_to_one(a: DataFrame, b: DataFrame, *ids: str, seeds: tuple[int, int] = (
     return united({"a": sampled(a, n, seeds[0], *ids), "b": sampled(b, n, seeds[1], *ids)})
 
 
+def balance(mixed: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """One row: the rows of either side of ``_source`` (a or b), their ratio, and whether it is 1 within the tolerance."""
+    counts = mixed.agg(F.count_if(F.col("_source") == "a").alias("a"), F.count_if(F.col("_source") == "b").alias("b"))
+    ratio = F.when(F.col("b") > 0, F.col("a") / F.col("b"))
+    return counts.withColumn("ratio", ratio).withColumn("balanced", F.coalesce(F.abs(ratio - 1) < tolerance, F.lit(False)))
+
+
 def feasible(combinations: list[str], general: DataFrame, rule: DataFrame, llm: DataFrame) -> list[str]:
     """The combinations that can be made: without any rows an error, without generated rows no general_llm."""
     some = {name: not f.isEmpty() for name, f in (("general", general), ("rule", rule), ("llm", llm))}

@@ -89,8 +89,8 @@ def latest_failures(failures: DataFrame, lists: int = 3, most: int = 5) -> DataF
     return listed.select("rule_id", F.array_join(F.slice(F.flatten(F.transform("l", lambda x: x["reasons"])), 1, most), "; ").alias("feedback"))
 
 
-def routed(files: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """src, dst, action of a file listing (path, size): the first rule (pattern, folder) that a name matches moves it.
+def routed(files: DataFrame, rules: list[tuple[str, str]], deleted: tuple[str, ...] = ()) -> DataFrame:
+    """src, dst, action of a file listing (path, size): the first rule (pattern, folder) that a name matches moves it; names that match a pattern of ``deleted`` are to go.
 
     Files of one name in one folder are numbered from the second on, before the ending.
     """
@@ -98,9 +98,12 @@ def routed(files: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     folder = F.lit(None).cast("string")
     for pattern, to in reversed(rules):
         folder = F.when(name.rlike(pattern), to).otherwise(folder)
-    rows = files.select(F.col("path").alias("src"), name.alias("_name"), folder.alias("_to"), (F.col("size") / 1048576).alias("size_mb"))
+    gone = F.lit(False)
+    for pattern in deleted:
+        gone = gone | name.rlike(pattern)
+    rows = files.select(F.col("path").alias("src"), name.alias("_name"), F.when(~gone, folder).alias("_to"), gone.alias("_gone"), (F.col("size") / 1048576).alias("size_mb"))
     n = F.row_number().over(Window.partitionBy("_to", "_name").orderBy("src")) - 1
     ending = F.regexp_extract("_name", r"[^.](\.[^.]*)$", 1)
     numbered = F.when(F.col("_n") == 0, F.col("_name")).otherwise(F.concat(F.substr("_name", F.lit(1), F.length("_name") - F.length(ending)), F.lit("_"), F.col("_n").cast("string"), ending))
     rows = rows.withColumn("_n", n)
-    return rows.select("src", F.when(F.col("_to").isNotNull(), F.concat_ws("/", "_to", numbered)).alias("dst"), F.when(F.col("_to").isNotNull(), "move").otherwise("keep").alias("action"), "size_mb")
+    return rows.select("src", F.when(F.col("_to").isNotNull(), F.concat_ws("/", "_to", numbered)).alias("dst"), F.when(F.col("_gone"), "delete").when(F.col("_to").isNotNull(), "move").otherwise("keep").alias("action"), "size_mb")

@@ -81,6 +81,13 @@ def cycled(rules: DataFrame, snippets: DataFrame, n: int, order: str = "ord", va
     return choices.distinct_questions(rows, "place").orderBy("place").limit(n).drop("place")
 
 
+def injected(rule_samples: DataFrame, snippet_samples: DataFrame, n: int, order: str, seed: int = 42) -> DataFrame:
+    """n samples of few rules: every tenth from the second ten on is one of a snippet, picked by hash, as far as there are any."""
+    more = mix.fixed_sample(snippet_samples, max(0, n - 1) // 10, seed, order)
+    k = more.count()  # a tenth of n at most
+    return rule_samples.orderBy(order).limit(n - k).unionByName(more, allowMissingColumns=True)
+
+
 def halves(rules: DataFrame, snippets: DataFrame, n: int, seed: int = 42, repository: str = "") -> DataFrame:
     """n samples at most: as many as half of them from rules, the rest from snippets, either chosen by hash."""
     some = mix.fixed_sample(rules, n // 2, seed, "file_path", "line_start", "type")

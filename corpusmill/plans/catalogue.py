@@ -214,6 +214,11 @@ def mix_ratio(spark, d):
     return both.crossJoin(F.broadcast(both.agg(F.sum("n").alias("t")))).select("_source", "n", (F.col("n") / F.col("t")).alias("share"))
 
 
+@query("mix_balance", "with n as (select least((select count(*) from documents), (select count(*) from pages)) as n) select n as a, n as b, 1.0::double as ratio, true as balanced from n")
+def mix_balance(spark, d):
+    return mix.balance(mix_one_to_one(spark, d))
+
+
 @query("union_sources", "select _source, count(*) as n from (select 'docs' as _source from documents union all select 'turns' from conversations union all select 'items' from benchmark) group by all")
 def union_sources(spark, d):
     return mix.united({"docs": T.table(spark, d, "documents"), "turns": T.table(spark, d, "conversations"), "items": T.table(spark, d, "benchmark")}).groupBy("_source").agg(F.count("*").alias("n"))
@@ -230,6 +235,12 @@ def split_totals(spark, d):
     return t.withColumn("realised", F.round(F.col("val") / (F.col("train") + F.col("val")), 9))
 
 
+@query("split_sizes", f"with r as (select text, row_number() over (order by {_key(42, 'doc_id')}, doc_id) as r, count(*) over () as n from documents) select case when r <= n - greatest(1, floor(n * 0.1)) then 'train' else 'val' end as split, count(*) as n, round(sum(octet_length(encode(text)) + 1) / 1024, 6) as kb from r group by 1")
+def split_sizes(spark, d):
+    s = mix.split(T.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return s.groupBy("split").agg(F.count("*").alias("n"), F.round(F.sum(F.octet_length("text") + 1) / 1024, 6).alias("kb"))
+
+
 @query("split_at_ratio", f"with r as (select doc_id, row_number() over (order by {_key(7, 'doc_id')}, doc_id) as r, count(*) over () as n from documents) select doc_id, case when r <= floor(n * 0.8) then 'train' else 'val' end as split from r")
 def split_at_ratio(spark, d):
     return mix.split_at(T.table(spark, d, "documents").select("doc_id"), "doc_id", seed=7)

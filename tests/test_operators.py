@@ -155,6 +155,33 @@ def test_other_sources(spark, tmp_path):
     assert [r.code for r in repository.readme(listing).collect()] == ["hello"]
 
 
+def test_folders_sinks_and_shown_rows(spark, tmp_path, monkeypatch):
+    (tmp_path / "d").mkdir()
+    for name, text in (("a", '{"a":1}\n{"a":2}\n'), ("b", '{"a":3}\n')):
+        (tmp_path / "d" / f"{name}.jsonl").write_text(text)
+    got = files.read_jsonl(spark, str(tmp_path / "d" / "*.jsonl"), "a int").collect()
+    assert sorted((r["_file"][-7:], r["_ord"], r.a) for r in got) == [("a.jsonl", 0, 1), ("a.jsonl", 1, 2), ("b.jsonl", 0, 3)]
+    files.write_by(spark.createDataFrame([("x", 1), ("y", 2)], "k string, a int"), str(tmp_path / "by"), "k")
+    assert [json.loads(p.read_text()) for p in sorted((tmp_path / "by").glob("k=*/*.json"))] == [{"a": 1}, {"a": 2}]
+    (tmp_path / "tree" / "src").mkdir(parents=True)
+    (tmp_path / "tree" / "src" / "a.py").write_text("x = 1\n")
+    monkeypatch.chdir(tmp_path)
+    assert [(r.path, r.code) for r in repository.read_repository(spark, "tree").collect()] == [("src/a.py", "x = 1\n")] and repository.read_folder(spark, "by").count() == 0
+    df = spark.createDataFrame([sample(k) for k in (3, 1, 2)], SAMPLE)
+    assert [r["_ord"] for r in profile.first_rows(df, 2).collect()] == [1, 2]
+    assert render.canonical(df.drop("demand")).first()[:6] == ("qa", "a question to ask", "the question is answered here", "", "", "t" * 30)
+    wide = spark.createDataFrame([("m", "0.5"), ("base", "N/A")], "model string, t string")
+    assert [r.line for r in metrics.markdown(wide).orderBy("ord").collect()] == ["| model | t |", "|---|---|", "| base | N/A |", "| m | 0.5 |"]
+    plan = profile.routed(spark.createDataFrame([("a.log", 1), ("b.py", 1), ("c.txt", 1)], "path string, size long"), [(r"\.py$", "out")], (r"\.log$",)).collect()
+    assert {(r.src, r.dst, r.action) for r in plan} == {("a.log", None, "delete"), ("b.py", "out/b.py", "move"), ("c.txt", None, "keep")}
+
+
+def test_few_rules_are_topped_up(spark):
+    rules, code = spark.range(100).selectExpr("id as ord", "'rule' as kind"), spark.range(30).selectExpr("id as ord", "'snippet' as kind")
+    got = snippets.injected(rules, code, 25, "ord").groupBy("kind").count().collect()
+    assert {r.kind: r["count"] for r in got} == {"rule": 23, "snippet": 2}
+
+
 def test_combinations(spark):
     general, rule, llm, none = spark.range(10), spark.range(100, 104), spark.range(200, 203), spark.range(0)
     parts = lambda df: sorted(r["_part"] for r in df.collect())
