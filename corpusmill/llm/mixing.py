@@ -7,8 +7,8 @@ the sources, which may be as many as hosts: they are range-sorted and added up l
 source documents are ordered by the MD5 of seed and doc_id.  The first hex digits of that hash, as many as leave
 about ``RANGE`` rows of the largest source, deal them into ranges; ranges are summed, the sums
 are added up over a source's ranges, and each range is then added up by itself, so that a
-source with a third of all rows is as many tasks as any.  Rows of one doc_id, or of none, are in one
-range.  Whole epochs come first; the last one ends where the budget does, within a document if need be.
+source with a third of all rows is as many tasks as any.  Rows that repeat a doc_id are in one
+range; rows without one are dealt by size, and those without words anywhere.  Whole epochs come first; the last one ends where the budget does, within a document if need be.
 """
 
 from __future__ import annotations
@@ -63,7 +63,9 @@ def planned(rows: DataFrame, share: float = 1.5, most: int = 2, seed: int = 0) -
     while largest > RANGE << 4 * digits:
         digits += 1
     goal = targets(by_source.drop("n"), share, most)
-    rows = rows.withColumn("_key", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+    # Rows without words take nothing and come before or after others alike, so they are dealt evenly; rows without an id, by size.
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null|"), F.col("size").cast("string")))
+    rows = rows.withColumn("_key", F.when(F.col("size") > 0, F.md5(F.concat_ws("|", F.lit(seed), named))).otherwise(F.md5(F.monotonically_increasing_id().cast("string"))))
     rows = rows.withColumn("_range", F.substring("_key", 1, digits))
     # A source's name that is never null: the window's dealing then serves the join too, and the rows are shuffled once.
     rows = rows.withColumn("_name", F.coalesce(F.concat(F.lit("="), "_source"), F.lit("")))

@@ -10,7 +10,7 @@ capped as (select *, coalesce(sum(2 * source_size) over before, 0)::bigint as c,
 levels as (select *, (1.5::double * total - c) / rest as level from capped),
 level as (select arg_min(level, (source_size / w, source is null, source)) as level from levels where level * w <= 2 * source_size),
 goal as (select source, source_size, least((2 * source_size)::double, coalesce(level.level * w, 'inf'::double)) as target from weighed left join level on true),
-placed as (select sized.*, source_size, target, (sum(size) over (partition by sized.source order by md5('0|' || coalesce(doc_id::varchar, 'null')), doc_id, size rows unbounded preceding) - size)::bigint as before
+placed as (select sized.*, source_size, target, (sum(size) over (partition by sized.source order by md5('0|' || coalesce(doc_id::varchar, 'null|' || size)), doc_id, size rows unbounded preceding) - size)::bigint as before
   from sized join goal on sized.source is not distinct from goal.source),
 taken as (select *, case when source_size > 0 then (floor(target)::bigint // source_size) else 0 end as epochs from placed),
 mixture as (select rid, doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, floor(target)::bigint - epochs * source_size - before)))::bigint as taken from taken)

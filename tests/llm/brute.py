@@ -97,7 +97,7 @@ def mixture(rows):
         size[r[2]] = size.get(r[2], 0) + len(words(r[1]))
     target, out = goals(size), []
     for s, n in size.items():
-        mine = sorted((r for r in rows if r[2] == s), key=lambda r: (hashlib.md5(f"0|{'null' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] or 0, len(words(r[1]))))
+        mine = sorted((r for r in rows if r[2] == s), key=lambda r: (hashlib.md5(f"0|{f'null|{len(words(r[1]))}' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] or 0, len(words(r[1]))))
         left = int(target[s] + 1e-9)
         while left > 0 and n:
             for r in mine:
