@@ -8,7 +8,8 @@ earliest keys stay, so few keys move when the ring changes.
 
 The driver sees a count for each arc (shards x nodes numbers, whatever the input) and
 settles which ranks of an arc go where.  A row's rank in its arc is the number of rows in the arc's cells
-before its own plus its rank in the cell, so rows are never sorted by more than a cell.
+before its own plus its rank in the cell, so rows are never sorted by more than a cell, and a cell of more than ``PART``
+rows (rows equal in all that the key is made of) in parts by the place they are read at.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm.text import kept
 
 CELLS = 20
+#: Rows of a cell that a task ranks; cells of more, which hold repeated rows, are ranked in parts.
+PART = 1_000_000
 
 
 def ring(shards: int, nodes: int) -> list[tuple[int, int]]:
@@ -68,17 +71,24 @@ def placed(rows: DataFrame, shards: int, nodes: int) -> DataFrame:
     # A cell's arc: the number of places before it; past the last place the ring begins anew.
     bound = spark.createDataFrame([(a, (cells[a - 1] + 1) if a else 0, cells[a] if a < len(cells) else (1 << CELLS) - 1) for a in range(len(cells) + 1)], "_arc int, _lo int, _hi int")
     bound = bound.select(F.when(F.col("_arc") == len(cells), 0).otherwise(F.col("_arc")).alias("_arc"), F.when(F.col("_arc") == len(cells), 0).otherwise(1).alias("_turn"), F.explode(F.sequence("_lo", F.greatest("_lo", "_hi"))).alias("_c")).where("_c < %d" % (1 << CELLS))
-    filled = kept(rows.groupBy("_cell").agg(F.count("*").alias("_n")))
-    filled = filled.join(bound, F.col("_cell") == F.col("_c")).withColumn("_before", F.sum("_n").over(Window.partitionBy("_arc").orderBy("_turn", "_cell")) - F.col("_n"))
-    filled = kept(filled.select(F.col("_cell").alias("_c"), "_arc", "_before", "_n"))
+    filled = kept(rows.groupBy("_cell").agg(F.count("*").alias("_n"))).withColumn("_part", F.lit(0).cast("long"))
+    large = filled.where(F.col("_n") > PART).select("_cell", F.ceil(F.col("_n") / PART).alias("_parts"))  # a row a cell at most
+    if large.limit(1).count():
+        # The rows are kept with their part, so that they are counted and ranked alike.
+        rows = kept(rows.join(F.broadcast(large), "_cell", "left").withColumn("_part", F.coalesce(F.pmod(F.monotonically_increasing_id(), "_parts"), F.lit(0))).drop("_parts"))
+        filled = kept(rows.groupBy("_cell", "_part").agg(F.count("*").alias("_n")))
+    else:
+        rows = rows.withColumn("_part", F.lit(0).cast("long"))
+    filled = filled.join(bound, F.col("_cell") == F.col("_c")).withColumn("_before", F.sum("_n").over(Window.partitionBy("_arc").orderBy("_turn", "_cell", "_part")) - F.col("_n"))
+    filled = kept(filled.select(F.col("_cell").alias("_c"), F.col("_part").alias("_p"), "_arc", "_before", "_n"))
     counts = {r["_arc"]: r["n"] for r in filled.groupBy("_arc").agg(F.sum("_n").alias("n")).collect()}
     went = assign([counts.get(a, 0) for a in range(len(owners))], owners, shards)
     where = spark.createDataFrame(went or [(-1, 0, 0, 0, 0)], "_a int, _first long, _behind long, shard int, _slot long")
-    rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_key", "doc_id", "text_crc32", "size")) - 1
-    ranked = rows.withColumn("_rank", rank).join(filled.drop("_n"), F.col("_cell") == F.col("_c")).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    rank = F.row_number().over(Window.partitionBy("_cell", "_part").orderBy("_key", "doc_id", "text_crc32", "size")) - 1
+    ranked = rows.withColumn("_rank", rank).join(filled.drop("_n"), (F.col("_cell") == F.col("_c")) & (F.col("_part") == F.col("_p"))).withColumn("_rank", F.col("_rank") + F.col("_before"))
     # At most two ranges of ranks for each place and one for each shard: a bounded table.
     joined = ranked.join(F.broadcast(where), (F.col("_arc") == F.col("_a")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_behind")))
-    return joined.withColumn("slot", (F.col("_slot") + F.col("_rank") - F.col("_first")).cast("long")).drop("_key", "_cell", "_c", "_arc", "_before", "_rank", "_a", "_first", "_behind", "_slot")
+    return joined.withColumn("slot", (F.col("_slot") + F.col("_rank") - F.col("_first")).cast("long")).drop("_key", "_cell", "_c", "_part", "_p", "_arc", "_before", "_rank", "_a", "_first", "_behind", "_slot")
 
 
 def shard(docs: DataFrame, shards: int = 16, nodes: int = 64) -> DataFrame:
@@ -96,7 +106,10 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def sharded(docs: DataFrame, shards: int = 16, nodes: int = 64) -> DataFrame:
-    """The rows of ``docs`` with shard and slot (columns of those names give way)."""
+    """The rows of ``docs`` with shard and slot (columns of those names give way), as ``shard`` deals them.
+
+    Null texts and ids have their place like all others; rows that repeat all of doc_id, size and checksum each have a slot; no rows give none.
+    """
     columns = [c for c in docs.columns if c not in ("shard", "slot")]
     rows = sized(docs.select(F.struct(*(docs[c] for c in columns)).alias("_row"), "doc_id", "text")).drop("text")
     return placed(rows, shards, nodes).select("_row.*", "shard", "slot")

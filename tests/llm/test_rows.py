@@ -118,6 +118,14 @@ def test_shards_key_by_key(spark):
     assert got == sorted(((d is None, d), t or "", s, k) for d, t, s, k in brute.ring(spark, rows, 5))
 
 
+def test_a_key_of_many_rows_is_ranked_in_parts(spark, monkeypatch):
+    rows = [(k, prose(random.Random(k), 5)) for k in range(100)] + [(None, None)] * 90
+    whole = sorted((r.shard, r.slot, r.text or "") for r in sharding.sharded(table(spark, rows), 5).collect())
+    monkeypatch.setattr(sharding, "PART", 20)
+    got = sharding.sharded(table(spark, rows).repartition(3), 5).collect()
+    assert sorted((r.shard, r.slot, r.text or "") for r in got) == whole and len({(r.shard, r.slot) for r in got}) == len(rows)
+
+
 def test_few_keys_move_when_a_shard_is_added(spark):
     """Of 20,000 keys 1 in 17 must move to a new shard; few others do."""
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
