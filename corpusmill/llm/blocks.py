@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Entries that a block holds on average, and that a task holds before it writes them out.
-ENTRIES, HELD = 1_500_000, 1_000_000
+ENTRIES, HELD = 1_500_000, 500_000
 
 
 def count(spark: SparkSession, entries: int) -> int:
@@ -52,6 +52,7 @@ def pack(chunks: Iterable[tuple[np.ndarray, ...]], blocks: int, names: list[str]
             n = 0
     if n:
         yield from out()
+    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
 
 def unpack(table: pa.Table, name: str, kind: type) -> np.ndarray:
