@@ -244,6 +244,16 @@ def test_unvalidated_loop(spark):
     assert [(r.response, r.variant) for r in got] == [("aa", 0), ("aa", 1)]
 
 
+@pytest.mark.parametrize("rows", [0, 10, 39, 40, 120, 200])
+def test_variants_of_any_number_of_rows(spark, tmp_path, rows):
+    """The first hundred of three passes over the whole table, ids without a value last."""
+    ids = [None if k % 20 == 3 else k // 2 for k in range(rows)]
+    spark.createDataFrame([(i, "t") for i in reversed(ids)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = [(r.item_id, r.variant) for r in catalogue.queries()["replicate_variants"](spark, str(tmp_path)).collect()]
+    key = lambda r: (r[1], r[0] is None, r[0] or 0)
+    assert sorted(got, key=key) == sorted(((i, v) for i in ids for v in range(3)), key=key)[:100]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("qa", "é", None), ("design", "b", "c")], "type string, a string, b string")
     files.write_jsonl(df, str(tmp_path / "out"), 1)
